@@ -34,12 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     Only when neither the session nor its context names one (tests, one machine)
     is a temporary folder set.
     """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if set_dir:
-        return set_dir.rstrip("/")
-    local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
