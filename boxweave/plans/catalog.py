@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from boxweave.plans import queries_boxes  # noqa: F401
+from boxweave.plans import queries_boxes, queries_frames  # noqa: F401
 from boxweave.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -142,27 +142,29 @@ def _views(d) -> dict[str, str]:
              CAST(1728 * (l_linenumber % 2) AS INT) AS tile_x, 0 AS tile_y, 2112 AS tile_w, 2160 AS tile_h,
              CASE WHEN l_partkey % 5 = 0 THEN 'joint' ELSE 'tile' END AS origin
       FROM {{lineitem}}""",
-        "motion_tracks": """
-      SELECT concat('ch', CAST(user_id % 4 AS STRING)) AS channel_id,
-             event_id AS frame_id,
-             50 * event_id AS pts_ms,
-             user_id AS track_id,
-             CAST(user_id % 6 AS INT) AS class_id,
+        "motion_tracks": f"""
+      SELECT concat('ch', CAST({d.idiv('event_id', '1000')} % 4 AS STRING)) AS channel_id,
+             {d.idiv('event_id', '5')} AS frame_id,
+             50 * {d.idiv('event_id', '5')} AS pts_ms,
+             event_id % 5 + 5 * {d.idiv('event_id', '1000')} AS track_id,
+             CAST(event_id % 5 AS INT) AS class_id,
              CASE WHEN event_id % 23 = 0 THEN 0 WHEN event_id % 29 = 0 THEN 300 ELSE 20 + event_id % 60 END AS dt_ms,
              CAST(100 + 7 * (event_id % 11) AS DOUBLE) AS raw_x1,
              CAST(50 + 5 * (event_id % 13) AS DOUBLE) AS raw_y1,
-             CAST(160 + 7 * (event_id % 11) AS DOUBLE) + FLOOR(value) AS raw_x2,
-             CAST(90 + 5 * (event_id % 13) AS DOUBLE) + FLOOR(value / 2) AS raw_y2,
+             CAST(160 + 7 * (event_id % 11) AS DOUBLE) + FLOOR(value / 4) AS raw_x2,
+             CAST(90 + 5 * (event_id % 13) AS DOUBLE) + FLOOR(value / 8) AS raw_y2,
              CAST(100 + 7 * (event_id % 11) + event_id % 5 AS DOUBLE) AS smooth_x1,
              CAST(50 + 5 * (event_id % 13) + event_id % 3 AS DOUBLE) AS smooth_y1,
-             CAST(160 + 7 * (event_id % 11) + event_id % 4 AS DOUBLE) + FLOOR(value) AS smooth_x2,
-             CAST(90 + 5 * (event_id % 13) + event_id % 6 AS DOUBLE) + FLOOR(value / 2) AS smooth_y2,
+             CAST(160 + 7 * (event_id % 11) + event_id % 4 AS DOUBLE) + FLOOR(value / 4) AS smooth_x2,
+             CAST(90 + 5 * (event_id % 13) + event_id % 6 AS DOUBLE) + FLOOR(value / 8) AS smooth_y2,
+             CAST(event_id % 21 - 10 AS DOUBLE) AS raw_dx,
+             CAST(event_id % 13 - 6 AS DOUBLE) AS raw_dy,
              event_id % 7 = 0 AS deadzone,
              event_id % 10 = 0 AS reset,
              event_id % 8 <> 1 AS was_active,
              event_id % 9 <> 0 AS active,
              CAST(0.45 AS DOUBLE) AS size_alpha
-      FROM {events}""",
+      FROM {{events}}""",
         "motion_stats": f"""
       SELECT concat('run', CAST(user_id % 2 AS STRING)) AS run_id,
              event_id AS frame_id,
