@@ -102,7 +102,7 @@ def replay_size_rows(tracks: DataFrame, params: list[dict], smoothing: float = 0
     schema = ready.select(*kept).schema
     for c in ("alpha", "width", "height", "prev_width", "prev_height"):
         schema = schema.add(c, "double")
-    schema = schema.add("param_id", "int")
+    schema = schema.add("param_id", "integer")
 
     def make():
         motion, carry = _Filtered(smoothing), {}
@@ -256,7 +256,7 @@ def replay_center_rows(tracks: DataFrame, params: list[dict], alpha_min: float =
     schema = ready.select(*kept).schema
     for c in ("alpha", "cx", "cy", "step_x", "step_y", "last_x", "last_y"):
         schema = schema.add(c, "double")
-    schema = schema.add("param_id", "int")
+    schema = schema.add("param_id", "integer")
 
     def walk(alpha, raw, shift, fresh, dead, before):
         """Plain walk, for batches in which a correction hits its limit."""

@@ -95,7 +95,7 @@ def motion_stats(matched: DataFrame, updates: DataFrame, block: int = 100_000) -
         updates.select("channel_id", "frame_id", "pts_ms"), ["channel_id"], [time_block("frame_id", block)], [F.col("frame_id")],
         [Step("update_no", "count"), Step("__before", "lag", F.struct(F.col("pts_ms").alias("p")))],
     )
-    rows = matched.join(numbered.drop("pts_ms"), ["channel_id", "frame_id"])
+    rows = matched.drop("pts_ms").join(numbered, ["channel_id", "frame_id"])
     sides = [f"{s}_{c}" for s in ("raw", "smooth") for c in BOX_COLUMNS]
     before = ordered_scan(
         rows, ["channel_id", "track_id"], [time_block("update_no", block)], [F.col("update_no")],

@@ -407,7 +407,7 @@ NEAR = f"({DIST} <= greatest(48.0, least({REACH}, 1.25 * greatest({Q.hypot(_w('a
 CAND_SQL = f"""+c AS (SELECT a.channel_id, a.frame_id, a.det_ord AS track_ord, b.det_ord AS det_ord, a.class_id = b.class_id AS same, {_rival('a.', 'b.')} AS rival,
    {Q.iou_tracker('a.', 'b.')} AS overlap, {DIST} AS distance, {SIM} AS sim, {Q.ios('a.', 'b.')} AS inside, {NEAR} AS near, {Q.center_inside('a.', 'b.')} AS centred, a.score >= 0.5 AS active
    FROM detections a JOIN detections b ON b.channel_id = a.channel_id AND b.frame_id = a.frame_id + 4)
-  SELECT channel_id, frame_id, track_ord, det_ord, NOT same AS competitor, ROUND(overlap + sim * 0.1 + CASE WHEN same THEN inside * 0.1 ELSE 0.05 END - distance / {REACH} * 0.05 + CASE WHEN active THEN 0.05 ELSE 0.0 END, 7) + 0.0 AS match_score
+  SELECT channel_id, frame_id, track_ord, det_ord, NOT same AS competitor, ROUND(1e-9 + overlap + sim * 0.1 + CASE WHEN same THEN inside * 0.1 ELSE 0.05 END - distance / {REACH} * 0.05 + CASE WHEN active THEN 0.05 ELSE 0.0 END, 6) + 0.0 AS match_score
   FROM c WHERE CASE WHEN same THEN overlap >= 0.2 OR near OR (inside >= 0.7 AND centred) ELSE rival END"""
 
 
@@ -416,7 +416,7 @@ def _(spark, sf):
     d = view(spark, sf, "detections").select("channel_id", "frame_id", "det_ord", "class_id", "score", *BOX)
     previous = d.withColumn("active", F.col("score") >= 0.5).withColumn("frame_id", F.col("frame_id") + 4)
     out = J.track_candidates(previous, d, ["channel_id", "frame_id"], FRAME_W, FRAME_H)
-    return out.select("channel_id", (F.col("frame_id") - 4).alias("frame_id"), F.col("t_det_ord").alias("track_ord"), F.col("d_det_ord").alias("det_ord"), "competitor", F.round("match_score", 7).alias("match_score"))
+    return out.select("channel_id", (F.col("frame_id") - 4).alias("frame_id"), F.col("t_det_ord").alias("track_ord"), F.col("d_det_ord").alias("det_ord"), "competitor", F.round(F.col("match_score") + 1e-9, 6).alias("match_score"))
 
 
 AUDIT_PAIRS = f"""pr AS (SELECT a.channel_id, a.frame_id, a.det_ord AS a_ord, b.det_ord AS b_ord, {Q.inter('a.', 'b.')} AS shared, {Q.iou('a.', 'b.', '0')} AS iou, {Q.ios('a.', 'b.')} AS ios

@@ -203,7 +203,7 @@ def _views(d) -> dict[str, str]:
              33 * o_orderkey AS pts_ms,
              33 * o_orderkey + 1 AS ts_ms,
              CAST(o_orderkey % 3 AS DOUBLE) AS preprocess_ms,
-             FLOOR(o_totalprice / 10000) + 5 AS npu_ms,
+             CAST(FLOOR(o_totalprice / 10000) + 5 AS DOUBLE) AS npu_ms,
              CAST(o_custkey % 50 AS DOUBLE) AS queue_wait_ms,
              FLOOR(o_totalprice / 10000) + 9 + CAST(o_custkey % 50 AS DOUBLE) AS e2e_ms,
              o_custkey % 11 = 0 AS replaced,
