@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from boxweave.operators.dataset import stem
 from boxweave.operators.filters import to_norm
+from boxweave.session import reach_workers
 from boxweave.sources.sinks import label_rows
 
 SCORES = "image_name string, det_ord int, class_id int, label string, score double, x1 double, y1 double, x2 double, y2 double"
@@ -23,6 +24,7 @@ def score(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str
             if len(pdf):
                 yield fn(pdf)
 
+    reach_workers(df.sparkSession)
     return df.mapInPandas(run, schema)
 
 

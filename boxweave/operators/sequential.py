@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from boxweave.session import reach_workers
+
 
 def _runs(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
     """Stretches of equal keys in a sorted batch: (key, start, stop)."""
@@ -34,6 +36,7 @@ def _runs(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, int, int]
 
 
 def _sorted(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    reach_workers(df.sparkSession)
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*[F.col(k) for k in keys], *order)
 
 

@@ -295,6 +295,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
 
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view over the tables as file streams."""
+    text = _SPARK[name]
+
+    def source(t: str) -> DataFrame:
+        schema = table(spark, sf_dir, t).schema
+        return spark.readStream.schema(schema).option("pathGlobFilter", f"{t}.parquet").parquet(sf_dir)
+
+    return spark.sql(text, **{t: source(t) for t in set(re.findall(r"\{(\w+)\}", text))})
+
+
 def with_views(body: str, *names: str, recursive: bool = False) -> str:
     """DuckDB query over the views in ``names``."""
     parts = [f"{n} AS ({_DUCK[n].format(**{t: t for t in TABLES})})" for n in names]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +66,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """
     rows = df.limit(max_rows + 1).count()
     return F.broadcast(df) if rows <= max_rows else df
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started.
+
+    Local workers get its folder on their path; executors of a cluster get it as a file.
+    """
+    sc = spark.sparkContext
+    root = str(Path(__file__).resolve().parents[1])
+    known = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root in known:
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join([root, *[p for p in known if p]])
+    if not sc.master.startswith("local"):
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "boxweave"), "zip", root, "boxweave")
+        sc.addPyFile(archive)

@@ -9,16 +9,16 @@ from boxweave.operators.aggregates import RING
 
 
 def _clock(df: DataFrame, time: str) -> DataFrame:
-    return df.withColumn("__at", F.timestamp_millis(F.col(time)))
+    return df.withColumn("event_time", F.timestamp_millis(F.col(time)))
 
 
 def _watermarked(df: DataFrame, delay: str) -> DataFrame:
-    return df.withWatermark("__at", delay) if df.isStreaming else df
+    return df.withWatermark("event_time", delay) if df.isStreaming else df
 
 
 def telemetry_windows(df: DataFrame, width: str = "10 seconds", delay: str = "10 seconds", time: str = "ts_ms") -> DataFrame:
     """Samples, sum and mean of each metric per channel and tumbling window of event time."""
-    grouped = _watermarked(_clock(df, time), delay).groupBy(F.window("__at", width), "channel_id", "metric")
+    grouped = _watermarked(_clock(df, time), delay).groupBy(F.window("event_time", width), "channel_id", "metric")
     out = grouped.agg(F.count("*").alias("samples"), F.sum("value").alias("total"), F.avg("value").alias("mean"))
     return out.select("channel_id", "metric", F.unix_millis("window.start").alias("window_ms"), "samples", "total", "mean")
 
@@ -30,7 +30,7 @@ def inference_windows(df: DataFrame, width_ms: int = 10_000, delay: str = "10 se
     A channel's samples in a window are limited by its frame rate.
     """
     ran = ~F.col("replaced") & ~F.col("stale")
-    grouped = _watermarked(_clock(df, "ts_ms"), delay).groupBy(F.window("__at", f"{width_ms} milliseconds"), "channel_id")
+    grouped = _watermarked(_clock(df, "ts_ms"), delay).groupBy(F.window("event_time", f"{width_ms} milliseconds"), "channel_id")
     sample = F.struct("ts_ms", "frame_id", "npu_ms", "queue_wait_ms", "e2e_ms")
     counted = grouped.agg(
         F.count("*").alias("received"),
@@ -65,5 +65,5 @@ def dedupe_stream(df: DataFrame, delay: str, keys: list[str] | None = None, time
     """Drop repeats of a frame that arrive within ``delay``; later rows than that are late."""
     keys = keys or ["channel_id", "frame_id"]
     clocked = _clock(df, time)
-    out = clocked.withWatermark("__at", delay).dropDuplicatesWithinWatermark(keys) if df.isStreaming else clocked.dropDuplicates(keys)
-    return out.drop("__at")
+    out = clocked.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys) if df.isStreaming else clocked.dropDuplicates(keys)
+    return out.drop("event_time")
