@@ -62,17 +62,31 @@ class InOrder(StatefulProcessor):
                 self.buffer.appendValue((pickle.dumps(later.reset_index(drop=True)),))
             if len(ready):
                 ready = ready.sort_values(self.order, kind="stable").reset_index(drop=True)
-                memory, out = self.feed(pickle.loads(data) if data else None, ready)
+                memory = pickle.loads(data) if data else None
+                parts = []
+                for start, part in self._stretches(ready, last):
+                    memory, out = self.feed(None if start else memory, part)
+                    parts.append(out)
                 last = int(ready[self.time].max())
                 self.memory.update((pickle.dumps(memory), last))
                 if self.expire_ms is not None:
                     self.handle.registerTimer(last + self.expire_ms + 1)
+                out = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
                 if len(out):
                     yield out
                 return
         if self.expire_ms is not None and last is not None and due > last + self.expire_ms:
             self.memory.clear()
 
+    def _stretches(self, rows, last):
+        """Rows between pauses long enough to forget; True where the memory is gone."""
+        if self.expire_ms is None:
+            return [(False, rows)]
+        times = rows[self.time]
+        before = times.shift(fill_value=times.iloc[0] if last is None else last)
+        paused = times - before > self.expire_ms
+        return [(bool(paused[part.index[0]]), part.reset_index(drop=True)) for _, part in rows.groupby(paused.cumsum(), sort=True)]
+
     def close(self):
         pass
 
