@@ -28,9 +28,14 @@ def label_files_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_label_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Label text files of a folder. Read as whole files, so empty ones survive as negatives."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
-    return label_files_of(raw.select("path", F.decode("content", "UTF-8").alias("content")))
+    """Label text files of a folder.
+
+    DataFrame file sources skip empty files, which are negatives here, so the whole-file
+    reader is used; it lists them too and reads them on the executors.
+    """
+    sc = spark.sparkContext
+    texts = sc.wholeTextFiles(f"{folder.rstrip('/')}/*.txt", max(sc.defaultParallelism, 2))
+    return label_files_of(spark.createDataFrame(texts, "path string, content string"))
 
 
 def read_gt_map(spark: SparkSession, path: str) -> DataFrame:
