@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxweave.operators.windows import pr_curve, precision_envelope
+from boxweave.session import checkpointed
 
 
 def label_pair_metrics(outcomes: DataFrame, by: str = "class_id") -> DataFrame:
@@ -34,10 +35,12 @@ def average_precision(matches: DataFrame, gt: DataFrame, by: list[str], classes:
     """AP (all-point), final precision and recall of each class; ``by`` ends with ``class_id``.
 
     AP adds, at each true positive, one over the ground-truth count times the best
-    precision from there on.
+    precision from there on. Matches and curve are written once, as each is scanned
+    several times.
     """
     n_gt = gt.groupBy(*by).agg(F.count("*").alias("n_gt"))
-    curve = precision_envelope(pr_curve(matches, n_gt, by, image, style), by, image)
+    narrow = checkpointed(matches.select(*by, image, "pred_ord", "score", "tp"))
+    curve = precision_envelope(checkpointed(pr_curve(narrow, n_gt, by, image, style)), by, image)
     scored = curve.groupBy(*by).agg(
         F.sum(F.when(F.col("tp"), F.col("envelope")).otherwise(0.0)).alias("__area"),
         F.max("cum_tp").alias("tp"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxweave.functions import geometry as G
+from boxweave.functions.staged import staged
 from boxweave.operators.filters import tile_of
 from boxweave.operators.scan import Step, ordered_scan, time_block
 from boxweave.operators.spatial import rect_pairs
@@ -77,30 +78,34 @@ def track_candidates(previous: DataFrame, current: DataFrame, keys: list[str], f
         F.greatest(t.y2, G.center_y(t) + reach),
     ]
     pairs = rect_pairs(left, right, keys, grown, d.corners)
-    same = t.class_id == d.class_id
-    overlap, distance = G.iou(t, d, "tracker"), G.center_distance(t, d)
-    longest = F.greatest(F.hypot(G.width(t), G.height(t)), F.hypot(G.width(d), G.height(d)))
-    local_reach = F.greatest(F.lit(48.0), F.least(F.lit(reach), longest * 1.25))
-    near = (distance <= local_reach) & (F.col("similarity") >= 0.40)
-    nested = (F.col("inside") >= G.SAME_CLASS_CONTAINMENT) & G.center_inside(t, d)
-    rival = ~same & G.is_cross_class_competitor(t, d)
-    scored = (
-        pairs.withColumn("overlap", overlap)
-        .withColumn("distance", distance)
-        .withColumn("similarity", G.size_similarity(t, d))
-        .withColumn("inside", G.containment(t, d))
-        .withColumn("competitor", rival)
-        .where((same & ((F.col("overlap") >= match_iou) | near | nested)) | F.col("competitor"))
-    )
-    bonus = F.when(F.col("t_active"), 0.05).otherwise(0.0)
+    # Each stage is computed once per pair; the rules then only compare numbers.
+    col = F.col
+    pairs = staged(pairs, {
+        "same": t.class_id == d.class_id, "shared": G.intersection(t, d), "t_area": G.area(t), "d_area": G.area(d), "distance": G.center_distance(t, d),
+        "t_w": G.width(t), "t_h": G.height(t), "d_w": G.width(d), "d_h": G.height(d), "centred": G.center_inside(t, d),
+    })
+    small = F.least("t_area", "d_area")
+    t_size, d_size = col("t_w") * col("t_h"), col("d_w") * col("d_h")
+    longest = F.greatest(F.hypot("t_w", "t_h"), F.hypot("d_w", "d_h"))
+    measured = staged(pairs, {
+        "overlap": col("shared") / F.greatest(col("t_area") + col("d_area") - col("shared"), F.lit(1.0)),
+        "inside": F.when(small > 0, col("shared") / small).otherwise(0.0),
+        "similarity": F.least(t_size, d_size) / F.greatest(t_size, d_size),
+        "local_reach": F.greatest(F.lit(48.0), F.least(F.lit(reach), longest * 1.25)),
+    })
+    near = (col("distance") <= col("local_reach")) & (col("similarity") >= 0.40)
+    nested = (col("inside") >= G.SAME_CLASS_CONTAINMENT) & col("centred")
+    rival = (col("overlap") >= G.CROSS_CLASS_IOU) | ((col("inside") >= G.CROSS_CLASS_CONTAINMENT) & col("centred"))
+    passed = measured.where((col("same") & ((col("overlap") >= match_iou) | near | nested)) | (~col("same") & rival))
     score = (
-        F.col("overlap")
-        + F.col("similarity") * 0.10
-        + F.when(same, F.col("inside") * 0.10).otherwise(0.05)
-        - F.col("distance") / reach * 0.05
-        + bonus
+        col("overlap")
+        + col("similarity") * 0.10
+        + F.when(col("same"), col("inside") * 0.10).otherwise(0.05)
+        - col("distance") / reach * 0.05
+        + F.when(col("t_active"), 0.05).otherwise(0.0)
     )
-    return scored.withColumn("match_score", score)
+    helpers = ["shared", "t_area", "d_area", "t_w", "t_h", "d_w", "d_h", "centred", "local_reach"]
+    return passed.withColumns({"competitor": ~col("same"), "match_score": score}).drop("same", *helpers)
 
 
 def overlap_pairs(detections: DataFrame, keys: list[str], min_area: float = 0.0) -> DataFrame:

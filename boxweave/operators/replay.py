@@ -18,6 +18,7 @@ from boxweave.operators.joins import BOX_COLUMNS
 from boxweave.operators.scan import Step, ordered_scan, time_block
 from boxweave.operators.sequential import affine_scan, stream
 from boxweave.operators.windows import frame_motion, smooth_motion
+from boxweave.session import checkpointed
 
 RAW = [f"raw_{c}" for c in BOX_COLUMNS]
 STILL, MOVING = 0.35, 0.75  # fixed values: box diagonals per second
@@ -151,7 +152,7 @@ def _quantile_columns(df: DataFrame, metrics: dict[str, Column], wanted: list[tu
 
 def replay_size(tracks: DataFrame, params: list[dict], rows: DataFrame | None = None, **options) -> DataFrame:
     """Jitter, step and error metrics of each size-filter setting, and fidelity to the log."""
-    rows = replay_size_rows(tracks, params, **options) if rows is None else rows
+    rows = checkpointed(replay_size_rows(tracks, params, **options)) if rows is None else rows
     c = F.col
     counts = c("counts")
     still, moving = counts & (c("speed") <= STILL), counts & (c("speed") >= MOVING)
@@ -246,7 +247,7 @@ def replay_center_rows(tracks: DataFrame, params: list[dict], alpha_min: float =
     shared = {a for p in sets if (a := p["global_alpha"]) is not None}
     names = {a: f"g{i}" for i, a in enumerate(sorted(shared))}
     if names:
-        common = frame_motion(tracks, block=block)
+        common = checkpointed(frame_motion(tracks, block=block))
         for a, n in names.items():
             smooth = smooth_motion(common, a, reset_after_ms=None).select(
                 "channel_id", "frame_id", F.col("smooth_dx").alias(f"{n}_x"), F.col("smooth_dy").alias(f"{n}_y")
@@ -310,7 +311,7 @@ def replay_center_rows(tracks: DataFrame, params: list[dict], alpha_min: float =
 
 def replay_center(tracks: DataFrame, params: list[dict], rows: DataFrame | None = None, **options) -> DataFrame:
     """Jitter, roughness, error and step metrics of each centre-filter setting."""
-    rows = replay_center_rows(tracks, params, **options) if rows is None else rows
+    rows = checkpointed(replay_center_rows(tracks, params, **options)) if rows is None else rows
     c = F.col
     counts = c("counts") & c("step_x").isNotNull()
     still, moving = counts & (c("speed") <= STILL), counts & (c("speed") >= MOVING)

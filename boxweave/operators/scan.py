@@ -6,6 +6,10 @@ reduced to one summary row, and what a block needs from its predecessors is foun
 on the summaries and joined back. Results equal the plain window. Blocks may nest:
 with ``blocks=[a, b]`` the summaries themselves are scanned block-wise.
 
+The input is read once for the rows and once, narrowly, for the summaries (twice with
+two block levels). Scans that build on each other multiply this, so put what they need
+into one scan, and write an input that is costly to compute first (``checkpointed``).
+
 All ``order`` columns ascend and must not be null; each block column must be a
 non-decreasing function of the order, within the blocks before it.
 """
@@ -24,13 +28,14 @@ _START, _END = Window.unboundedPreceding, Window.unboundedFollowing
 class Step:
     """One output of a scan.
 
-    kind: ``sum`` (running), ``count`` (running), ``last`` (last value that is not
-    null, current row included), ``max`` / ``min`` (running), ``lag`` (previous row).
+    kind: ``sum``, ``count``, ``max``, ``min`` (running), ``last`` (last value that is not
+    null), ``lag`` (previous row). ``before`` leaves the current row out.
     """
 
     out: str
     kind: str
     value: Column | None = None
+    before: bool = False
 
 
 def _names(count: int, prefix: str) -> list[str]:
@@ -46,7 +51,7 @@ def _fold(step: Step, local: Column, carry: Column) -> Column:
 
 
 def _running(step: Step, value: Column, window, exclusive: bool) -> Column:
-    frame = window.rowsBetween(_START, -1 if exclusive else Window.currentRow)
+    frame = window.rowsBetween(_START, -1 if exclusive or step.before else Window.currentRow)
     if step.kind in ("sum", "count"):
         return F.sum(value).over(frame)
     if step.kind == "last":

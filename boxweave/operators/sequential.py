@@ -1,9 +1,9 @@
 """Rows of a key in order, a batch at a time, through a small function in the task.
 
-Spark partitions by key and sorts; the function sees numpy slices. ``fold`` keeps one
-state per key and never holds more than an Arrow batch, so a long key costs time but
-no memory. ``whole_groups`` hands over a complete group and is for keys whose size is
-bounded by nature, such as the boxes of one frame.
+Spark partitions by key and sorts. ``stream`` sees one Arrow batch after another and
+keeps a small state between them, so a long key costs time but no memory.
+``whole_groups`` hands over a complete group and is for keys whose size is bounded by
+nature, such as the boxes of one frame.
 """
 
 from __future__ import annotations
@@ -40,32 +40,6 @@ def _sorted(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*[F.col(k) for k in keys], *order)
 
 
-def fold(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    start: Callable[[tuple], object],
-    feed: Callable[[object, pd.DataFrame], pd.DataFrame],
-    schema: str | StructType,
-) -> DataFrame:
-    """``feed(state, rows)`` for each stretch of rows of a key; state lives across batches."""
-
-    def run(batches):
-        current, state = None, None
-        for pdf in batches:
-            parts = []
-            for key, a, b in _runs(pdf, keys):
-                if key != current:
-                    current, state = key, start(key)
-                out = feed(state, pdf.iloc[a:b])
-                if len(out):
-                    parts.append(out)
-            if parts:
-                yield pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-
-    return _sorted(df, keys, order).mapInPandas(run, schema)
-
-
 def stream(
     df: DataFrame,
     keys: list[str],

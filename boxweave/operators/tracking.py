@@ -21,7 +21,7 @@ from boxweave.functions import boxmath as M
 from boxweave.functions.geometry import CROSS_CLASS_CONTAINMENT, CROSS_CLASS_IOU, SAME_CLASS_CONTAINMENT
 from boxweave.operators.greedy import pairwise_survivors
 from boxweave.operators.scan import Step, ordered_scan, time_block
-from boxweave.operators.sequential import fold
+from boxweave.operators.sequential import stream
 from boxweave.session import checkpointed
 
 # Fixed value: hits in a row before a track takes over another class.
@@ -424,15 +424,24 @@ def frame_rows(frames: DataFrame, detections: DataFrame, keys: list[str]) -> Dat
     ).withColumn("n", F.greatest("n", F.lit(0)))
 
 
-def cut_parts(frames: DataFrame, keys: list[str], config: TrackerConfig, block: int) -> DataFrame:
-    """Add ``part``: the number of frames after which no track can survive."""
+def cut_parts(frames: DataFrame, detections: DataFrame, keys: list[str], config: TrackerConfig, block: int) -> DataFrame:
+    """(keys, frame_id, part): parts start after updates that no track can survive.
+
+    Works on one narrow row per frame. A part starts at a frame with boxes whose
+    predecessor had none and came late enough to clear everything.
+    """
+    on = [*keys, "frame_id"]
+    counts = detections.groupBy(*on).agg(F.count("*").alias("n"))
+    narrow = checkpointed(frames.select(*on, "pts_ms").join(counts, on, "left").withColumn("n", F.coalesce("n", F.lit(0))))
     order, blocks = [F.col("frame_id")], [time_block("frame_id", block)]
     quiet_ms = max(config.ttl_ms, GLOBAL_MOTION_STALE_MS)
-    seen = ordered_scan(frames, keys, blocks, order, [Step("__last", "last", F.when(F.col("n") > 0, F.col("pts_ms")))])
-    cleared = (F.col("n") == 0) & (F.col("__last").isNull() | (F.col("pts_ms") - F.col("__last") > quiet_ms))
-    after = ordered_scan(seen.withColumn("__c", cleared), keys, blocks, order, [Step("__p", "lag", F.struct(F.col("__c").alias("c")))])
-    starts = (F.coalesce(F.col("__p.c"), F.lit(False)) & (F.col("n") > 0)).cast("long")
-    return ordered_scan(after.withColumn("__s", starts), keys, blocks, order, [Step("part", "sum", F.col("__s"))]).drop("__last", "__c", "__p", "__s")
+    seen = ordered_scan(
+        narrow, keys, blocks, order,
+        [Step("__p", "lag", F.struct("pts_ms", "n")), Step("__last", "last", F.when(F.col("n") > 0, F.col("pts_ms")), before=True)],
+    )
+    quiet = F.col("__last").isNull() | (F.col("__p.pts_ms") - F.col("__last") > quiet_ms)
+    starts = F.coalesce((F.col("n") > 0) & (F.col("__p.n") == 0) & quiet, F.lit(False)).cast("long")
+    return ordered_scan(seen, keys, blocks, order, [Step("part", "sum", starts)]).select(*on, "part")
 
 
 def track(frames: DataFrame, detections: DataFrame, config: TrackerConfig = TrackerConfig(), width: float = 640.0, height: float = 480.0,
@@ -443,19 +452,30 @@ def track(frames: DataFrame, detections: DataFrame, config: TrackerConfig = Trac
     media time restarts on reconnect.
     """
     keys = keys or ["channel_id"]
-    parts = cut_parts(frame_rows(frames, detections, keys), keys, config, block)
-
-    def feed(tracker: Tracker, rows: pd.DataFrame) -> pd.DataFrame:
-        out = [r for row in rows.itertuples(index=False) for r in rows_of(row.frame_id, row.pts_ms, tracker.update(int(row.pts_ms), seen_of(row)))]
-        result = pd.DataFrame(out, columns=COLUMNS, dtype=object)
-        for k in [*keys, "part"]:
-            result[k] = rows[k].iloc[0]
-        return result[[*keys, "part", *COLUMNS]]
+    on = [*keys, "frame_id"]
+    if config.mode == "raw":
+        parts = frame_rows(frames, detections, keys).withColumn("part", F.col("frame_id"))
+    else:
+        parts = frame_rows(frames, detections, keys).join(cut_parts(frames, detections, keys, config, block), on)
+    heads = [*keys, "part"]
+
+    def make():
+        current: dict = {"key": None, "tracker": None}
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for row in rows.itertuples(index=False):
+                key = tuple(getattr(row, h) for h in heads)
+                if key != current["key"]:
+                    current.update(key=key, tracker=Tracker(config, width, height))
+                update = current["tracker"].update(int(row.pts_ms), seen_of(row))
+                out.extend((*key, *r) for r in rows_of(row.frame_id, row.pts_ms, update))
+            return pd.DataFrame(out, columns=[*heads, *COLUMNS], dtype=object)
+
+        return step
 
     key_types = ", ".join(f"{k} {parts.schema[k].dataType.simpleString()}" for k in keys)
-    tracked = fold(
-        parts, [*keys, "part"], [F.col("frame_id")], lambda key: Tracker(config, width, height), feed, f"{key_types}, part long, {OUTPUT}"
-    )
+    tracked = stream(parts, heads, [F.col("frame_id")], make, f"{key_types}, part long, {OUTPUT}")
     if config.mode == "raw":
         return tracked.drop("part")
     # Numbers given inside a part continue after those of the parts before it. The result

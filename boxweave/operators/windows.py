@@ -6,12 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from boxweave.functions import geometry as G
 from boxweave.operators.joins import BOX_COLUMNS
 from boxweave.operators.scan import Step, ordered_scan, time_block
-from boxweave.operators.sequential import affine_scan, fold
-from boxweave.session import broadcast_if_small
+from boxweave.operators.sequential import affine_scan, stream
+from boxweave.session import broadcast_if_small, checkpointed
 
 HOUR_MS = 3_600_000
 
@@ -233,23 +234,23 @@ def thin_by_gap(df: DataFrame, keys: list[str], time: str, gap: int, unit: int =
     cut = ordered_scan(
         seen.withColumn("__from", F.when(pause, F.col(time))), keys, [time_block(time, block)], order, [Step("__cut", "last", F.col("__from"))]
     ).drop("__before", "__from")
-    schema = cut.schema
     reach = gap * unit
 
-    def feed(state, rows: pd.DataFrame) -> pd.DataFrame:
-        t = rows[time].to_numpy()
-        kept, at = [], 0
-        while at < len(t):
-            if state["last"] is not None:
-                at = max(at, int(np.searchsorted(t, state["last"] + reach, side="left")))
-                if at >= len(t):
-                    break
-            kept.append(at)
-            state["last"] = int(t[at])
-            at += 1
-        return rows.iloc[kept]
+    def make():
+        due = [0]
 
-    return fold(cut, [*keys, "__cut"], order, lambda key: {"last": None}, feed, schema).drop("__cut")
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            kept, at = [], due[0]
+            for i, (t, start) in enumerate(zip(rows[time].tolist(), rows["__cut"].tolist())):
+                if t == start or t >= at:
+                    kept.append(i)
+                    at = t + reach
+            due[0] = at
+            return rows.iloc[kept]
+
+        return step
+
+    return stream(cut, [*keys, "__cut"], order, make, cut.schema).drop("__cut")
 
 
 def throttle_ticks(df: DataFrame, interval_sec: int, exact: bool = True) -> DataFrame:
@@ -290,33 +291,36 @@ def repair_pts(frames: DataFrame, step_ms: int, keys: list[str], block: int = 10
     keys are cut at such rows; only the stretches between need a walk in order.
     """
     order, blocks = [F.col("frame_id")], [time_block("frame_id", block)]
-    placed = ordered_scan(frames, keys, blocks, order, [Step("__n", "count")])
+    placed = checkpointed(ordered_scan(frames, keys, blocks, order, [Step("__n", "count")]))
     # Upper bound of the repaired time before row n: max over rows j of raw_j + (n-1-j)*step.
     reach = F.coalesce(F.col("pts_ms"), F.lit(0)) - F.col("__n") * step_ms
-    bounded = ordered_scan(placed.withColumn("__r", reach), keys, blocks, order, [Step("__max", "max", F.col("__r"))])
-    before = ordered_scan(bounded, keys, blocks, order, [Step("__b", "lag", F.struct(F.col("__max").alias("m")))])
-    fresh = F.col("__b").isNull() | (F.col("pts_ms") > F.col("__b.m") + (F.col("__n") - 1) * step_ms)
-    cut = ordered_scan(
-        before.withColumn("__from", F.when(fresh, F.col("__n"))), keys, blocks, order, [Step("__cut", "last", F.col("__from"))]
-    ).select(*frames.columns, "__cut")
-    schema = cut.drop("__cut").schema.add("repaired_pts_ms", "long")
-
-    def feed(state, rows: pd.DataFrame) -> pd.DataFrame:
-        raw = rows["pts_ms"].to_numpy(dtype=float)
-        out = np.empty(len(raw), dtype="int64")
-        last = state["last"]
-        for i, value in enumerate(raw.tolist()):
-            if value == value and (last is None or value > last):
-                last = int(value)
-            else:
-                last = 0 if last is None else last + step_ms
-            out[i] = last
-        state["last"] = last
-        result = rows.drop(columns="__cut")
-        result["pts_ms"] = result["pts_ms"].astype("Int64")
-        return result.assign(repaired_pts_ms=out)
-
-    return fold(cut, [*keys, "__cut"], order, lambda key: {"last": None}, feed, schema)
+    bounded = ordered_scan(placed, keys, blocks, order, [Step("__max", "max", reach, before=True)])
+    fresh = F.col("__max").isNull() | (F.col("pts_ms") > F.col("__max") + (F.col("__n") - 1) * step_ms)
+    cut = ordered_scan(bounded, keys, blocks, order, [Step("__cut", "last", F.when(fresh, F.col("__n")))])
+    cut = cut.select(*frames.columns, "__n", "__cut")
+    schema = StructType(list(frames.schema.fields)).add("repaired_pts_ms", "long")
+
+    def make():
+        state = [0]
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            raw, known = rows["pts_ms"].fillna(0).astype("int64").tolist(), rows["pts_ms"].notna().tolist()
+            out, last = [], state[0]
+            for value, ok, n, start in zip(raw, known, rows["__n"].tolist(), rows["__cut"].tolist()):
+                if n == start:
+                    last = value
+                else:
+                    last = value if ok and value > last else last + step_ms
+                out.append(last)
+            state[0] = last
+            result = rows[frames_columns].assign(repaired_pts_ms=out)
+            result["pts_ms"] = result["pts_ms"].astype("Int64")
+            return result
+
+        return step
+
+    frames_columns = frames.columns
+    return stream(cut, [*keys, "__cut"], order, make, schema)
 
 
 def frame_motion(tracks: DataFrame, min_tracks: int = 3, rule: str = "replay", block: int = 100_000) -> DataFrame:
@@ -355,18 +359,23 @@ def smooth_motion(motion: DataFrame, alpha: float = 0.25, reset_after_ms: int |
         gap = F.col("pts_ms") - F.col("__p.pts_ms")
         fresh = fresh | (gap > reset_after_ms) | (gap <= 0)
     marked = seen.withColumn("__from", F.when(fresh, F.col("pts_ms")))
-    cut = ordered_scan(marked, ["channel_id"], [time_block("pts_ms", block_ms)], order, [Step("__cut", "last", F.col("__from"))]).drop("__p", "__from")
-    schema = cut.drop("__cut").schema.add("smooth_dx", "double").add("smooth_dy", "double")
-
-    def feed(state, rows: pd.DataFrame) -> pd.DataFrame:
-        keep = np.full(len(rows), 1.0 - alpha)
-        gain = np.full(len(rows), alpha)
-        if state["x"] is None:
-            keep[0], gain[0] = 0.0, 1.0
-        out = {}
-        for axis in ("x", "y"):
-            out[axis] = affine_scan(keep, gain * rows[f"d{axis}"].to_numpy(), state[axis] or 0.0)
-            state[axis] = float(out[axis][-1])
-        return rows.drop(columns="__cut").assign(smooth_dx=out["x"], smooth_dy=out["y"])
-
-    return fold(cut, ["channel_id", "__cut"], order, lambda key: {"x": None, "y": None}, feed, schema)
+    cut = ordered_scan(marked, ["channel_id"], [time_block("pts_ms", block_ms)], order, [Step("__cut", "last", F.col("__from"))])
+    cut = cut.withColumn("__fresh", F.col("__from").isNotNull()).drop("__p", "__from")
+    schema = StructType(list(motion.schema.fields)).add("smooth_dx", "double").add("smooth_dy", "double")
+    columns = motion.columns
+
+    def make():
+        carry = {"dx": 0.0, "dy": 0.0}
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            fresh = rows["__fresh"].to_numpy(bool)
+            keep, gain = np.where(fresh, 0.0, 1.0 - alpha), np.where(fresh, 1.0, alpha)
+            out = rows[columns].copy()
+            for axis in ("dx", "dy"):
+                out[f"smooth_{axis}"] = affine_scan(keep, gain * rows[axis].to_numpy(), carry[axis])
+                carry[axis] = float(out[f"smooth_{axis}"].iloc[-1])
+            return out
+
+        return step
+
+    return stream(cut, ["channel_id", "__cut"], order, make, schema)

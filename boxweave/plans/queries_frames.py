@@ -18,6 +18,7 @@ from boxweave.plans.queries_boxes import (
 from boxweave.plans.registry import query, r6
 from boxweave.plans.views import view
 from boxweave.plans.views import with_views as W
+from boxweave.session import checkpointed
 
 
 def _packed(p: str, *more: str) -> str:
@@ -284,7 +285,8 @@ def _(spark, sf):
     d = P.filter_confidence(view(spark, sf, "detections"), 0.3)
     d = P.filter_classes(d, ["cup", "laptop", "book"])
     d = P.roi_assign(d, view(spark, sf, "regions"), FRAME_W, FRAME_H)
-    reports = A.frame_reports(view(spark, sf, "frames"), d)
+    # One small row per frame, scanned twice below: written once.
+    reports = checkpointed(A.frame_reports(view(spark, sf, "frames"), d))
     return Wn.changed_only(reports, events=None).select("channel_id", "frame_id", "ts_ms", "n_objects")
 
 

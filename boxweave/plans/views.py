@@ -82,7 +82,7 @@ def _detections(d, where="") -> str:
              l_orderkey AS frame_id,
              33 * l_orderkey AS pts_ms,
              1700000000000 + 33 * l_orderkey AS ts_ms,
-             (CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey) * 1000000 + l_suppkey AS det_ord,
+             ((CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey) * 1000000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS det_ord,
              CAST(l_partkey % 6 AS INT) AS class_id,
              {_label('l_partkey % 6')} AS label,
              ROUND(CAST(0.05 AS DOUBLE) + 9 * l_discount, 6) AS score,
@@ -131,7 +131,7 @@ def _views(d) -> dict[str, str]:
       FROM {region}""",
         "tiled": f"""
       SELECT l_orderkey AS frame_id,
-             (CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey) * 1000000 + l_suppkey AS det_ord,
+             ((CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey) * 1000000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS det_ord,
              CAST(l_partkey % 3 AS INT) AS class_id,
              {_label('l_partkey % 3')} AS label,
              ROUND(CAST(0.05 AS DOUBLE) + 9 * l_discount, 6) AS score,
@@ -257,7 +257,7 @@ def _views(d) -> dict[str, str]:
       FROM {{lineitem}}""",
         "label_lines": """
       SELECT concat('img', CAST(l_orderkey AS STRING)) AS image_stem,
-             (CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey) * 1000000 + l_suppkey AS line_no,
+             ((CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey) * 1000000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS line_no,
              CASE WHEN l_suppkey % 40 = 0 THEN '1 2 3'
                   ELSE concat(CAST(l_partkey % 7 AS STRING), ' ',
                               CAST(CAST(l_suppkey % 12 AS DOUBLE) / 10 AS STRING), ' ',

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxweave.functions.staged import staged
+
 PAIRS = ["raw_center", "smooth_center", "raw_delta", "smooth_delta"]
 OPTIONAL_PAIRS = ["raw_size", "smooth_size"]
 INTS = ["pts_ms", "dt_ms", "stable_tracks", "raw_reversals", "created", "lost"]
@@ -19,31 +21,30 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), "value")
 
 
-def _value(fields: Column, key: str) -> Column:
+def _value(key: str) -> Column:
     """Value of a key, the last if it repeats; null if absent."""
-    return F.try_element_at(F.filter(fields, lambda p: p["0"] == key), F.lit(-1))["1"]
+    return F.get("__v", F.array_position("__k", F.lit(key)).cast("int") - 1)
 
 
 def _marked(lines: DataFrame, marker: str, pattern: str) -> DataFrame:
-    at = F.instr("value", marker)
+    """Lines with the marker; ``__k`` and ``__v`` hold their keys and values, last first."""
     text = F.expr(f"substring(value, instr(value, '{marker}'))")
-    zipped = F.zip_with(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(2)),
-        lambda k, v: F.struct(k.alias("0"), v.alias("1")),
-    )
-    return lines.where(at > 0).withColumn("__f", zipped)
+    found = [F.reverse(F.regexp_extract_all(text, F.lit(pattern), F.lit(g))) for g in (1, 2)]
+    return staged(lines.where(F.instr("value", marker) > 0), {"__k": found[0], "__v": found[1]})
 
 
 def _ids(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: x.try_cast("long"))
 
 
-def _split(df: DataFrame, lines: DataFrame, required: list[str], bad: Column, columns: list[Column]) -> tuple[DataFrame, DataFrame]:
-    missing = F.array_compact(F.array(*[F.when(_value(F.col("__f"), k).isNull(), k) for k in required]))
-    reason = F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", "))).when(F.coalesce(bad, F.lit(True)), "format")
-    judged = df.withColumn("__reason", reason)
-    good = judged.where(F.col("__reason").isNull()).select(*columns)
+def _split(df: DataFrame, lines: DataFrame, required: list[str], bad: Column, columns: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Good rows and rejects. ``bad`` is judged on the parsed columns."""
+    missing = F.array_join(F.array_compact(F.array(*[F.when(_value(k).isNull(), k) for k in required])), ", ")
+    parsed = staged(df, {**columns, "__missing": missing})
+    reason = F.when(F.col("__missing") != "", F.concat(F.lit("missing "), "__missing")).when(F.coalesce(bad, F.lit(True)), "format")
+    judged = staged(parsed, {"__reason": reason})
+    kept = [c for c in ("file", "line_no") if c in lines.columns]
+    good = judged.where(F.col("__reason").isNull()).select(*kept, *columns)
     rejects = judged.where(F.col("__reason").isNotNull()).select(*lines.columns, F.col("__reason").alias("reason"))
     return good, rejects
 
@@ -58,49 +59,40 @@ def _any_null(columns: list[Column]) -> Column:
 def parse_motion_stats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``[MotionStats]`` lines to samples, and rejects with a reason."""
     df = _marked(lines, "[MotionStats]", TOKEN)
-    f = F.col("__f")
 
     def pair(key: str, i: int) -> Column:
-        return F.get(F.split(_value(f, key), ",", 2), F.lit(i)).try_cast("double")
+        return F.get(F.split(_value(key), ",", 2), F.lit(i)).try_cast("double")
 
     names = {"raw_center": "raw_center_{}", "smooth_center": "smooth_center_{}", "raw_delta": "raw_d{}", "smooth_delta": "smooth_d{}",
              "raw_size": "raw_size_{}", "smooth_size": "smooth_size_{}"}
-    ints = {k: _value(f, k).try_cast("long") for k in ["frame", *INTS]}
-    floats = {k: _value(f, k).try_cast("double") for k in FLOATS}
+    ints = {k: _value(k).try_cast("long") for k in ["frame", *INTS]}
+    floats = {k: _value(k).try_cast("double") for k in FLOATS}
     pairs = {names[k].format(axis): pair(k, i) for k in PAIRS + OPTIONAL_PAIRS for i, axis in enumerate("xy")}
-    ids = {k: _ids(_value(f, k)) for k in IDS}
-    needed = [*ints.values(), *floats.values(), *[pairs[names[k].format(a)] for k in PAIRS for a in "xy"]]
-    bad = _any_null(needed)
-    for c in ids.values():
+    ids = {k: _ids(_value(k)) for k in IDS}
+    named = {"frame_id" if k == "frame" else k: c for k, c in {**ints, **floats, **pairs, **ids}.items()}
+    optional = [names[k].format(a) for k in OPTIONAL_PAIRS for a in "xy"]
+    bad = _any_null([F.col(c) for c in named if c not in optional])
+    for c in ids:
         bad = bad | F.exists(c, lambda x: x.isNull())
-    columns = [
-        *[c for c in ("file", "line_no") if c in lines.columns],
-        *[c.alias("frame_id" if k == "frame" else k) for k, c in {**ints, **floats, **pairs, **ids}.items()],
-    ]
-    return _split(df, lines, ["frame", *INTS, *FLOATS, *PAIRS, *IDS], bad, columns)
+    return _split(df, lines, ["frame", *INTS, *FLOATS, *PAIRS, *IDS], bad, named)
 
 
 def parse_motion_tracks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``[MotionTrack]`` lines to track samples, and rejects with a reason."""
     df = _marked(lines, "[MotionTrack]", r"([a-z_]+)=([^\s]+)")
-    f = F.col("__f")
     ints = {"frame": "frame_id", "pts_ms": "pts_ms", "id": "track_id", "class_id": "class_id", "dt_ms": "dt_ms"}
     flags = ["deadzone", "reset", "was_active", "active"]
-    whole = {n: _value(f, k).try_cast("int" if k == "class_id" else "long") for k, n in ints.items()}
-    switch = {k: F.when(_value(f, k) == "1", True).when(_value(f, k) == "0", False) for k in flags}
+    whole = {n: _value(k).try_cast("int" if k == "class_id" else "long") for k, n in ints.items()}
+    switch = {k: F.when(_value(k) == "1", True).when(_value(k) == "0", False) for k in flags}
     boxes = {}
-    bad_size = F.lit(False)
     for side in ("raw", "smooth"):
-        parts = F.split(_value(f, side), ",")
-        bad_size = bad_size | (F.size(parts) != 4)
+        parts = F.split(_value(side), ",")
+        boxes[f"__{side}_n"] = F.size(parts)
         boxes.update({f"{side}_{c}": F.get(parts, F.lit(i)).try_cast("double") for i, c in enumerate(("x1", "y1", "x2", "y2"))})
-    alpha = _value(f, "size_alpha").try_cast("double")
-    bad = bad_size | _any_null([*whole.values(), *switch.values(), *boxes.values(), alpha])
-    columns = [
-        *[c for c in ("file", "line_no") if c in lines.columns],
-        *[c.alias(n) for n, c in {**whole, **boxes, **switch, "size_alpha": alpha}.items()],
-    ]
-    return _split(df, lines, [*ints, "raw", "smooth", *flags, "size_alpha"], bad, columns)
+    named = {**whole, **boxes, **switch, "size_alpha": _value("size_alpha").try_cast("double")}
+    bad = (F.col("__raw_n") != 4) | (F.col("__smooth_n") != 4) | _any_null([F.col(c) for c in named])
+    good, rejects = _split(df, lines, [*ints, "raw", "smooth", *flags, "size_alpha"], bad, named)
+    return good.drop("__raw_n", "__smooth_n"), rejects
 
 
 def parse_runtime_stats(lines: DataFrame) -> DataFrame:
