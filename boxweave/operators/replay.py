@@ -42,8 +42,12 @@ def prepare(tracks: DataFrame, block: int = 100_000) -> DataFrame:
     """
     keys, order = ["channel_id", "track_id"], [F.col("frame_id")]
     blocks = [time_block("frame_id", block)]
-    seen = ordered_scan(tracks, keys, blocks, order, [Step("__p", "lag", F.struct("active", *RAW))])
-    fresh = F.col("reset") | F.col("__p").isNull() | (F.col("dt_ms") <= 0)
+    resets = F.col("reset") | (F.col("dt_ms") <= 0)
+    seen = ordered_scan(
+        tracks, keys, blocks, order,
+        [Step("__p", "lag", F.struct("active", *RAW)), Step("__cut", "last", F.when(resets, F.col("frame_id")))],
+    )
+    fresh = resets | F.col("__p").isNull()
     (w, h), (pw, ph) = _sides("raw_"), _sides("__p.raw_")
     (x, y), (px, py) = _middle("raw_"), _middle("__p.raw_")
     seconds = F.col("dt_ms") / 1000.0
@@ -52,7 +56,7 @@ def prepare(tracks: DataFrame, block: int = 100_000) -> DataFrame:
     diagonal = F.greatest(F.lit(1.0), F.hypot(w, h))
     moving = ~F.col("fresh") & ~F.col("deadzone")
     out = seen.withColumn("fresh", fresh)
-    out = out.select(
+    return out.select(
         *keys, "frame_id", "pts_ms", "class_id", "dt_ms", "deadzone", "fresh",
         w.alias("raw_w"), h.alias("raw_h"), x.alias("raw_cx"), y.alias("raw_cy"),
         *[c.alias(n) for c, n in zip(_sides("smooth_"), ("logged_w", "logged_h"))],
@@ -62,9 +66,8 @@ def prepare(tracks: DataFrame, block: int = 100_000) -> DataFrame:
         diagonal.alias("diagonal"),
         F.when(~F.col("fresh"), step / diagonal / seconds).alias("speed"),
         (F.col("active") & F.coalesce(F.col("__p.active"), F.lit(False)) & F.col("dt_ms").between(10, 250) & ~F.col("fresh")).alias("counts"),
-        F.when(F.col("fresh"), F.col("frame_id")).alias("__from"),
+        F.coalesce("__cut", F.lit(-1)).alias("cut"),
     )
-    return ordered_scan(out, keys, blocks, order, [Step("cut", "last", F.col("__from"))]).drop("__from")
 
 
 def _ease(v: np.ndarray) -> np.ndarray:

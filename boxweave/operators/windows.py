@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from boxweave.functions import geometry as G
 from boxweave.operators.joins import BOX_COLUMNS
-from boxweave.operators.scan import Step, ordered_scan, time_block
+from boxweave.operators.scan import Step, chains, ordered_scan, time_block
 from boxweave.operators.sequential import affine_scan, stream
 from boxweave.session import broadcast_if_small, checkpointed
 
@@ -35,24 +35,24 @@ def roi_dwell(boxes: DataFrame, dwell_sec: float, iou_min: float = 0.20, block_m
     by less than ``iou_min``. Rows need ``region_ord``, ``ts_ms``, ``det_ord``.
     """
     keys = ["channel_id", "region_ord", "class_id"]
-    blocks = [time_block("ts_ms", block_ms)]
-    order = [F.col("ts_ms"), F.col("det_ord")]
-    seen = ordered_scan(boxes, keys, blocks, order, [Step("__p", "lag", F.struct("ts_ms", *BOX_COLUMNS))])
-    before = G.Box(*[F.col(f"__p.{c}") for c in BOX_COLUMNS])
-    starts = F.col("__p").isNull() | (G.iou(before, G.box()) < iou_min)
-    marked = seen.withColumn("__start", F.when(starts, F.col("ts_ms"))).drop("__p")
-    chained = ordered_scan(marked, keys, blocks, order, [Step("__since", "last", F.col("__start"))])
+
+    def moved(previous, current):
+        return G.iou(G.Box(*[previous(c) for c in BOX_COLUMNS]), G.Box(*[current(c) for c in BOX_COLUMNS])) < iou_min
+
+    chained = chains(
+        boxes, keys, [time_block("ts_ms", block_ms)], [F.col("ts_ms"), F.col("det_ord")], BOX_COLUMNS, moved, F.col("ts_ms"), {"__since": "since"}
+    )
     timed = chained.withColumn("dwell_sec", (F.col("ts_ms") - F.col("__since")) / 1000.0)
-    return timed.where(F.col("dwell_sec") >= dwell_sec).drop("__start", "__since")
+    return timed.where(F.col("dwell_sec") >= dwell_sec).drop("__since")
 
 
 def connection_epoch(frames: DataFrame, keys: list[str] | None = None, pts: str = "pts_ms", block: int = 100_000) -> DataFrame:
     """Count of times the media clock fell back while frame numbers grew."""
     keys = keys or ["channel_id"]
-    blocks, order = [time_block("frame_id", block)], [F.col("frame_id")]
-    seen = ordered_scan(frames, keys, blocks, order, [Step("__before", "lag", F.struct(F.col(pts).alias("p")))])
-    fell = F.coalesce((F.col("__before.p") > F.col(pts)).cast("long"), F.lit(0))
-    return ordered_scan(seen.withColumn("__fell", fell), keys, blocks, order, [Step("epoch", "sum", F.col("__fell"))]).drop("__before", "__fell")
+    counted = chains(
+        frames, keys, [time_block("frame_id", block)], [F.col("frame_id")], [pts], lambda p, c: p(pts) > c(pts), F.col("frame_id"), {"epoch": "count"}
+    )
+    return counted.withColumn("epoch", F.col("epoch") - 1)
 
 
 def reversal_rate(samples: DataFrame, smooth: bool, block_ms: int = HOUR_MS, min_step: float = 0.5) -> DataFrame:
@@ -229,11 +229,10 @@ def thin_by_gap(df: DataFrame, keys: list[str], time: str, gap: int, unit: int =
     there and the cuts run in parallel; inside a cut rows stream in time order.
     """
     order = [F.col(time)]
-    seen = ordered_scan(df, keys, [time_block(time, block)], order, [Step("__before", "lag", F.struct(F.col(time).alias("t")))])
-    pause = F.col("__before").isNull() | (F.floor((F.col(time) - F.col("__before.t")) / unit) >= gap)
-    cut = ordered_scan(
-        seen.withColumn("__from", F.when(pause, F.col(time))), keys, [time_block(time, block)], order, [Step("__cut", "last", F.col("__from"))]
-    ).drop("__before", "__from")
+    cut = chains(
+        df, keys, [time_block(time, block)], order, [time], lambda p, c: F.floor((c(time) - p(time)) / unit) >= gap, F.col(time),
+        {"__cut": "since", "__fresh": "starts"},
+    )
     reach = gap * unit
 
     def make():
@@ -241,8 +240,8 @@ def thin_by_gap(df: DataFrame, keys: list[str], time: str, gap: int, unit: int =
 
         def step(rows: pd.DataFrame) -> pd.DataFrame:
             kept, at = [], due[0]
-            for i, (t, start) in enumerate(zip(rows[time].tolist(), rows["__cut"].tolist())):
-                if t == start or t >= at:
+            for i, (t, fresh) in enumerate(zip(rows[time].tolist(), rows["__fresh"].tolist())):
+                if fresh or t >= at:
                     kept.append(i)
                     at = t + reach
             due[0] = at
@@ -250,7 +249,7 @@ def thin_by_gap(df: DataFrame, keys: list[str], time: str, gap: int, unit: int =
 
         return step
 
-    return stream(cut, [*keys, "__cut"], order, make, cut.schema).drop("__cut")
+    return stream(cut, [*keys, "__cut"], order, make, cut.schema).drop("__cut", "__fresh")
 
 
 def throttle_ticks(df: DataFrame, interval_sec: int, exact: bool = True) -> DataFrame:
@@ -353,14 +352,14 @@ def frame_motion(tracks: DataFrame, min_tracks: int = 3, rule: str = "replay", b
 def smooth_motion(motion: DataFrame, alpha: float = 0.25, reset_after_ms: int | None = 250, block_ms: int = HOUR_MS) -> DataFrame:
     """Exponential smoothing of common motion; starts afresh after a pause (None: never)."""
     order = [F.col("pts_ms"), F.col("frame_id")]
-    seen = ordered_scan(motion, ["channel_id"], [time_block("pts_ms", block_ms)], order, [Step("__p", "lag", F.struct("pts_ms"))])
-    fresh = F.col("__p").isNull()
-    if reset_after_ms is not None:
-        gap = F.col("pts_ms") - F.col("__p.pts_ms")
-        fresh = fresh | (gap > reset_after_ms) | (gap <= 0)
-    marked = seen.withColumn("__from", F.when(fresh, F.col("pts_ms")))
-    cut = ordered_scan(marked, ["channel_id"], [time_block("pts_ms", block_ms)], order, [Step("__cut", "last", F.col("__from"))])
-    cut = cut.withColumn("__fresh", F.col("__from").isNotNull()).drop("__p", "__from")
+
+    def paused(previous, current):
+        gap = current("pts_ms") - previous("pts_ms")
+        return F.lit(False) if reset_after_ms is None else (gap > reset_after_ms) | (gap <= 0)
+
+    cut = chains(
+        motion, ["channel_id"], [time_block("pts_ms", block_ms)], order, ["pts_ms"], paused, F.col("pts_ms"), {"__cut": "since", "__fresh": "starts"}
+    )
     schema = StructType(list(motion.schema.fields)).add("smooth_dx", "double").add("smooth_dy", "double")
     columns = motion.columns
 

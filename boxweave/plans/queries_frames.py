@@ -299,7 +299,7 @@ DWELL_SQL = f"""a AS (SELECT d.*, h.region_ord, d.ts_ms AS t FROM detections d J
 
 @query("roi_dwell", W(f"+{ROI_PIXELS}, {ROI_HIT}, {DWELL_SQL} SELECT channel_id, region_ord, class_id, frame_id, det_ord, dwell AS dwell_sec FROM g WHERE dwell >= 0.5", "detections", "regions"))
 def _(spark, sf):
-    boxes = P.roi_assign(view(spark, sf, "detections"), view(spark, sf, "regions"), FRAME_W, FRAME_H)
+    boxes = P.roi_assign(view(spark, sf, "detections").drop("label", "pts_ms", "score"), view(spark, sf, "regions"), FRAME_W, FRAME_H)
     out = Wn.roi_dwell(boxes, 0.5, block_ms=60_000)
     return out.select("channel_id", "region_ord", "class_id", "frame_id", "det_ord", "dwell_sec")
 
