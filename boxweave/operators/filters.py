@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxweave.functions import geometry as G
 from boxweave.functions import scalars as S
+from boxweave.functions.staged import staged
 from boxweave.operators.scan import Step, ordered_scan, time_block
 from boxweave.session import broadcast_if_small
 
@@ -42,13 +43,27 @@ def roi_assign(
     height: float,
     filter_outside: bool = True,
     cells: int = 16,
+    max_literal: int = 64,
 ) -> DataFrame:
     """First region, in ``region_ord``, that holds the centre of each box.
 
-    Regions are listed under the cells of a grid over the frame, at most one row per
-    cell, so each box meets one row by an equality join and no box is multiplied.
+    Up to 64 regions, checked, become one CASE expression. More are listed under the
+    cells of a grid over the frame, at most one row per cell, so each box meets one row
+    by an equality join and no box is multiplied.
     """
     pixels = roi_to_pixels(regions, width, height)
+    b = G.box()
+    cx, cy = G.center_x(b), G.center_y(b)
+    few = pixels.orderBy("region_ord").limit(max_literal + 1).collect()
+    if len(few) <= max_literal:
+        picked = F.lit(None).cast("struct<region_ord:int,region_id:string>")
+        for r in reversed(few):
+            held = cx.between(r.rx1, r.rx2) & cy.between(r.ry1, r.ry2)
+            here = F.struct(F.lit(r.region_ord).alias("region_ord"), F.lit(r.region_id).alias("region_id"))
+            picked = F.when(held, here).otherwise(picked)
+        out = staged(df, {"hit": picked}).select(*df.columns, "hit.region_ord", "hit.region_id")
+        # No usable region at all means that nothing is filtered.
+        return out.where(F.col("region_id").isNotNull()) if filter_outside and few else out
 
     def cell(c: Column, extent: float) -> Column:
         return S.clamp(F.floor(c * cells / extent), 0, cells - 1).cast("int")
@@ -59,22 +74,16 @@ def roi_assign(
         .groupBy("cell_x", "cell_y")
         .agg(F.array_sort(F.collect_list(F.struct("region_ord", "region_id", "rx1", "ry1", "rx2", "ry2"))).alias("near"))
     )
-    b = G.box()
-    cx, cy = G.center_x(b), G.center_y(b)
     placed = df.withColumn("cell_x", cell(cx, width)).withColumn("cell_y", cell(cy, height))
     joined = placed.join(broadcast_if_small(listed), ["cell_x", "cell_y"], "left")
     hits = F.filter(
         F.coalesce(F.col("near"), F.array()),
         lambda r: cx.between(r["rx1"], r["rx2"]) & cy.between(r["ry1"], r["ry2"]),
     )
-    out = joined.withColumn("hit", F.try_element_at(hits, F.lit(1))).select(
+    out = staged(joined, {"hit": F.try_element_at(hits, F.lit(1))}).select(
         *df.columns, F.col("hit.region_ord").alias("region_ord"), F.col("hit.region_id").alias("region_id")
     )
-    if not filter_outside:
-        return out
-    # No usable region at all means that nothing is filtered.
-    any_region = pixels.limit(1).count() > 0
-    return out.where(F.col("region_id").isNotNull()) if any_region else out
+    return out.where(F.col("region_id").isNotNull()) if filter_outside else out
 
 
 def clip_boxes(df: DataFrame, width: float, height: float, min_px: float = 2.0) -> DataFrame:

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from boxweave.functions import boxmath as M
 from boxweave.functions import geometry as G
+from boxweave.functions.staged import staged
 from boxweave.operators.filters import reliability_key, tile_of
 from boxweave.operators.joins import BOX_COLUMNS, gt_candidates, prefixed
+from boxweave.operators.scan import Step, ordered_scan, time_block
 from boxweave.operators.sequential import whole_groups
 from boxweave.operators.spatial import rect_pairs
 from boxweave.session import broadcast_if_small, checkpointed
@@ -38,7 +40,8 @@ def split_oversize(df: DataFrame, keys: list[str], max_group: int) -> tuple[Data
 
 def _keep_in_rounds(df: DataFrame, keys: list[str], rank: Column, conflict: Callable, cell: float) -> DataFrame:
     """Greedy keep for crowded groups: a box stays once nothing undecided ahead of it conflicts."""
-    nodes = checkpointed(df.withColumn("__rank", rank))
+    nodes = _first_copies(df.withColumn("__rank", rank), keys, conflict)
+    nodes = checkpointed(nodes)
     slim = nodes.select(*keys, "det_ord", "class_id", "score", *BOX_COLUMNS, "__rank")
     a, b = G.box("a_"), G.box("b_")
     edges = rect_pairs(
@@ -61,6 +64,36 @@ def _keep_in_rounds(df: DataFrame, keys: list[str], rank: Column, conflict: Call
     return nodes.join(kept, on, "left_semi").drop("__rank")
 
 
+def _first_copies(df: DataFrame, keys: list[str], conflict: Callable) -> DataFrame:
+    """Drop boxes with the very corners of a better one, where a box conflicts with its like.
+
+    Only the first of such copies can stay, so a pile of copies is reduced with map-side
+    combine before any pairs are built.
+    """
+    alone = staged(df, {"__alike": conflict(G.box(), G.box())})
+    best = alone.where("__alike").groupBy(*keys, *BOX_COLUMNS).agg(F.min_by(F.struct(*[c for c in df.columns if c not in (*keys, *BOX_COLUMNS)]), "__rank").alias("b"))
+    firsts = best.select(*keys, *BOX_COLUMNS, "b.*").select(*df.columns)
+    return firsts.unionByName(alone.where(~F.col("__alike")).select(*df.columns))
+
+
+def in_strips(df: DataFrame, by: list[str], max_group: int = MAX_GROUP) -> DataFrame:
+    """Add ``strip``: crowded frames fall apart where no box spans a vertical line.
+
+    Boxes of different strips do not touch, so rules that need an overlap never look
+    across. Other frames are one strip.
+    """
+    usual, crowded = split_oversize(df, by, max_group)
+    usual = usual.withColumn("strip", F.lit(0).cast("long"))
+    if crowded is None:
+        return usual
+    rows = checkpointed(crowded)
+    blocks, order = [time_block("x1", 64)], [F.col("x1"), F.col("det_ord")]
+    reached = ordered_scan(rows, by, blocks, order, [Step("__reach", "max", F.col("x2"), before=True)])
+    opens = (F.col("__reach").isNull() | (F.col("x1") > F.col("__reach"))).cast("long")
+    cut = ordered_scan(checkpointed(reached), by, blocks, order, [Step("strip", "sum", opens)]).drop("__reach")
+    return usual.unionByName(cut.select(*usual.columns))
+
+
 def greedy_keep(df: DataFrame, keys: list[str], order: list[Column], conflict: Callable, max_group: int = MAX_GROUP,
                 cell: float = 512.0) -> DataFrame:
     """Walk each group in ``order``; a box stays unless a kept box conflicts with it.
@@ -102,13 +135,15 @@ def select_exclusive(df: DataFrame, by: list[str], max_group: int = MAX_GROUP) -
     )
 
 
-def merge_detections(df: DataFrame, by: list[str], iou: float = 0.45) -> DataFrame:
+def merge_detections(df: DataFrame, by: list[str], iou: float = 0.45, max_group: int = MAX_GROUP) -> DataFrame:
     """Drop or replace boxes inside their own class, then between classes.
 
     Within a class, a box that overlaps (IoU) or nests with a kept one is absorbed; the
     kept box is replaced when the newcomer is larger and scores within 0.10.
-    Groups are the boxes of one frame, bounded by the cells of the model head.
+    Groups are the boxes of one frame, or of one strip of a crowded frame.
     """
+    wanted = df.columns
+    df, by = in_strips(df, by, max_group), [*by, "strip"]
     columns = [c for c in df.columns if c not in by]
     payload = F.struct((-F.round("score", 6)).alias("rank"), F.col("det_ord").alias("rank_ord"), *columns)
     gathered = df.groupBy(*by).agg(F.array_sort(F.collect_list(payload)).alias("boxes"))
@@ -137,7 +172,7 @@ def merge_detections(df: DataFrame, by: list[str], iou: float = 0.45) -> DataFra
 
     first = gathered.select(*by, F.array_sort(F.aggregate("boxes", nothing, within)).alias("boxes"))
     second = first.select(*by, F.explode(F.aggregate("boxes", nothing, between)).alias("b"))
-    return second.select(*[c if c in by else F.col(f"b.{c}").alias(c) for c in df.columns])
+    return second.select(*[c if c in by else F.col(f"b.{c}").alias(c) for c in wanted])
 
 
 def merge_regions(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -187,8 +222,9 @@ def pairwise_survivors(members, duel: Callable[[int, int], int | None]) -> list[
     return [i for i in members if i not in out]
 
 
-def dedup_display(df: DataFrame, by: list[str]) -> DataFrame:
+def dedup_display(df: DataFrame, by: list[str], max_group: int = MAX_GROUP) -> DataFrame:
     """Of two boxes drawn in one place the better scored stays, the earlier on a tie."""
+    df, by = in_strips(df, by, max_group), [*by, "strip"]
 
     def work(cols):
         boxes = np.stack([cols[c] for c in BOX_COLUMNS], axis=1).tolist()
@@ -202,7 +238,7 @@ def dedup_display(df: DataFrame, by: list[str]) -> DataFrame:
         alive = pairwise_survivors(len(boxes), duel)
         return {c: v[alive].tolist() for c, v in cols.items()}
 
-    return whole_groups(df, by, [F.col("det_ord")], work, df.schema)
+    return whole_groups(df, by, [F.col("det_ord")], work, df.schema).drop("strip")
 
 
 # Fixed values of the two passes of ``merge_boundary``.

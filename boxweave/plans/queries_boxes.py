@@ -76,7 +76,8 @@ def _(spark, sf):
 
 @query("roi_assign", W(f"+{ROI_PIXELS}, {ROI_HIT} SELECT d.frame_id, d.det_ord, coalesce(r.region_id, 'none') AS region_id FROM detections d LEFT JOIN hit h USING (frame_id, det_ord) LEFT JOIN roi r USING (region_ord)", "detections", "regions"))
 def _(spark, sf):
-    out = P.roi_assign(view(spark, sf, "detections"), view(spark, sf, "regions"), FRAME_W, FRAME_H, filter_outside=False)
+    # The grid, meant for many regions.
+    out = P.roi_assign(view(spark, sf, "detections"), view(spark, sf, "regions"), FRAME_W, FRAME_H, filter_outside=False, max_literal=0)
     return out.select("frame_id", "det_ord", F.coalesce("region_id", F.lit("none")).alias("region_id"))
 
 

@@ -82,6 +82,23 @@ def test_nms_equals_loop_also_for_crowded_frames(spark, max_group):
     assert R.nms(got, 0.45, ["frame_id"]).count() == len(want)
 
 
+def test_crowded_frames_merge_like_quiet_ones(spark):
+    """Strips of a crowded frame give what the frame as a whole gives."""
+    rows = [(r[0], *r[1:5], r[5] * 4, r[6], r[5] * 4 + r[7] - r[5], r[8]) for r in boxes(15, 6, 30)]
+    df = spark.createDataFrame(rows, f"frame_id long, det_ord long, {BOX}")
+    for op in (R.merge_detections, R.dedup_display):
+        whole = {(r.frame_id, r.det_ord) for r in op(df, ["frame_id"]).collect()}
+        cut = {(r.frame_id, r.det_ord) for r in op(df, ["frame_id"], max_group=3).collect()}
+        assert whole == cut and len(whole) < len(rows)
+
+
+def test_pile_of_copies(spark):
+    rows = [(0, i, 1, "c", 0.5, 0.0, 0.0, 10.0, 10.0) for i in range(300)] + [(0, 1000, 1, "c", 0.9, 2.0, 0.0, 11.0, 10.0), (0, 1001, 1, "c", 0.1, 5.0, 5.0, 5.0, 5.0), (0, 1002, 1, "c", 0.1, 5.0, 5.0, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, f"frame_id long, det_ord long, {BOX}")
+    for limit in (R.MAX_GROUP, 5):
+        assert {r.det_ord for r in R.nms(df, 0.45, ["frame_id"], limit).collect()} == {1000, 1001, 1002}
+
+
 def test_merge_boundary_equals_loop(spark):
     rng = random.Random(5)
     rows = []
