@@ -194,14 +194,16 @@ def motion_report(samples: DataFrame, low: float = 0.35, high: float = 0.75) ->
         (pick("moving", "p90") * 100).alias("moving_smooth_step_p90_pct_diag"),
         (pick("all", "p95") * 100).alias("overall_smooth_step_p95_pct_diag"),
     )
-    turns = [
-        Wn.reversal_rate(valid, smooth).select("run_id", F.col("rate_pct").alias(f"{'smooth' if smooth else 'raw'}_direction_reversal_rate_pct"))
-        for smooth in (False, True)
-    ]
-    changes = Wn.track_set_change_rate(valid).select("run_id", F.col("rate_pct").alias("track_set_change_rate_pct"))
+    counts = {f"__{side}_{k}": c for side in ("raw", "smooth") for k, c in zip(("eligible", "turns"), Wn.turn_counts(side))}
+    steps_back = Wn.neighbours(valid).groupBy("run_id").agg(*[c.alias(n) for n, c in counts.items()], Wn.set_changes().alias("__changes"))
+
+    def rate(side: str) -> Column:
+        eligible = F.col(f"__{side}_eligible")
+        return F.when(eligible > 0, F.col(f"__{side}_turns") * 100.0 / eligible).alias(f"{side}_direction_reversal_rate_pct")
+
     seen = samples.groupBy("run_id").agg(F.count("*").alias("__seen"))
     out = plain.join(seen, "run_id")
-    for other in (wide, *turns, changes):
+    for other in (wide, steps_back):
         out = out.join(other, "run_id", "left")
     duration = F.greatest(F.lit(0.0), (F.col("__last") - F.col("__first")) / 1000.0)
     minutes = F.greatest(F.col("duration_sec") / 60.0, F.lit(1e-9))
@@ -226,9 +228,9 @@ def motion_report(samples: DataFrame, low: float = 0.35, high: float = 0.75) ->
         "moving_equivalent_lag_p90_ms",
         "moving_smooth_step_p90_pct_diag",
         "overall_smooth_step_p95_pct_diag",
-        "raw_direction_reversal_rate_pct",
-        "smooth_direction_reversal_rate_pct",
-        "track_set_change_rate_pct",
+        rate("raw"),
+        rate("smooth"),
+        (c("__changes") * 100.0 / F.greatest(F.lit(1), c("samples") - 1)).alias("track_set_change_rate_pct"),
         (c("__created") / minutes).alias("created_tracks_per_min"),
         (c("__lost") / minutes).alias("lost_tracks_per_min"),
         "mean_stable_tracks",

@@ -55,34 +55,40 @@ def connection_epoch(frames: DataFrame, keys: list[str] | None = None, pts: str
     return counted.withColumn("epoch", F.col("epoch") - 1)
 
 
+def neighbours(samples: DataFrame, block_ms: int = HOUR_MS) -> DataFrame:
+    """Samples with ``before``: steps and track ids of the sample before, per run."""
+    fields = F.struct("raw_dx", "raw_dy", "smooth_dx", "smooth_dy", "stable_ids", "active_ids")
+    return ordered_scan(
+        samples, ["run_id"], [time_block("pts_ms", block_ms)], [F.col("pts_ms"), F.col("frame_id")], [Step("before", "lag", fields)]
+    )
+
+
+def turn_counts(side: str, min_step: float = 0.5) -> tuple[Column, Column]:
+    """(eligible steps, turns back) over ``neighbours``, both aggregates."""
+    dx, dy, px, py = F.col(f"{side}_dx"), F.col(f"{side}_dy"), F.col(f"before.{side}_dx"), F.col(f"before.{side}_dy")
+    same = F.col("before").isNotNull() & (F.col("before.stable_ids") == F.col("stable_ids"))
+    eligible = same & (F.hypot(dx, dy) > min_step) & (F.hypot(px, py) > min_step)
+    return F.count_if(eligible), F.count_if(eligible & (dx * px + dy * py < 0))
+
+
+def set_changes() -> Column:
+    """Samples whose tracks differ from those before, an aggregate over ``neighbours``."""
+    return F.count_if(F.col("before").isNotNull() & (F.col("before.active_ids") != F.col("active_ids")))
+
+
 def reversal_rate(samples: DataFrame, smooth: bool, block_ms: int = HOUR_MS, min_step: float = 0.5) -> DataFrame:
     """Percent of steps that turn back, per run, over neighbours with the same steady tracks.
 
     Columns: run_id, eligible, reversals, rate_pct (null without eligible steps).
     """
-    side = "smooth" if smooth else "raw"
-    step = F.struct(F.col(f"{side}_dx").alias("dx"), F.col(f"{side}_dy").alias("dy"), F.col("stable_ids").alias("ids"))
-    seen = ordered_scan(
-        samples, ["run_id"], [time_block("pts_ms", block_ms)], [F.col("pts_ms"), F.col("frame_id")], [Step("__p", "lag", step)]
-    )
-    dx, dy, px, py = F.col(f"{side}_dx"), F.col(f"{side}_dy"), F.col("__p.dx"), F.col("__p.dy")
-    eligible = (
-        F.col("__p").isNotNull() & (F.col("__p.ids") == F.col("stable_ids")) & (F.hypot(dx, dy) > min_step) & (F.hypot(px, py) > min_step)
-    )
-    counted = seen.groupBy("run_id").agg(
-        F.count_if(eligible).alias("eligible"), F.count_if(eligible & (dx * px + dy * py < 0)).alias("reversals")
-    )
+    eligible, turns = turn_counts("smooth" if smooth else "raw", min_step)
+    counted = neighbours(samples, block_ms).groupBy("run_id").agg(eligible.alias("eligible"), turns.alias("reversals"))
     return counted.withColumn("rate_pct", F.when(F.col("eligible") > 0, F.col("reversals") * 100.0 / F.col("eligible")))
 
 
 def track_set_change_rate(samples: DataFrame, block_ms: int = HOUR_MS) -> DataFrame:
     """Percent of neighbouring samples whose set of tracks differs, per run."""
-    seen = ordered_scan(
-        samples, ["run_id"], [time_block("pts_ms", block_ms)], [F.col("pts_ms"), F.col("frame_id")],
-        [Step("__p", "lag", F.struct(F.col("active_ids").alias("ids")))],
-    )
-    changed = F.col("__p").isNotNull() & (F.col("__p.ids") != F.col("active_ids"))
-    out = seen.groupBy("run_id").agg(F.count_if(changed).alias("changes"), F.count("*").alias("samples"))
+    out = neighbours(samples, block_ms).groupBy("run_id").agg(set_changes().alias("changes"), F.count("*").alias("samples"))
     return out.withColumn("rate_pct", F.col("changes") * 100.0 / F.greatest(F.lit(1), F.col("samples") - 1))
 
 
@@ -198,11 +204,12 @@ def mark_duplicates(df: DataFrame, hash_col: str = "sha256", order: list[str] |
 def evenly_spaced(df: DataFrame, by: list[str], n: int, order: str, blocks: list[Column] | None = None) -> DataFrame:
     """``n`` rows of each group at even distances in name order; all if there are fewer.
 
-    With one row wanted it is the middle one.
+    With one row wanted it is the middle one. A group is cut by prefixes of the name.
     """
     if n <= 0:
         raise ValueError("sample count must be positive")
-    placed = ordered_scan(df, by, blocks or [], [F.col(order)], [Step("__no", "count")]).withColumn("__i", F.col("__no") - 1)
+    blocks = blocks or [F.substring(order, 1, 8), F.substring(order, 1, 16)]
+    placed = ordered_scan(df, by, blocks, [F.col(order)], [Step("__no", "count")]).withColumn("__i", F.col("__no") - 1)
     sizes = df.groupBy(*by).agg(F.count("*").alias("__size"))
     sized = placed.join(broadcast_if_small(sizes), by)
     i, size = F.col("__i"), F.col("__size")
