@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from boxweave.llm import queries_dedup  # noqa: F401
+from boxweave.llm import queries_dedup, queries_models, queries_tokens  # noqa: F401
 from boxweave.llm.registry import ORACLES, QUERIES  # noqa: F401
