@@ -22,11 +22,16 @@ BLOCK = 65_536
 GROUP = 1024
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """64 bits, each set when it is set in over half of the shingles' hashes; 0 without words."""
+def fingerprint(text: str | None, words: int, distinct: bool = False) -> int:
+    """64 bits, each set when it is set in over half of the shingles' hashes; 0 without words.
+
+    Shingles count as often as they occur, or, with ``distinct`` (for single words), once each.
+    """
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return 0
+    if distinct:
+        parts = sorted(set(parts))
     line = b" ".join(parts)
     ends = list(accumulate(len(p) + 1 for p in parts))
     starts = [0, *ends]
@@ -40,8 +45,8 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """``(id, code)`` for every row; the code is the fingerprint as a signed long.
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, distinct: bool = False) -> DataFrame:
+    """``(id, body, code)`` for every row; the code is the fingerprint as a signed long, the body a hash of the text.
 
     Words are runs without white space, A-Z lower-cased. Fewer words than a shingle: the
     whole sequence is one. Null and empty texts have the code 0.
@@ -49,11 +54,11 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], ["id", "code"])
+            codes = np.fromiter((fingerprint(t.as_py(), words, distinct) for t in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(codes.view(np.int64))], ["id", "body", "code"])
 
-    rows = picked(docs, id=id, text=text)
-    return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, code long")
+    rows = picked(docs, id=id, text=text).withColumn("body", F.xxhash64("text"))
+    return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, body long, code long")
 
 
 def _below(rows: DataFrame, radius: int) -> DataFrame:
@@ -120,6 +125,17 @@ def near_codes(codes: DataFrame, radius: int = 4, group: int = GROUP) -> DataFra
         rows = _below(stored(rows.join(crowded, ["path", "lead"], "left_semi").select("path", "code"), "dealt"), radius)
 
 
+def classed(docs: DataFrame, id: str, text: str, words: int, radius: int, group: int = GROUP, distinct: bool = False) -> DataFrame:
+    """``(id, body, code, component_id)`` of every row."""
+    rows = stored(fingerprints(docs, id, text, words, distinct), "fingerprints")
+    codes = stored(rows.groupBy("code").agg(F.min("id").alias("least")), "codes")
+    roots = components(near_codes(codes.select("code"), radius, group)).select(F.col("a").alias("code"), F.col("b").alias("root"))
+    named = stored(codes.join(roots, "code", "left").select("code", "least", F.coalesce("root", "code").alias("root")), "rooted")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = stored(named.join(least, "root").select("code", "component_id"), "classes")
+    return rows.join(classes, "code")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, group: int = GROUP) -> DataFrame:
     """Class of near copies of every row: ``(doc_id, fingerprint, component_id)``.
 
@@ -129,14 +145,26 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     empty table gives an empty one, other columns are ignored. Copies share a fingerprint and are
     never paired: links join different fingerprints only.
     """
-    rows = stored(fingerprints(docs, id, text, words), "fingerprints")
-    codes = stored(rows.groupBy("code").agg(F.min("id").alias("least")), "codes")
-    roots = components(near_codes(codes.select("code"), radius, group)).select(F.col("a").alias("code"), F.col("b").alias("root"))
-    named = stored(codes.join(roots, "code", "left").select("code", "least", F.coalesce("root", "code").alias("root")), "rooted")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(named.join(least, "root").select("code", "component_id"), "classes")
-    return rows.join(classes, "code").select(
-        F.col("id").alias("doc_id"),
-        F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"),
-        "component_id",
-    )
+    rows = classed(docs, id, text, words, radius, group)
+    return rows.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 1, radius: int = 5, group: int = GROUP, distinct: bool = True) -> DataFrame:
+    """``docs`` with one row of each class of near copies: the one with the smallest id.
+
+    Rows of a class that share that id are told apart by a hash of their text; of equal rows one
+    stays. Of a class without ids, one row stays. What goes is named by id and text, so a
+    row's other columns do not matter.
+    """
+    rows = stored(classed(docs, id, text, words, radius, group, distinct).select("id", "body", "component_id"), "classed")
+    own = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "id").agg(F.min("body").alias("body"), F.count("*").alias("n"))
+    kept = own.select(F.col("component_id").alias("kept_of"), "body")
+    gone = rows.join(kept, F.col("component_id").eqNullSafe(F.col("kept_of")) & F.col("id").eqNullSafe(F.col("kept_of")) & (rows["body"] == kept["body"]), "left_anti")
+    gone = stored(gone.select(F.col("id").alias("_id"), F.col("body").alias("_body")).distinct(), "gone")
+    left = docs.withColumn("_text", F.xxhash64(text))
+    left = left.join(gone, left[id].eqNullSafe(gone["_id"]) & (left["_text"] == gone["_body"]), "left_anti")
+    twice = stored(own.where("n > 1").select(F.col("id").alias("_id")), "twice")
+    if not twice.isEmpty():
+        same = left[id].eqNullSafe(twice["_id"])
+        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([id, "_text"]))
+    return left.drop("_text")
