@@ -38,6 +38,11 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[c].alias(name) for name, c in columns.items()])
 
 
+def packed(df: DataFrame, **columns: str) -> DataFrame:
+    """The whole row as ``row`` beside the named columns; ``select("row.*")`` gives the row back, whatever its names."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *[df[c].alias(name) for name, c in columns.items()])
+
+
 def crc32_mod(column: str | Column, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``."""
     c = F.col(column) if isinstance(column, str) else column

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxweave.functions.staged import staged
-from boxweave.llm.common import picked, stored
+from boxweave.llm.common import packed, picked, stored
 from boxweave.llm.native import WORD, row_key
 from boxweave.session import broadcast_if_small
 
@@ -172,5 +172,6 @@ def contaminated(docs: DataFrame, items: DataFrame, rule: Search = Search(), id:
 
 def clean_documents(docs: DataFrame, items: DataFrame, rule: Search = Search(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold an item."""
-    leaks = stored(contaminated(docs, items, rule, id, text).select(F.col("key").alias("_key")).distinct(), "leaks")
-    return docs.withColumn("_key", row_key(id, text)).join(leaks, "_key", "left_anti").select(*docs.columns)
+    leaks = stored(contaminated(docs, items, rule, id, text).select("key").distinct(), "leaks")
+    rows = packed(docs, id=id, text=text)
+    return rows.select("row", row_key("id", "text").alias("key")).join(leaks, "key", "left_anti").select("row.*")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boxweave.llm.common import map_batches, picked
+from boxweave.llm.common import map_batches, packed, picked
 from boxweave.llm.sample import by_label
 
 #: Bytes of a window; texts are cut into windows one after the other, the last filled up with 0.
@@ -170,18 +170,29 @@ def learned(docs: DataFrame, learn: Column, text: str = "text", language: str =
     return train(np.frombuffer(b"".join(w for _, w in kept), np.uint8).reshape(-1, WINDOW), [name for name, _ in kept])
 
 
-def languages(docs: DataFrame, net: ByteNet, id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """``(doc_id, lang_pred, score)`` of every row or, with ``keep``, ``docs`` with
-    ``lang_pred`` and ``score`` added (columns of these names are replaced).
+def languages(docs: DataFrame, net: ByteNet, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, lang_pred, score)`` of every row.
 
     All windows of the whole text are classified in batches; a text's probabilities are their mean,
     weighted by the bytes of the windows. Null texts and texts without a letter are ``und`` with
     score 0. ``score`` is the probability of the language named; on a tie the first name counts.
+    Rows with a null id are kept, repeated rows repeated.
     """
+    return _judged(picked(docs, doc_id=id, text=text), net, "doc_id")
+
+
+def in_a_language(docs: DataFrame, net: ByteNet, least: float = 0.5, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language is undetermined or less probable than ``least``."""
+    judged = _judged(packed(docs, text=text), net, "row")
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
+
+
+def _judged(rows: DataFrame, net: ByteNet, kept: str) -> DataFrame:
+    """``(kept, lang_pred, score)`` of rows ``(kept, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text if keep else "text")
+            texts = batch.column("text")
             names, scores, held, rows = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows), [], []
 
             def flush() -> None:
@@ -205,12 +216,7 @@ def languages(docs: DataFrame, net: ByteNet, id: str = "doc_id", text: str = "te
             if held:
                 flush()
             found = [pa.array(names), pa.array(np.minimum(scores, 1.0))]
-            own = list(batch.columns) if keep else [batch.column(0)]
-            labels = list(batch.schema.names) if keep else ["doc_id"]
-            yield pa.RecordBatch.from_arrays([*own, *found], [*labels, "lang_pred", "score"])
-
-    if keep:
-        docs = docs.drop("lang_pred", "score")
-        return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-    rows = picked(docs, id=id, text=text)
-    return map_batches(rows, run, f"doc_id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+            yield pa.RecordBatch.from_arrays([batch.column(kept), *found], [kept, "lang_pred", "score"])
+
+    fields = [rows.schema[kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return map_batches(rows, run, T.StructType(fields))

@@ -181,7 +181,7 @@ def _any_valid(kind: str) -> Column:
 
 def _marked(kind: str) -> Column:
     """Matches of a kind, the valid ones as its name in brackets."""
-    return F.transform("_hit", lambda m: F.when(_valid(kind, m), f"[{kind.upper()}]").otherwise(m))
+    return F.transform("hit", lambda m: F.when(_valid(kind, m), f"[{kind.upper()}]").otherwise(m))
 
 
 def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Disclosure = Disclosure()) -> DataFrame:
@@ -217,34 +217,32 @@ def sanitised(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Dis
     """
     found = stored(base_spans(docs, id, text, rule.reach), "spans")
     terms = disclosing(found, term_frequencies(docs, text), rule)
-    listed = stored(terms.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_shares")), "terms")
-    whole = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    rows = matched(whole, "_text")
-    held = staged(rows, {"_held": reduce(or_, [_any_valid(k) for k in KINDS])})
-    clean = held.where("NOT _held").select(*docs.columns)
-    told = held.where("_held").withColumn("_key", row_key(id, "_text")).join(listed.withColumnRenamed("key", "_key"), "_key", "left")
-    told = staged(told, {"_spans": F.array_sort(F.transform(F.concat(*[_spans(k) for k in KINDS]), lambda s: F.struct(s.start, s.end, s.kind)))})
-    crossing = F.exists(F.sequence(F.lit(1), F.size("_spans")), lambda i: F.coalesce(F.get("_spans", i - 1).end > F.get("_spans", i).start, F.lit(False)))
-    told = staged(told, {"_crossing": crossing})
-    out = _marked_in_turn(told.where("NOT _crossing")).unionByName(staged(told.where("_crossing"), {"_text": _marked_at(F.col("_text"), F.col("_spans"))}).drop(*_SCRATCH), True)
+    listed = stored(terms.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "terms")
+    own = [f"own{i}" for i in range(len(docs.columns))]
+    place, name = f"own{docs.columns.index(text)}", f"own{docs.columns.index(id)}"
+    rows = docs.toDF(*own).withColumns({"body": F.coalesce(place, F.lit("")), "id": F.col(name)})
+    held = staged(matched(rows, "body"), {"held": reduce(or_, [_any_valid(k) for k in KINDS])})
+    clean = held.where("NOT held").select(*own)
+    told = held.where("held").withColumn("key", row_key("id", "body")).join(listed, "key", "left")
+    told = staged(told, {"spans": F.array_sort(F.transform(F.concat(*[_spans(k) for k in KINDS]), lambda s: F.struct(s.start, s.end, s.kind)))})
+    crossing = F.exists(F.sequence(F.lit(1), F.size("spans")), lambda i: F.coalesce(F.get("spans", i - 1).end > F.get("spans", i).start, F.lit(False)))
+    told = staged(told, {"crossing": crossing}).select(*own, "shares", "body", "spans", "crossing")
+    apart, crossed = _marked_in_turn(told.where("NOT crossing")), staged(told.where("crossing"), {"body": _marked_at(F.col("body"), F.col("spans"))})
     marks = rf"\[(?:{'|'.join(k.upper() for k in KINDS)})\]|{WORDS}"
-    out = staged(out, {"_hit": F.regexp_extract_all("_text", F.lit(marks), F.lit(0)), "_gap": F.split("_text", marks, -1)})
-    share = lambda w: F.try_element_at("_shares", F.lower(w))
+    out = staged(apart.unionByName(crossed), {"hit": F.regexp_extract_all("body", F.lit(marks), F.lit(0)), "gap": F.split("body", marks, -1)})
+    share = lambda w: F.try_element_at("shares", F.lower(w))
     general = lambda w: F.when(w.rlike(r"^\p{N}+$"), "[number]").when(w.rlike(r"^\p{Lu}"), "[name]").otherwise("[word]")
-    shown = F.transform("_hit", lambda w: F.when(w.startswith("[") | share(w).isNull(), w).when(share(w) >= rule.remove, "").otherwise(general(w)))
-    out = staged(out, {"_text": F.when(F.col("_shares").isNull(), F.col("_text")).otherwise(_woven(F.col("_gap"), shown))})
-    return clean.unionByName(out.select(*[F.col("_text").alias(c) if c == text else F.col(c) for c in docs.columns]))
-
-
-_SCRATCH = ["_hit", "_gap"]
+    shown = F.transform("hit", lambda w: F.when(w.startswith("[") | share(w).isNull(), w).when(share(w) >= rule.remove, "").otherwise(general(w)))
+    out = staged(out, {"body": F.when(F.col("shares").isNull(), F.col("body")).otherwise(_woven(F.col("gap"), shown))})
+    return clean.unionByName(out.withColumn(place, F.col("body")).select(*own)).toDF(*docs.columns)
 
 
 def _marked_in_turn(rows: DataFrame) -> DataFrame:
-    """``_text`` with the values replaced kind by kind; for rows whose spans do not overlap."""
+    """``body`` with the values replaced kind by kind; for rows whose spans do not overlap."""
     for kind in KINDS:
-        rows = staged(rows, {"_hit": F.regexp_extract_all("_text", F.lit(PATTERNS[kind]), F.lit(0)), "_gap": F.split("_text", PATTERNS[kind], -1)})
-        rows = staged(rows, {"_text": _woven(F.col("_gap"), _marked(kind))})
-    return rows.drop(*_SCRATCH)
+        rows = staged(rows, {"hit": F.regexp_extract_all("body", F.lit(PATTERNS[kind]), F.lit(0)), "gap": F.split("body", PATTERNS[kind], -1)})
+        rows = staged(rows, {"body": _woven(F.col("gap"), _marked(kind))})
+    return rows.drop("hit", "gap")
 
 
 def _marked_at(text: Column, spans: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxweave.llm import trie
-from boxweave.llm.common import map_batches, picked, stored
+from boxweave.llm.common import map_batches, packed, picked, stored
 from boxweave.llm.components import components
 
 SEED = 42
@@ -160,11 +160,11 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     own = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "id").agg(F.min("body").alias("body"), F.count("*").alias("n"))
     kept = own.select(F.col("component_id").alias("kept_of"), "body")
     gone = rows.join(kept, F.col("component_id").eqNullSafe(F.col("kept_of")) & F.col("id").eqNullSafe(F.col("kept_of")) & (rows["body"] == kept["body"]), "left_anti")
-    gone = stored(gone.select(F.col("id").alias("_id"), F.col("body").alias("_body")).distinct(), "gone")
-    left = docs.withColumn("_text", F.xxhash64(text))
-    left = left.join(gone, left[id].eqNullSafe(gone["_id"]) & (left["_text"] == gone["_body"]), "left_anti")
-    twice = stored(own.where("n > 1").select(F.col("id").alias("_id")), "twice")
+    gone = stored(gone.select("id", "body").distinct(), "gone")
+    left = packed(docs, id=id, text=text).withColumn("body", F.xxhash64("text")).drop("text")
+    left = left.join(gone, left["id"].eqNullSafe(gone["id"]) & (left["body"] == gone["body"]), "left_anti")
+    twice = stored(own.where("n > 1").select("id"), "twice")
     if not twice.isEmpty():
-        same = left[id].eqNullSafe(twice["_id"])
-        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([id, "_text"]))
-    return left.drop("_text")
+        same = left["id"].eqNullSafe(twice["id"])
+        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["id", "body"]))
+    return left.select("row.*")

@@ -1,0 +1,26 @@
+"""Queries of the text operators against their DuckDB twins, and their contracts."""
+
+import pytest
+
+import __spark_entry__ as entry
+from boxweave.llm.catalog import ORACLES, QUERIES
+from oracle import compare, connect
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_equals_oracle(spark, name):
+    assert compare(spark, connect(SF), name, QUERIES[name], ORACLES[name], SF) is None
+
+
+def test_all_are_registered():
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in entry.queries())] == []
+
+
+@pytest.mark.parametrize("name", ["op5_quality_attention", "op6_media_clips", "op7_language_id"])
+def test_a_row_for_each_document(spark, name):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = QUERIES[name](spark, SF)
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
