@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxweave.operators.filters import select_reviewed
+from boxweave.operators.filters import select_reviewed, session_or_folder
 from boxweave.operators.windows import first_n
 from boxweave.session import broadcast_if_small
 
@@ -35,21 +35,32 @@ def assign_split(manifest: DataFrame, session_map: DataFrame, pending: DataFrame
     return mapped.where(F.col("split").isNotNull()), unassigned
 
 
-def frozen_eval(candidates: DataFrame, images: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """First ``n`` of each session's frozen list that still exist, and sessions with too few.
+def frozen_eval(candidates: DataFrame, images: DataFrame, n: int | dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """First ``n`` of each session's frozen list that still exist, and ``(session, wanted, found)`` of sessions with too few.
 
-    Images deleted in review drop out without being replaced.
+    ``n`` may differ by session; then sessions that are not named give nothing. Images deleted in
+    review drop out without being replaced. A named session without candidates counts as 0 found.
     """
-    frozen = first_n(candidates, ["session"], n, "image_name")
-    short = frozen.groupBy("session").agg(F.count("*").alias("found")).where(F.col("found") < n)
+    spark = candidates.sparkSession
+    if isinstance(n, dict):
+        wanted = spark.createDataFrame(list(n.items()), "session string, wanted long")
+        frozen = first_n(candidates.join(wanted.select("session"), "session", "left_semi"), ["session"], max(n.values(), default=0), "image_name")
+        ranked = frozen.withColumn("__no", F.row_number().over(Window.partitionBy("session").orderBy("image_name")))
+        frozen = ranked.join(wanted, "session").where(F.col("__no") <= F.col("wanted")).drop("__no", "wanted")
+    else:
+        wanted = candidates.select("session").distinct().withColumn("wanted", F.lit(n).cast("long"))
+        frozen = first_n(candidates, ["session"], n, "image_name")
+    counts = frozen.groupBy("session").agg(F.count("*").alias("found"))
+    short = wanted.join(counts, "session", "left").withColumn("found", F.coalesce("found", F.lit(0).cast("long"))).where("found < wanted")
     return frozen.join(images.select("image_name"), "image_name", "left_semi"), short
 
 
-def class_distribution(boxes: DataFrame, splits: list[str] | None = None) -> DataFrame:
-    """Boxes per class and split, their total and share; class -1 is the total row."""
-    splits = splits or SPLITS
+def class_distribution(boxes: DataFrame, splits: list[str] | None = None, classes: list[int] | None = None) -> DataFrame:
+    """Boxes per class and split, their total and share; class -1 is the total row. Classes without a box have zeros."""
+    splits, classes = splits or SPLITS, list(range(6)) if classes is None else classes
     counts = boxes.groupBy("class_id", "split").agg(F.count("*").alias("n"))
-    wide = counts.rollup("class_id").agg(
+    none = boxes.sparkSession.createDataFrame([(c,) for c in classes], "class_id int").select("class_id", F.lit(None).cast("string").alias("split"), F.lit(0).cast("long").alias("n"))
+    wide = counts.select("class_id", "split", "n").unionByName(none).rollup("class_id").agg(
         *[F.coalesce(F.sum(F.when(F.col("split") == s, F.col("n"))), F.lit(0)).alias(s) for s in splits],
         F.sum("n").alias("total"),
         F.grouping("class_id").alias("__all"),
@@ -61,12 +72,13 @@ def class_distribution(boxes: DataFrame, splits: list[str] | None = None) -> Dat
     return joined.select(F.when(F.col("__all") == 1, -1).otherwise(F.col("class_id")).alias("class_id"), *splits, "total", share.alias("ratio_pct"))
 
 
-def split_stats(images: DataFrame, files: DataFrame) -> DataFrame:
-    """Images, label files, empty label files and boxes per split, and ``total``."""
+def split_stats(images: DataFrame, files: DataFrame, splits: list[str] | None = None) -> DataFrame:
+    """Images, label files, empty label files and boxes per split, and ``total``. Splits without an image have zeros."""
     labelled = files.select("image_stem", "n_lines").withColumn("__has", F.lit(1))
-    joined = images.withColumn("image_stem", stem()).join(labelled, "image_stem", "left")
-    out = joined.rollup("split").agg(
-        F.count("*").alias("images"),
+    joined = images.withColumn("image_stem", stem()).join(labelled, "image_stem", "left").select("split", F.lit(1).alias("__image"), "__has", "n_lines")
+    none = images.sparkSession.createDataFrame([(s,) for s in splits or SPLITS], "split string")
+    out = joined.unionByName(none, allowMissingColumns=True).rollup("split").agg(
+        F.count("__image").alias("images"),
         F.count("__has").alias("labels"),
         F.count_if((F.col("__has") == 1) & (F.col("n_lines") == 0)).alias("empty_labels"),
         F.coalesce(F.sum("n_lines"), F.lit(0)).alias("boxes"),
@@ -129,7 +141,7 @@ def selection_audit(manifest: DataFrame, exclude_sessions: list[str], existing:
     here = existing.select("image_name").distinct().withColumn("__there", F.lit(True))
     source = sources.select("image_name").distinct().withColumn("__source", F.lit(True))
     joined = kept.join(here, "image_name", "left").join(source, "image_name", "left")
-    excluded = F.col("session").isin(exclude_sessions)
+    excluded = session_or_folder(kept).isin(exclude_sessions)
     missing, there = F.col("__source").isNull(), F.col("__there").isNotNull()
     return joined.agg(
         F.count("*").alias("selected"),

@@ -266,11 +266,19 @@ def photo_attrs(df: DataFrame) -> DataFrame:
     return df.withColumns({"aspect_group": aspect, "capture_time": S.capture_time(F.col("image_name"))})
 
 
+def session_or_folder(df: DataFrame) -> Column:
+    """Session of a row; where it has none, the folder that holds its picture."""
+    session = F.trim(F.coalesce(F.col("session"), F.lit("")))
+    path = next((c for c in ("image_path", "path") if c in df.columns), None)
+    folder = F.coalesce(F.get(F.reverse(F.split(path, "/")), F.lit(1)), F.lit("")) if path else F.lit("")
+    return F.when(session != "", F.col("session")).otherwise(folder)
+
+
 def select_reviewed(df: DataFrame, exclude_sessions: list[str] | None = None) -> DataFrame:
-    """Rows marked keep, less the excluded sessions."""
+    """Rows marked keep, less the excluded sessions; a row without a session goes by its picture's folder."""
     choice = F.lower(F.trim(F.coalesce(F.col("review_choice"), F.lit("")))) == "keep"
     out = df.where(S.is_keep(F.col("keep")) | choice)
-    return out.where(~F.col("session").isin(exclude_sessions)) if exclude_sessions else out
+    return out.where(~session_or_folder(df).isin(exclude_sessions)) if exclude_sessions else out
 
 
 def check_labels(df: DataFrame, n_classes: int = 6, strict_center: bool = True) -> DataFrame:

@@ -49,7 +49,8 @@ def stream(
 ) -> DataFrame:
     """Whole sorted batches through a function made once per task, for vectorised steps.
 
-    The rows themselves must tell where a key starts.
+    The rows themselves must tell where a key starts. A step with a ``finish`` attribute is asked
+    for what it still holds after the last batch.
     """
 
     def run(batches):
@@ -57,6 +58,9 @@ def stream(
         for pdf in batches:
             if len(pdf):
                 yield step(pdf)
+        rest = getattr(step, "finish", lambda: None)()
+        if rest is not None:
+            yield rest
 
     return _sorted(df, keys, order).mapInPandas(run, schema)
 

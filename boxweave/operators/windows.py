@@ -274,10 +274,75 @@ def newest_per_bucket(df: DataFrame, keys: list[str], time: str, width: int) ->
     return newest.select(*keys, "r.*").select(*df.columns)
 
 
+class Mailbox:
+    """The newest row waits; it leaves when ``gap`` has passed since the last one left.
+
+    A row that arrives when that time is over leaves at once. ``due`` is when the next may leave,
+    None before the first row.
+    """
+
+    def __init__(self, gap: int, due: int | None = None, waiting=None):
+        self.gap, self.due, self.waiting = gap, due, waiting
+
+    def clock(self, now: int):
+        """(row, time) that leaves before ``now``, or None."""
+        if self.waiting is None or self.due >= now:
+            return None
+        out, self.waiting = (self.waiting, self.due), None
+        self.due += self.gap
+        return out
+
+    def put(self, row, time: int):
+        """Take a row; (row, time) if it leaves at once."""
+        if self.due is None or (self.waiting is None and time >= self.due):
+            self.due = time + self.gap
+            return row, time
+        self.waiting = row
+        return None
+
+
+def thin_to_newest(df: DataFrame, keys: list[str], time: str, gap: int, block: int = HOUR_MS) -> DataFrame:
+    """Rows that leave a one-row mailbox per key: ``gap`` apart, each the newest at its time.
+
+    After a pause of two gaps nothing waits and the next row leaves at once, so keys are cut
+    there and the parts run in parallel. A key without such a pause is walked in one task,
+    a batch at a time.
+    """
+    order = [F.col(time)]
+    cut = chains(
+        df, keys, [time_block(time, block)], order, [time], lambda p, c: c(time) - p(time) >= 2 * gap, F.col(time),
+        {"__cut": "since", "__fresh": "starts"},
+    )
+
+    def make():
+        box, held = Mailbox(gap), [None]
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            kept, carried = [], held[0]
+            if carried is not None:  # the row that waits comes first, under number 0
+                rows = pd.concat([carried, rows], ignore_index=True)
+                box.waiting = 0
+            times, fresh = rows[time].tolist(), rows["__fresh"].tolist()
+            for i in range(0 if carried is None else 1, len(rows)):
+                if fresh[i]:
+                    if box.waiting is not None:
+                        kept.append(box.waiting)
+                    box.due = box.waiting = None
+                left = [box.clock(times[i]), box.put(i, times[i])]
+                kept += [out[0] for out in left if out]
+            held[0] = None if box.waiting is None else rows.iloc[[box.waiting]]
+            return rows.iloc[kept]
+
+        step.finish = lambda: held[0]
+        return step
+
+    return stream(cut, [*keys, "__cut"], order, make, cut.schema).drop("__cut", "__fresh")
+
+
 def rate_thin(df: DataFrame, fps: int, exact: bool = True) -> DataFrame:
-    """At most ``fps`` rows a second per channel: ``1000 div fps`` ms apart, or newest per bucket."""
+    """At most ``fps`` rows a second per channel, ``1000 div fps`` ms apart and each the newest at its time; or newest per bucket."""
     spacing = 1000 // fps
-    return thin_by_gap(df, ["channel_id"], "ts_ms", spacing) if exact else newest_per_bucket(df, ["channel_id"], "ts_ms", spacing)
+    return thin_to_newest(df, ["channel_id"], "ts_ms", spacing) if exact else newest_per_bucket(df, ["channel_id"], "ts_ms", spacing)
 
 
 def equivalent_lag(samples: DataFrame) -> DataFrame:

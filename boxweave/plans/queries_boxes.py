@@ -229,9 +229,12 @@ def _(spark, sf):
     return out.select("doc_id", "aspect_group", F.coalesce(F.date_format("capture_time", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("taken"))
 
 
-@query("select_reviewed", W("SELECT image_name, session FROM images WHERE (lower(trim(keep)) IN ('1', 'y', 'yes', 'true', 'keep', '保留') OR lower(trim(review_choice)) = 'keep') AND session NOT IN ('src3', 'src7')", "images"))
+@query("select_reviewed", W("""+k AS (SELECT image_name, CASE WHEN doc_id % 6 = 2 THEN NULL WHEN doc_id % 7 = 3 THEN '' ELSE session END AS session, split_part(path, '/', 3) AS folder FROM images
+   WHERE lower(trim(keep)) IN ('1', 'y', 'yes', 'true', 'keep', '保留') OR lower(trim(review_choice)) = 'keep')
+  SELECT image_name, coalesce(session, 'none') AS session FROM k WHERE CASE WHEN coalesce(session, '') = '' THEN folder ELSE session END NOT IN ('src3', 'src7', 'fr')""", "images"))
 def _(spark, sf):
-    return P.select_reviewed(view(spark, sf, "images"), ["src3", "src7"]).select("image_name", "session")
+    images = view(spark, sf, "images").withColumn("session", F.expr("CASE WHEN doc_id % 6 = 2 THEN NULL WHEN doc_id % 7 = 3 THEN '' ELSE session END"))
+    return P.select_reviewed(images, ["src3", "src7", "fr"]).select("image_name", F.coalesce("session", F.lit("none")).alias("session"))
 
 
 CHECK_SQL = """+p AS (SELECT image_stem, line_no, string_split(line, ' ') AS f FROM label_lines),

@@ -174,17 +174,23 @@ def _(spark, sf):
     return out.select("metric", *[F.round(c, 5).alias(c) for c in ("before", "after", "change_pct")], "verdict")
 
 
-@query("quality_warnings", W(f"""+u AS (SELECT * FROM motion_stats WHERE frame_id % 500 < 60 OR run_id = 'run1'), {VALID.replace('FROM motion_stats', 'FROM (SELECT * REPLACE (run_id || CAST(frame_id // 2000 AS VARCHAR) AS run_id) FROM u)')},
+RUN_OF = "CASE WHEN frame_id % 200 = 7 THEN concat('part', CAST(FLOOR(frame_id / 2000) AS BIGINT)) ELSE run_id END"
+
+
+@query("quality_warnings", W(f"""+{VALID.replace('FROM motion_stats', f'FROM (SELECT * REPLACE ({RUN_OF} AS run_id) FROM motion_stats)')},
   a AS (SELECT run_id, count(*) FILTER (v <= 0.35) AS s, count(*) FILTER (v >= 0.75) AS m, (max(pts_ms) - min(pts_ms)) / 1000.0 AS d FROM va GROUP BY 1)
-  SELECT run_id, 'few stationary samples' AS warning FROM a WHERE s < 20 UNION ALL SELECT run_id, 'few moving samples' FROM a WHERE m < 20 UNION ALL SELECT run_id, 'short duration' FROM a WHERE d < 20""", "motion_stats"))
+  SELECT run_id, 'few stationary samples' AS warning FROM a WHERE s < 20 UNION ALL SELECT run_id, 'few moving samples' FROM a WHERE m < 20 UNION ALL SELECT run_id, 'short duration' FROM a WHERE d < 20
+  UNION ALL SELECT run_id, 'encoder input drops' FROM a WHERE s % 3 > 0 UNION ALL SELECT run_id, 'encode or stream failures' FROM a WHERE m % 2 > 0 OR s % 5 = 4""", "motion_stats"))
 def _(spark, sf):
-    m = view(spark, sf, "motion_stats").where("frame_id % 500 < 60 OR run_id = 'run1'")
-    cut = m.withColumn("run_id", F.concat("run_id", F.floor(F.col("frame_id") / 2000).cast("string")))
-    return A.quality_warnings(A.motion_report(cut))
+    report = A.motion_report(view(spark, sf, "motion_stats").withColumn("run_id", F.expr(RUN_OF)))
+    drops = {"enc_drop": F.col("stationary_samples") % 3, "put_fail": F.col("moving_samples") % 2, "write_fail": F.when(F.col("stationary_samples") % 5 == 4, 1.0)}
+    return A.quality_warnings(report.withColumns(drops))
 
 
+MEASURES = ["raw_center_x", "raw_center_y", "smooth_center_x", "smooth_center_y", "raw_dx", "raw_dy", "smooth_dx", "smooth_dy", "raw_w", "raw_h", "smooth_w", "smooth_h",
+            "center_gap", "center_gap_ratio", "delta_gap", "raw_step_ratio", "smooth_step_ratio", "raw_size_step", "smooth_size_step"]
 UPD_SQL = """up AS (SELECT channel_id, frame_id, pts_ms, row_number() OVER w AS no, lag(pts_ms) OVER w AS ppts FROM (SELECT DISTINCT channel_id, frame_id, pts_ms FROM motion_tracks) WINDOW w AS (PARTITION BY channel_id ORDER BY frame_id)),
-  mt AS (SELECT t.*, up.no, up.ppts FROM motion_tracks t JOIN up USING (channel_id, frame_id) WHERE was_active AND NOT deadzone),
+  mt AS (SELECT t.*, up.no, up.ppts FROM motion_tracks t JOIN up USING (channel_id, frame_id) WHERE was_active),
   lg AS (SELECT *, lag(no) OVER w AS pno, lag(raw_dx) OVER w AS pdx, lag(raw_dy) OVER w AS pdy, """ + ", ".join(f"lag({s}_{c}) OVER w AS p_{s}_{c}" for s in ("raw", "smooth") for c in ("x1", "y1", "x2", "y2")) + """ FROM mt WINDOW w AS (PARTITION BY channel_id, track_id ORDER BY no)),
   md AS (SELECT channel_id, frame_id, any_value(pts_ms) - any_value(ppts) AS dt_ms, count(*) AS matched_active, count(*) FILTER (pno = no - 1) AS stable_tracks,
     count(*) FILTER (pno = no - 1 AND (raw_dx <> 0 OR raw_dy <> 0) AND (pdx <> 0 OR pdy <> 0) AND raw_dx * pdx + raw_dy * pdy < 0) AS raw_reversals, """ + ", ".join(
@@ -195,13 +201,19 @@ UPD_SQL = """up AS (SELECT channel_id, frame_id, pts_ms, row_number() OVER w AS
 
 
 @query("motion_stats", W(f"""+{UPD_SQL} SELECT channel_id, frame_id, dt_ms, matched_active, stable_tracks, raw_reversals,
-   {Q.r6('raw_cx - p_raw_cx', 'raw_dx')}, {Q.r6('smooth_cy - p_smooth_cy', 'smooth_dy')}, {Q.r6(Q.hypot('raw_cx - smooth_cx', 'raw_cy - smooth_cy'), 'center_gap')},
+   {Q.r6('raw_cx', 'raw_center_x')}, {Q.r6('raw_cy', 'raw_center_y')}, {Q.r6('smooth_cx', 'smooth_center_x')}, {Q.r6('smooth_cy', 'smooth_center_y')},
+   {Q.r6('raw_cx - p_raw_cx', 'raw_dx')}, {Q.r6('raw_cy - p_raw_cy', 'raw_dy')}, {Q.r6('smooth_cx - p_smooth_cx', 'smooth_dx')}, {Q.r6('smooth_cy - p_smooth_cy', 'smooth_dy')},
+   {Q.r6('raw_w', 'raw_w')}, {Q.r6('raw_h', 'raw_h')}, {Q.r6('smooth_w', 'smooth_w')}, {Q.r6('smooth_h', 'smooth_h')},
+   {Q.r6(Q.hypot('raw_cx - smooth_cx', 'raw_cy - smooth_cy') + ' / greatest(1.0, ' + Q.hypot('raw_w', 'raw_h') + ')', 'center_gap_ratio')},
+   {Q.r6(Q.hypot('(raw_cx - p_raw_cx) - (smooth_cx - p_smooth_cx)', '(raw_cy - p_raw_cy) - (smooth_cy - p_smooth_cy)'), 'delta_gap')},
+   {Q.r6(Q.hypot('smooth_cx - p_smooth_cx', 'smooth_cy - p_smooth_cy') + ' / greatest(1.0, ' + Q.hypot('raw_w', 'raw_h') + ')', 'smooth_step_ratio')},
+   {Q.r6(Q.hypot('ln(raw_w / p_raw_w)', 'ln(raw_h / p_raw_h)'), 'raw_size_step')}, {Q.r6(Q.hypot('raw_cx - smooth_cx', 'raw_cy - smooth_cy'), 'center_gap')},
    {Q.r6(Q.hypot('raw_cx - p_raw_cx', 'raw_cy - p_raw_cy') + ' / greatest(1.0, ' + Q.hypot('raw_w', 'raw_h') + ')', 'raw_step_ratio')},
    {Q.r6(Q.hypot('ln(smooth_w / p_smooth_w)', 'ln(smooth_h / p_smooth_h)'), 'smooth_size_step')} FROM md WHERE stable_tracks > 0""", "motion_tracks"))
 def _(spark, sf):
     t = view(spark, sf, "motion_tracks")
-    out = Wn.motion_stats(t.where("was_active AND NOT deadzone"), t.select("channel_id", "frame_id", "pts_ms").distinct(), block=50)
-    return out.select("channel_id", "frame_id", "dt_ms", "matched_active", "stable_tracks", "raw_reversals", *[r6(c) for c in ("raw_dx", "smooth_dy", "center_gap", "raw_step_ratio", "smooth_size_step")])
+    out = Wn.motion_stats(t.where("was_active"), t.select("channel_id", "frame_id", "pts_ms").distinct(), block=50)
+    return out.select("channel_id", "frame_id", "dt_ms", "matched_active", "stable_tracks", "raw_reversals", *[r6(c) for c in MEASURES])
 
 
 MOTION_SQL = """lt AS (SELECT *, (raw_x1 + raw_x2) * 0.5 AS cx, (raw_y1 + raw_y2) * 0.5 AS cy FROM motion_tracks),
@@ -400,9 +412,18 @@ def _(spark, sf):
     return out.select("conv_id", "turn", "valid", F.coalesce(F.col("report.objects")[0]["label"], F.lit("")).alias("label"), picture.alias("picture"))
 
 
-@query("report_messages", """SELECT 'reports/conv' || conv_id AS topic, '{"channel_id":"conv' || conv_id || '","timestamp":' || turn || '}' AS value FROM conversations""")
+@query("report_messages", """SELECT 'reports/conv' || conv_id AS topic, '{"channel_id":"conv' || conv_id || '","timestamp":' || turn || ',"objects":[{"label":"' || role || '","count":' || turn + 1 || ',"score":0.5}]'
+    || CASE WHEN turn % 3 = 1 THEN ',"thumbnail":{"width":2,"height":2,"format":"nv12","data":"AAAAAAAA"}' ELSE '' END
+    || ',"roi_events":[' || CASE WHEN turn % 5 = 4 THEN '{"region":"roi' || conv_id % 3 || '","label":"' || role || '","dwell_sec":' || turn || '.25}' ELSE '' END || ']}' AS value FROM conversations""")
 def _(spark, sf):
-    r = view(spark, sf, "reports").select("channel_id", F.col("turn").alias("timestamp"))
+    talks = spark.read.parquet(f"{sf}/conversations.parquet")
+    events = F.array(F.struct(F.concat(F.lit("roi"), F.col("conv_id") % 3).alias("region"), F.col("role").alias("label"), (F.col("turn") + 0.25).alias("dwell_sec")))
+    r = talks.select(
+        F.concat(F.lit("conv"), "conv_id").alias("channel_id"), F.col("turn").alias("timestamp"),
+        F.array(F.struct(F.col("role").alias("label"), (F.col("turn") + 1).cast("int").alias("count"), F.lit(0.5).alias("score"))).alias("objects"),
+        F.when(F.col("turn") % 3 == 1, F.struct(F.lit(2).alias("width"), F.lit(2).alias("height"), F.lit("nv12").alias("format"), F.lit("AAAAAAAA").alias("data"))).alias("thumbnail"),
+        F.when(F.col("turn") % 5 == 4, events).otherwise(F.slice(events, 1, 0)).alias("roi_events"),
+    )
     return K.report_messages(r)
 
 
@@ -445,28 +466,39 @@ def _(spark, sf):
     return _split(spark, sf)[1]
 
 
+WANTED = {"src0": 25, "src1": 10, "src2": 10_000, "nowhere": 3}
+FROZEN_SQL = f"""n AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v})" for k, v in WANTED.items())}) v(session, wanted)),
+  z AS (SELECT image_name, session, doc_id FROM (SELECT image_name, i.session, doc_id, wanted, row_number() OVER (PARTITION BY i.session ORDER BY image_name) AS no FROM images i JOIN n ON n.session = i.session) WHERE no <= wanted)"""
+
+
 def _frozen(spark, sf):
     images = view(spark, sf, "images")
-    return D.frozen_eval(images.select("image_name", "session", "doc_id"), images.where("doc_id % 7 <> 0"), 25)
+    return D.frozen_eval(images.select("image_name", "session", "doc_id"), images.where("doc_id % 7 <> 0"), WANTED)
 
 
-@query("frozen_eval", W("SELECT image_name, session FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY image_name) AS n FROM images) WHERE n <= 25 AND doc_id % 7 <> 0", "images"))
+@query("frozen_eval", W(f"+{FROZEN_SQL} SELECT image_name, session FROM z WHERE doc_id % 7 <> 0", "images"))
 def _(spark, sf):
     return _frozen(spark, sf)[0].select("image_name", "session")
 
 
+@query("frozen_eval_short", W(f"+{FROZEN_SQL} SELECT n.session, n.wanted::BIGINT AS wanted, count(z.session) AS found FROM n LEFT JOIN z USING (session) GROUP BY ALL HAVING count(z.session) < n.wanted", "images"))
+def _(spark, sf):
+    return _frozen(spark, sf)[1]
+
+
 BOXES_SPLIT = ", ".join(f"count(*) FILTER (split = '{s}') AS {s}" for s in D.SPLITS)
 
 
-@query("class_distribution", W(f"SELECT coalesce(class_id, -1) AS class_id, {BOXES_SPLIT}, count(*) AS total, ROUND(count(*) * 100.0 / (SELECT count(*) FROM dataset_boxes), 6) AS ratio_pct FROM dataset_boxes GROUP BY ROLLUP (class_id)", "dataset_boxes"))
+@query("class_distribution", W(f"+b AS (SELECT class_id, split FROM dataset_boxes WHERE class_id <> 4) SELECT c.class_id, {BOXES_SPLIT}, count(b.class_id) AS total, ROUND(count(b.class_id) * 100.0 / (SELECT count(*) FROM b), 6) AS ratio_pct FROM (SELECT CAST(range AS INT) AS class_id FROM range(0, 6)) c LEFT JOIN b USING (class_id) GROUP BY 1 UNION ALL SELECT -1, {BOXES_SPLIT}, count(*), 100.0 FROM b", "dataset_boxes"))
 def _(spark, sf):
-    out = D.class_distribution(view(spark, sf, "dataset_boxes"))
+    # One class is without a box here.
+    out = D.class_distribution(view(spark, sf, "dataset_boxes").where("class_id <> 4"))
     return out.withColumn("ratio_pct", F.round("ratio_pct", 6))
 
 
-@query("split_stats", W("SELECT coalesce(split, 'total') AS split, count(*) AS images, count(l.image_stem) AS labels, count(*) FILTER (n_lines = 0) AS empty_labels, coalesce(sum(n_lines), 0)::BIGINT AS boxes FROM images i LEFT JOIN label_files l ON i.image_name = l.image_stem || '.jpg' GROUP BY ROLLUP (split)", "images", "label_files"))
+@query("split_stats", W("+j AS (SELECT split, image_name, image_stem, n_lines FROM images i LEFT JOIN label_files l ON i.image_name = l.image_stem || '.jpg' UNION ALL SELECT unnest(['train', 'val', 'test', 'frozen']), NULL, NULL, NULL) SELECT coalesce(split, 'total') AS split, count(image_name) AS images, count(image_stem) AS labels, count(*) FILTER (n_lines = 0) AS empty_labels, coalesce(sum(n_lines), 0)::BIGINT AS boxes FROM j GROUP BY ROLLUP (split)", "images", "label_files"))
 def _(spark, sf):
-    return D.split_stats(view(spark, sf, "images"), view(spark, sf, "label_files"))
+    return D.split_stats(view(spark, sf, "images"), view(spark, sf, "label_files"), [*D.SPLITS, "frozen"])
 
 
 @query("class_imbalance", W("+c AS (SELECT label, count(*) AS n FROM dataset_boxes GROUP BY 1) SELECT arg_max(label, n) AS most_class, max(n) AS most, arg_min(label, n) AS least_class, min(n) AS least, ROUND(max(n) / min(n), 6) AS ratio, max(n) / min(n) > 10 AS high FROM c", "dataset_boxes"))
@@ -512,11 +544,15 @@ def _(spark, sf):
 KEPT = "(lower(trim(keep)) IN ('1', 'y', 'yes', 'true', 'keep', '保留') OR lower(trim(review_choice)) = 'keep')"
 
 
-@query("selection_audit", W(f"""+k AS (SELECT *, session IN ('src3', 'src7') AS ex, doc_id % 17 = 0 AS mi, doc_id % 5 = 0 AS th FROM images WHERE {KEPT})
+# Some rows have no session; the folder of their picture stands for it.
+NO_SESSION = "CASE WHEN doc_id % 6 = 2 THEN NULL WHEN doc_id % 7 = 3 THEN '' ELSE session END"
+
+
+@query("selection_audit", W(f"""+k AS (SELECT *, CASE WHEN coalesce(session, '') = '' THEN split_part(path, '/', 3) ELSE session END IN ('src3', 'src7', 'fr') AS ex, doc_id % 17 = 0 AS mi, doc_id % 5 = 0 AS th FROM (SELECT * REPLACE ({NO_SESSION} AS session) FROM images) WHERE {KEPT})
   SELECT count(*) AS selected, count(*) FILTER (ex) AS skipped_excluded, count(*) FILTER (NOT ex AND mi) AS missing_source, count(*) FILTER (NOT ex AND NOT mi AND th) AS skipped_existing, count(*) FILTER (NOT ex AND NOT mi AND NOT th) AS copied FROM k""", "images"))
 def _(spark, sf):
-    images = view(spark, sf, "images")
-    return D.selection_audit(images, ["src3", "src7"], images.where("doc_id % 5 = 0"), images.where("doc_id % 17 <> 0"))
+    images = view(spark, sf, "images").withColumn("session", F.expr(NO_SESSION))
+    return D.selection_audit(images, ["src3", "src7", "fr"], images.where("doc_id % 5 = 0"), images.where("doc_id % 17 <> 0"))
 
 
 @query("mark_duplicates", W("+f AS (SELECT *, first(path) OVER (PARTITION BY sha256 ORDER BY source_class_id, path) AS head FROM images) SELECT path, CASE WHEN head = path THEN '' ELSE head END AS duplicate_of FROM f", "images"))

@@ -328,7 +328,16 @@ def _(spark, sf):
     return Wn.throttle_ticks(view(spark, sf, "frames"), 2, exact=False).select("channel_id", "frame_id", "ts_ms")
 
 
-@query("rate_thin", W(f"+{_next(333)} SELECT channel_id, frame_id, ts_ms FROM r", "frames", recursive=True))
+def mailbox(gap: int) -> str:
+    """Dispatch times and the newest row at each: at the due time if anything came since the last, else when the next comes."""
+    return f"""f AS MATERIALIZED (SELECT channel_id, frame_id, ts_ms FROM frames),
+  r AS (SELECT channel_id, min(ts_ms) AS sent, min(ts_ms) AS ts_ms FROM f GROUP BY 1
+    UNION ALL SELECT channel_id, CASE WHEN newest > sent THEN sent + {gap} ELSE later END, CASE WHEN newest > sent THEN newest ELSE later END
+    FROM (SELECT r.channel_id, r.sent, (SELECT max(f.ts_ms) FROM f WHERE f.channel_id = r.channel_id AND f.ts_ms <= r.sent + {gap}) AS newest,
+        (SELECT min(f.ts_ms) FROM f WHERE f.channel_id = r.channel_id AND f.ts_ms > r.sent + {gap}) AS later FROM r) WHERE newest > sent OR later IS NOT NULL)"""
+
+
+@query("rate_thin", W(f"+{mailbox(333)} SELECT channel_id, f.frame_id, ts_ms FROM r JOIN f USING (channel_id, ts_ms)", "frames", recursive=True))
 def _(spark, sf):
     return Wn.rate_thin(view(spark, sf, "frames"), 3).select("channel_id", "frame_id", "ts_ms")
 
@@ -360,16 +369,11 @@ def _(spark, sf):
     return out.where("kind = 'shown'").select("channel_id", "frame_id", "label", "score", *BOX)
 
 
-def _sparse(spark, sf):
-    """A thinner scene, so that tracks form, end and leave quiet stretches."""
-    return view(spark, sf, "detections").where("score >= 0.7 AND class_id < 3")
-
-
 @query("track_snapshots")
 def _(spark, sf):
-    return T.snapshots(T.track(view(spark, sf, "frames"), _sparse(spark, sf)))
+    return T.snapshots(T.track(view(spark, sf, "frames"), view(spark, sf, "detections")))
 
 
 @query("track_motion")
 def _(spark, sf):
-    return T.motion_tracks(T.track(view(spark, sf, "frames"), _sparse(spark, sf), T.TrackerConfig(confirm_hits=1, reversal_damping=True, global_motion=True)))
+    return T.motion_tracks(T.track(view(spark, sf, "frames"), view(spark, sf, "detections"), T.TrackerConfig(confirm_hits=1, reversal_damping=True, global_motion=True)))

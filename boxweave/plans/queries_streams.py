@@ -1,7 +1,7 @@
 """Streaming operators, run over the given tables as bounded streams.
 
-Each drains its source (``availableNow``) into a table in the shared folder. Append
-mode holds back windows the watermark has not passed, so their twins leave those out.
+Each drains its source (``availableNow``) into a table in the shared folder. Windows are
+written in update mode, so those the watermark has not passed are complete as well.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from boxweave.operators import filters as P
 from boxweave.operators import tracking as T
 from boxweave.plans.queries_boxes import FRAME_H, FRAME_W, ROI_HIT, ROI_PIXELS
 from boxweave.plans.queries_data import STATS_SQL
-from boxweave.plans.queries_frames import DWELL_SQL, _next
+from boxweave.plans.queries_frames import DWELL_SQL, mailbox
 from boxweave.plans.registry import query, r6
 from boxweave.plans.views import stream_view, view
 from boxweave.plans.views import with_views as W
@@ -22,15 +22,15 @@ from boxweave.streaming import stateless as L
 NOW = "0 seconds"  # the source holds no late rows; a live stream allows for some
 
 
-@query("telemetry_stream", W("SELECT channel_id, metric, (ts_ms // 3600000) * 3600000 AS window_ms, count(*) AS samples, ROUND(sum(value), 4) AS total, ROUND(avg(value), 6) AS mean FROM telemetry WHERE (ts_ms // 3600000 + 1) * 3600000 <= (SELECT max(ts_ms) FROM telemetry) GROUP BY ALL", "telemetry"))
+@query("telemetry_stream", W("SELECT channel_id, metric, (ts_ms // 3600000) * 3600000 AS window_ms, count(*) AS samples, ROUND(sum(value), 4) AS total, ROUND(avg(value), 6) AS mean FROM telemetry GROUP BY ALL", "telemetry"))
 def _(spark, sf):
-    out = S.run_available(L.telemetry_windows(stream_view(spark, sf, "telemetry"), "1 hour", NOW), "telemetry")
+    out = S.run_updates(L.telemetry_windows(stream_view(spark, sf, "telemetry"), "1 hour", NOW), "telemetry", ["channel_id", "metric", "window_ms"])
     return out.select("channel_id", "metric", "window_ms", "samples", F.round("total", 4).alias("total"), r6("mean"))
 
 
-@query("inference_stats_stream", W(STATS_SQL + " WHERE lvl <> '*' AND window_ms + 30000 <= (SELECT max(ts_ms) FROM inference_results)", "inference_results"))
+@query("inference_stats_stream", W(STATS_SQL + " WHERE lvl <> '*'", "inference_results"))
 def _(spark, sf):
-    out = S.run_available(L.inference_windows(stream_view(spark, sf, "inference_results"), 30_000, NOW), "inference")
+    out = S.run_updates(L.inference_windows(stream_view(spark, sf, "inference_results"), 30_000, NOW), "inference", ["window_ms", "channel_id"])
     rounded = {"busy_ratio", "actual_fps", "npu_avg_ms", "wait_avg_ms"}
     return out.select(*[r6(c) if c in rounded else F.col(c) for c in out.columns])
 
@@ -53,10 +53,10 @@ def _(spark, sf):
     return out.select("channel_id", "region_ord", "class_id", "frame_id", "det_ord", "dwell_sec")
 
 
-@query("thin_stream", W(f"+{_next(333)} SELECT channel_id, frame_id, ts_ms FROM r", "frames", recursive=True))
+@query("thin_stream", W(f"+{mailbox(333)} SELECT channel_id, f.frame_id, ts_ms FROM r JOIN f USING (channel_id, ts_ms) WHERE sent - ts_ms <= 300 AND sent <= (SELECT max(ts_ms) FROM f)", "frames", recursive=True))
 def _(spark, sf):
     frames = stream_view(spark, sf, "frames").select("channel_id", "frame_id", "ts_ms")
-    return S.run_available(S.thin_stream(frames, 3, delay=NOW), "thin")
+    return S.run_available(S.thin_stream(frames, 3, max_age_ms=300, delay=NOW), "thin")
 
 
 @query("align_stream", W("""SELECT f.channel_id, f.frame_id, coalesce(s.frame_id, -1) AS snapshot_frame_id, coalesce(s.n_boxes, -1) AS n_boxes, coalesce(f.pts_ms - s.pts_ms, -1) AS pts_delta_ms
@@ -70,7 +70,7 @@ def _(spark, sf):
 @query("track_stream")
 def _(spark, sf):
     """Per-frame counts of the streamed tracker; a test holds it equal to the batch one."""
-    boxes = stream_view(spark, sf, "detections").where("score >= 0.7 AND class_id < 3")
+    boxes = stream_view(spark, sf, "detections")
     beats = stream_view(spark, sf, "frames").select("channel_id", "frame_id", "pts_ms", "ts_ms")
     out = S.run_available(S.track_stream(boxes.unionByName(beats, allowMissingColumns=True), delay=NOW), "track")
     return T.snapshots(out)

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from boxweave.functions.staged import staged
 
+# Field names of the log format.
 PAIRS = ["raw_center", "smooth_center", "raw_delta", "smooth_delta"]
 OPTIONAL_PAIRS = ["raw_size", "smooth_size"]
 INTS = ["pts_ms", "dt_ms", "stable_tracks", "raw_reversals", "created", "lost"]
 FLOATS = ["raw_step_ratio", "smooth_step_ratio", "raw_size_step", "smooth_size_step"]
 IDS = ["active_ids", "stable_ids"]
-TOKEN = r"([a-z_]+)=([^\s]*)"
-NUMBER = r"([a-z_]+)=(-?[0-9]+(?:\.[0-9]+)?)"
+RUNTIME_MARKERS = ["PullStats", "EncodeStats", "StreamStats"]
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -21,16 +21,30 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), "value")
 
 
+def _tokens(text: Column) -> Column:
+    """``key=value`` words of a text, in order."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: F.contains(w, F.lit("=")))
+    return F.transform(words, lambda w: F.struct(F.substring_index(w, "=", 1).alias("k"), F.substr(w, F.instr(w, "=") + 1).alias("v")))
+
+
+def _last_values(tokens: Column) -> Column:
+    """Map of the tokens; of a repeated key the last value counts."""
+    back = F.reverse(tokens)
+    keys = F.transform(back, lambda t: t.k)
+    first = F.filter(back, lambda t, i: F.array_position(keys, t.k) == i + 1)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(back)).otherwise(F.map_from_entries(first))
+
+
 def _value(key: str) -> Column:
-    """Value of a key, the last if it repeats; null if absent."""
-    return F.get("__v", F.array_position("__k", F.lit(key)).cast("int") - 1)
+    """Value of a key; null if absent."""
+    return F.try_element_at("__m", F.lit(key))
 
 
-def _marked(lines: DataFrame, marker: str, pattern: str) -> DataFrame:
-    """Lines with the marker; ``__k`` and ``__v`` hold their keys and values, last first."""
-    text = F.expr(f"substring(value, instr(value, '{marker}'))")
-    found = [F.reverse(F.regexp_extract_all(text, F.lit(pattern), F.lit(g))) for g in (1, 2)]
-    return staged(lines.where(F.instr("value", marker) > 0), {"__k": found[0], "__v": found[1]})
+def _marked(lines: DataFrame, marker: str) -> DataFrame:
+    """Lines with the marker; ``__m`` maps the keys after it to their values."""
+    after = F.substr("value", F.instr("value", marker) + len(marker))
+    tokens = staged(lines.where(F.instr("value", marker) > 0), {"__t": _tokens(after)})
+    return staged(tokens, {"__m": _last_values(F.col("__t"))}).drop("__t")
 
 
 def _ids(text: Column) -> Column:
@@ -39,7 +53,7 @@ def _ids(text: Column) -> Column:
 
 def _split(df: DataFrame, lines: DataFrame, required: list[str], bad: Column, columns: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Good rows and rejects. ``bad`` is judged on the parsed columns."""
-    missing = F.array_join(F.array_compact(F.array(*[F.when(_value(k).isNull(), k) for k in required])), ", ")
+    missing = F.array_join(F.array_except(F.array(*map(F.lit, required)), F.map_keys("__m")), ", ")
     parsed = staged(df, {**columns, "__missing": missing})
     reason = F.when(F.col("__missing") != "", F.concat(F.lit("missing "), "__missing")).when(F.coalesce(bad, F.lit(True)), "format")
     judged = staged(parsed, {"__reason": reason})
@@ -58,7 +72,7 @@ def _any_null(columns: list[Column]) -> Column:
 
 def parse_motion_stats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``[MotionStats]`` lines to samples, and rejects with a reason."""
-    df = _marked(lines, "[MotionStats]", TOKEN)
+    df = _marked(lines, "[MotionStats]")
 
     def pair(key: str, i: int) -> Column:
         return F.get(F.split(_value(key), ",", 2), F.lit(i)).try_cast("double")
@@ -79,7 +93,7 @@ def parse_motion_stats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_motion_tracks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``[MotionTrack]`` lines to track samples, and rejects with a reason."""
-    df = _marked(lines, "[MotionTrack]", r"([a-z_]+)=([^\s]+)")
+    df = _marked(lines, "[MotionTrack]")
     ints = {"frame": "frame_id", "pts_ms": "pts_ms", "id": "track_id", "class_id": "class_id", "dt_ms": "dt_ms"}
     flags = ["deadzone", "reset", "was_active", "active"]
     whole = {n: _value(k).try_cast("int" if k == "class_id" else "long") for k, n in ints.items()}
@@ -101,19 +115,14 @@ def parse_runtime_stats(lines: DataFrame) -> DataFrame:
     A line may hold several markers; a section ends at the next ``[``. Of a repeated
     marker only the first section counts, of a repeated key only the last value.
     """
-    section = r"\[(PullStats|EncodeStats|StreamStats)\]([^\[]*)"
-    marks = F.regexp_extract_all("value", F.lit(section), F.lit(1))
-    texts = F.regexp_extract_all("value", F.lit(section), F.lit(2))
-    sections = lines.select("*", F.posexplode(F.zip_with(marks, texts, lambda m, t: F.struct(m.alias("m"), t.alias("t")))).alias("__i", "__s"), marks.alias("__marks"))
-    first = sections.where(F.array_position("__marks", F.col("__s.m")) == F.col("__i") + 1)
-    text = F.col("__s.t")
-    keys, values = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1)), F.regexp_extract_all(text, F.lit(NUMBER), F.lit(2))
-    channel = F.regexp_extract(text, r"(?:^|\s)channel=(\S+)", 1)
-    pairs = first.select(
-        *[c for c in lines.columns if c != "value"], F.col("__s.m").alias("source"), F.when(channel != "", channel).alias("channel_id"),
-        F.posexplode(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))).alias("__n", "__p"), keys.alias("__keys"),
-    )
-    # Position of the last occurrence, counted from the end.
-    last = F.size("__keys") - F.array_position(F.reverse("__keys"), F.col("__p.k")) == F.col("__n")
-    kept = pairs.where(last)
-    return kept.select(*[c for c in kept.columns if not c.startswith("__")], F.col("__p.k").alias("metric"), F.col("__p.v").cast("double").alias("value"))
+    parts = F.transform(F.split("value", r"\["), lambda p: F.struct(F.substring_index(p, "]", 1).alias("m"), F.substr(p, F.instr(p, "]") + 1).alias("t")))
+    named = F.filter(parts, lambda p: p.m.isin(RUNTIME_MARKERS) & F.contains(p.t, F.lit("=")))
+    marked = staged(lines, {"__s": named})
+    names = F.transform("__s", lambda p: p.m)
+    first = F.filter("__s", lambda p, i: F.array_position(names, p.m) == i + 1)
+    kept = [c for c in lines.columns if c != "value"]
+    sections = marked.select(*kept, F.explode(first).alias("__s"))
+    mapped = staged(sections, {"__m": _last_values(_tokens(F.col("__s.t")))})
+    pairs = mapped.select(*kept, F.col("__s.m").alias("source"), _value("channel").alias("channel_id"), F.explode(F.map_entries("__m")).alias("__p"))
+    number = F.regexp_extract("__p.value", r"^-?\d+(?:\.\d+)?", 0)
+    return pairs.where(number != "").select(*kept, "source", "channel_id", F.col("__p.key").alias("metric"), number.cast("double").alias("value"))

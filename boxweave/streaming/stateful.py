@@ -18,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from boxweave.functions import boxmath as M
 from boxweave.operators import tracking as T
+from boxweave.operators.windows import Mailbox
 from boxweave.session import ROCKSDB, reach_workers, run_dir
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -27,10 +28,11 @@ class InOrder(StatefulProcessor):
     """Feeds rows to ``feed(memory, rows) -> (memory, output)`` in event-time order.
 
     ``expire_ms``: forget a key's memory that long after its last row (None: never).
+    ``wake(memory)`` is the time at which ``tick(memory, time)`` has output without a new row, or None.
     """
 
-    def __init__(self, time: str, order: list[str], feed: Callable, expire_ms: int | None = None):
-        self.time, self.order, self.feed, self.expire_ms = time, order, feed, expire_ms
+    def __init__(self, time: str, order: list[str], feed: Callable, expire_ms: int | None = None, wake: Callable | None = None, tick: Callable | None = None):
+        self.time, self.order, self.feed, self.expire_ms, self.wake, self.tick = time, order, feed, expire_ms, wake, tick
 
     def init(self, handle):
         self.handle = handle
@@ -74,10 +76,25 @@ class InOrder(StatefulProcessor):
                 out = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
                 if len(out):
                     yield out
+                yield from self._ticks(memory, last, due)
                 return
+        if data:
+            yield from self._ticks(pickle.loads(data), last, due)
         if self.expire_ms is not None and last is not None and due > last + self.expire_ms:
             self.memory.clear()
 
+    def _ticks(self, memory, last, due):
+        """Output that is due without a row; a timer for what is not due yet."""
+        at = self.wake(memory) if self.wake else None
+        while at is not None and at <= due:
+            memory, out = self.tick(memory, at)
+            self.memory.update((pickle.dumps(memory), last))
+            if len(out):
+                yield out
+            at = self.wake(memory)
+        if at is not None:
+            self.handle.registerTimer(at)
+
     def _stretches(self, rows, last):
         """Rows between pauses long enough to forget; True where the memory is gone."""
         if self.expire_ms is None:
@@ -91,12 +108,12 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def _in_order(df: DataFrame, keys: list[str], time: str, order: list[str], feed, schema: str, delay: str, expire_ms: int | None = None) -> DataFrame:
+def _in_order(df: DataFrame, keys: list[str], time: str, order: list[str], feed, schema: str, delay: str, expire_ms: int | None = None, wake=None, tick=None) -> DataFrame:
     reach_workers(df.sparkSession)
     # One millisecond ahead, as a media clock starts at 0 and Spark takes a row at the
     # initial watermark (0) for late.
     clocked = df.withColumn("event_time", F.timestamp_millis(F.col(time) + 1)).withWatermark("event_time", delay)
-    return clocked.groupBy(*keys).transformWithStateInPandas(InOrder(time, order, feed, expire_ms), schema, "append", "EventTime")
+    return clocked.groupBy(*keys).transformWithStateInPandas(InOrder(time, order, feed, expire_ms, wake, tick), schema, "append", "EventTime")
 
 
 def _types(df: DataFrame, columns: list[str]) -> str:
@@ -171,25 +188,35 @@ def dwell_stream(df: DataFrame, dwell_sec: float, iou_min: float = 0.20, delay:
 
 
 def thin_stream(df: DataFrame, fps: int, max_age_ms: int = 0, delay: str = "10 seconds") -> DataFrame:
-    """At most ``fps`` frames a second per channel; frames older than ``max_age_ms`` go first.
+    """At most ``fps`` frames a second per channel, each the newest when its turn comes.
 
-    Age counts from the newest frame of the channel seen by then.
+    A frame leaves when ``1000 div fps`` ms have passed since the last one left, or at once
+    when that is over. With ``max_age_ms`` a frame that is older when its turn comes is dropped.
+    Turns follow the event time of the frames, so the result does not depend on batches; a
+    frame whose turn the watermark has not reached still waits.
     """
     spacing = 1000 // fps
+    columns = df.columns
+
+    def fresh_enough(out):
+        return out and not (max_age_ms and out[1] - out[0]["ts_ms"] > max_age_ms)
 
     def feed(memory, rows):
-        state = memory or {"next": None, "newest": 0}
-        state["newest"] = max(state["newest"], int(rows["ts_ms"].max()))
+        box = Mailbox(spacing, *(memory or (None, None)))
         kept = []
-        for i, ts in enumerate(rows["ts_ms"].tolist()):
-            if max_age_ms and 0 < ts < state["newest"] - max_age_ms:
-                continue
-            if state["next"] is None or ts >= state["next"]:
-                kept.append(i)
-                state["next"] = ts + spacing
-        return state, rows.iloc[kept]
+        for row in rows[columns].to_dict("records"):
+            kept += [out[0] for out in (box.clock(row["ts_ms"]), box.put(row, row["ts_ms"])) if fresh_enough(out)]
+        return (box.due, box.waiting), pd.DataFrame(kept, columns=columns)
+
+    def wake(memory):
+        return memory[0] if memory and memory[1] is not None else None
 
-    return _in_order(df, ["channel_id"], "ts_ms", ["ts_ms", "frame_id"], feed, _types(df, df.columns), delay)
+    def tick(memory, now):
+        box = Mailbox(spacing, *memory)
+        out = box.clock(now + 1)
+        return (box.due, box.waiting), pd.DataFrame([out[0]] if fresh_enough(out) else [], columns=columns)
+
+    return _in_order(df, ["channel_id"], "ts_ms", ["ts_ms", "frame_id"], feed, _types(df, df.columns), delay, wake=wake, tick=tick)
 
 
 def align_stream(video: DataFrame, snapshots: DataFrame, delay: str = "10 seconds", ring: int = 12) -> DataFrame:
@@ -226,3 +253,24 @@ def run_available(df: DataFrame, name: str) -> DataFrame:
     writer = df.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/checkpoint")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/table")
+
+
+def run_updates(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Drain what the sources hold now; the newest state of every key, open windows included.
+
+    Each micro-batch writes the rows it changed under its number, over what an earlier try left there,
+    so a retried batch changes nothing.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    out = run_dir(spark, name)
+
+    def put(rows: DataFrame, number: int) -> None:
+        rows.withColumn("__batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/table/{number}")
+
+    writer = df.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/checkpoint")
+    writer.outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.parquet(f"{out}/table/*")
+    rest = [c for c in df.columns if c not in keys]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("__r"))
+    return newest.select(*keys, "__r.*").select(*df.columns)
