@@ -25,10 +25,10 @@ def test_label_files_keep_empty_ones(spark, scratch):
 
 
 def test_ground_truth_map(spark, scratch):
-    data = {f"f{i}.jpg": [{"class_id": 4, "label": "laptop", "box": [424, 25, 638, 475]}, {"class_id": 1, "label": "cup", "box": [55, 395, 188, 480]}] for i in range(3)}
+    data = {f"f{i}.jpg": [{"class_id": 5, "label": "book", "box": [10, 20, 110 + i, 220]}, {"class_id": 3, "label": "mouse", "box": [300, 40, 350, 90]}] for i in range(3)}
     (scratch / "gt.json").write_text(json.dumps(data, indent=1))
     rows = Rd.read_gt_map(spark, str(scratch / "gt.json")).collect()
-    assert len(rows) == 6 and {(r.gt_ord, r.label, r.x2) for r in rows} == {(0, "laptop", 638.0), (1, "cup", 188.0)}
+    assert len(rows) == 6 and {(r.gt_ord, r.label, r.x2) for r in rows} == {(0, "book", 110.0), (0, "book", 111.0), (0, "book", 112.0), (1, "mouse", 350.0)}
 
 
 def test_coco_subset(spark, scratch):
