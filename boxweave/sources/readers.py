@@ -68,19 +68,21 @@ def read_coco(spark: SparkSession, path: str, subset: DataFrame, categories: dic
     return boxes, images.join(wanted, "image_id")
 
 
-def read_manifest(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, schema: str, required: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """CSV manifest. The header must have the required columns; malformed rows are errors.
 
-    Columns of the schema that the file lacks come as null.
+    Columns of the schema that the file lacks come as null. Quotes within a value are doubled.
+    ``multi_line``: values may hold line breaks (a file is then read by one task).
     """
-    header = spark.read.option("header", True).csv(path).columns
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    header = reader.csv(path).columns
     missing = sorted(set(required or []) - set(header))
     if missing:
         raise ValueError(f"manifest lacks columns: {', '.join(missing)}")
     empty = spark.createDataFrame([], schema)
     types = {f.name: f.dataType.simpleString() for f in empty.schema.fields}
     read_as = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in header)
-    df = spark.read.option("header", True).option("mode", "FAILFAST").schema(read_as).csv(path)
+    df = reader.option("mode", "FAILFAST").schema(read_as).csv(path)
     return df.select(*[F.col(c) if c in header else F.lit(None).cast(t).alias(c) for c, t in types.items()])
 
 

@@ -51,8 +51,8 @@ def write_label_rows(boxes: DataFrame, path: str, existing: DataFrame | None = N
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
-    """CSV with header; refuses to overwrite."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    """CSV with header, quotes within a value doubled; refuses to overwrite."""
+    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def write_noop(df: DataFrame, *metrics) -> dict:
