@@ -92,7 +92,40 @@ def _(spark, sf):
     return R.merge_detections(view(spark, sf, "detections"), ["frame_id"]).select("frame_id", "det_ord")
 
 
-@query("merge_boundary")
+def _seam(a: str, b: str, u: str, v: str) -> str:
+    """Two boxes are halves of one along axis ``u``: near the middle of the band their tiles share, side by side across it."""
+    low = f"greatest({a}.t{u}1, {b}.t{u}1)"
+    band = f"(least({a}.t{u}2, {b}.t{u}2) - {low})"
+    middle, margin = f"({low} + {band} * 0.5)", f"greatest(96.0, {band} * 0.25)"
+    near = [f"({p}.{u}2 >= {middle} - {margin} AND {q}.{u}1 <= {middle} + {margin})" for p, q in ((a, b), (b, a))]
+    shorter = f"least({a}.{v}2 - {a}.{v}1, {b}.{v}2 - {b}.{v}1)"
+    return f"""(CASE WHEN {a}.t{u}1 <= {b}.t{u}1 THEN {near[0]} ELSE {near[1]} END AND {shorter} > 0
+      AND greatest(0.0, least({a}.{v}2, {b}.{v}2) - greatest({a}.{v}1, {b}.{v}1)) / {shorter} >= 0.45 AND greatest({a}.{u}1, {b}.{u}1) - least({a}.{u}2, {b}.{u}2) <= 96)"""
+
+
+def _seams() -> str:
+    """Boundary merge, one pair of a frame's boxes per step: the list of boxes goes from step to step."""
+    a, b = "bs[i]", "bs[j]"
+    shared = {u: f"(least({a}.t{u}2, {b}.t{u}2) - greatest({a}.t{u}1, {b}.t{u}1))" for u in "xy"}
+    halves = f"(least({shared['x']}, {shared['y']}) > 0 AND CASE WHEN {shared['x']} < {shared['y']} THEN {_seam(a, b, 'x', 'y')} ELSE {_seam(a, b, 'y', 'x')} END)"
+    clear = lambda e: f"greatest(0.0, least({e}.x1 - {e}.tx1, {e}.y1 - {e}.ty1, {e}.tx2 - {e}.x2, {e}.ty2 - {e}.y2))"
+    lead = f"({clear(a)} - {clear(b)})"
+    keep = "o := e.o, c := e.c, tx1 := e.tx1, ty1 := e.ty1, tx2 := e.tx2, ty2 := e.ty2"
+    grown = f"struct_pack({keep}, s := greatest({a}.s, {b}.s), x1 := least({a}.x1, {b}.x1), y1 := least({a}.y1, {b}.y1), x2 := greatest({a}.x2, {b}.x2), y2 := greatest({a}.y2, {b}.y2), gone := false)"
+    left = f"struct_pack({keep}, s := e.s, x1 := e.x1, y1 := e.y1, x2 := e.x2, y2 := e.y2, gone := true)"
+    return f"""ut AS (SELECT * REPLACE (x1 + tile_x AS x1, y1 + tile_y AS y1, x2 + tile_x AS x2, y2 + tile_y AS y2) FROM tiled),
+  g AS MATERIALIZED (SELECT frame_id, count(*) AS n, list(struct_pack(o := det_ord, c := class_id, tx1 := tile_x, ty1 := tile_y, tx2 := tile_x + tile_w, ty2 := tile_y + tile_h, s := score, x1 := x1, y1 := y1, x2 := x2, y2 := y2, gone := false) ORDER BY det_ord) AS bs FROM ut GROUP BY 1),
+  pr AS MATERIALIZED (SELECT n, p, i, j, row_number() OVER (PARTITION BY n ORDER BY p, i, j) AS k FROM (SELECT DISTINCT n FROM g), (SELECT unnest([1, 2]) AS p), LATERAL (SELECT unnest(range(1, n + 1)) AS i), LATERAL (SELECT unnest(range(i + 1, n + 1)) AS j)),
+  r AS (SELECT frame_id, n, 0::BIGINT AS k, bs FROM g
+    UNION ALL SELECT frame_id, n, k, CASE what WHEN 'unite' THEN list_transform(bs, lambda e, m: CASE WHEN m = i THEN {grown} WHEN m = j THEN {left} ELSE e END)
+        WHEN 'first goes' THEN list_transform(bs, lambda e, m: CASE WHEN m = i THEN {left} ELSE e END) WHEN 'second goes' THEN list_transform(bs, lambda e, m: CASE WHEN m = j THEN {left} ELSE e END) ELSE bs END
+    FROM (SELECT *, CASE WHEN {a}.gone OR {b}.gone OR {a}.c <> {b}.c THEN 'none' WHEN p = 1 THEN CASE WHEN {halves} THEN 'unite' ELSE 'none' END
+          WHEN {Q.ios(a + '.', b + '.')} < 0.35 THEN 'none' WHEN {lead} <= -32 THEN 'first goes' WHEN {lead} >= 32 THEN 'second goes' ELSE 'unite' END AS what
+        FROM (SELECT r.frame_id, r.n, pr.k, r.bs, pr.p, pr.i, pr.j FROM r JOIN pr ON pr.n = r.n AND pr.k = r.k + 1))),
+  fin AS (SELECT unnest(bs) AS e, frame_id FROM (SELECT frame_id, arg_max(bs, k) AS bs FROM r GROUP BY 1))"""
+
+
+@query("merge_boundary", W(f"+{_seams()} SELECT frame_id, e.o AS det_ord, e.s AS score, e.x1 AS x1, e.y1 AS y1, e.x2 AS x2, e.y2 AS y2 FROM fin WHERE NOT e.gone", "tiled", recursive=True))
 def _(spark, sf):
     return R.merge_boundary(P.untile(view(spark, sf, "tiled")), ["frame_id"]).select("frame_id", "det_ord", "score", *BOX)
 
