@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from boxweave.functions import geometry as G
 from boxweave.operators.joins import BOX_COLUMNS
+from boxweave.operators.pacing import paced
 from boxweave.operators.scan import Step, chains, ordered_scan, time_block
 from boxweave.operators.sequential import affine_scan, stream
 from boxweave.session import broadcast_if_small, checkpointed
@@ -230,33 +231,8 @@ def first_n(df: DataFrame, by: list[str], n: int, order: str) -> DataFrame:
 
 
 def thin_by_gap(df: DataFrame, keys: list[str], time: str, gap: int, unit: int = 1, block: int = HOUR_MS) -> DataFrame:
-    """Greedy spacing: keep a row when at least ``gap`` (in whole ``unit``) passed since the last kept one.
-
-    After a pause of ``gap`` the next row is kept whatever came before, so keys are cut
-    there and the cuts run in parallel; inside a cut rows stream in time order.
-    """
-    order = [F.col(time)]
-    cut = chains(
-        df, keys, [time_block(time, block)], order, [time], lambda p, c: F.floor((c(time) - p(time)) / unit) >= gap, F.col(time),
-        {"__cut": "since", "__fresh": "starts"},
-    )
-    reach = gap * unit
-
-    def make():
-        due = [0]
-
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
-            kept, at = [], due[0]
-            for i, (t, fresh) in enumerate(zip(rows[time].tolist(), rows["__fresh"].tolist())):
-                if fresh or t >= at:
-                    kept.append(i)
-                    at = t + reach
-            due[0] = at
-            return rows.iloc[kept]
-
-        return step
-
-    return stream(cut, [*keys, "__cut"], order, make, cut.schema).drop("__cut", "__fresh")
+    """Greedy spacing: keep a row when at least ``gap`` (in whole ``unit``) passed since the last kept one."""
+    return paced(df, keys, time, gap * unit, newest=False, block=block)
 
 
 def throttle_ticks(df: DataFrame, interval_sec: int, exact: bool = True) -> DataFrame:
@@ -302,41 +278,8 @@ class Mailbox:
 
 
 def thin_to_newest(df: DataFrame, keys: list[str], time: str, gap: int, block: int = HOUR_MS) -> DataFrame:
-    """Rows that leave a one-row mailbox per key: ``gap`` apart, each the newest at its time.
-
-    After a pause of two gaps nothing waits and the next row leaves at once, so keys are cut
-    there and the parts run in parallel. A key without such a pause is walked in one task,
-    a batch at a time.
-    """
-    order = [F.col(time)]
-    cut = chains(
-        df, keys, [time_block(time, block)], order, [time], lambda p, c: c(time) - p(time) >= 2 * gap, F.col(time),
-        {"__cut": "since", "__fresh": "starts"},
-    )
-
-    def make():
-        box, held = Mailbox(gap), [None]
-
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
-            kept, carried = [], held[0]
-            if carried is not None:  # the row that waits comes first, under number 0
-                rows = pd.concat([carried, rows], ignore_index=True)
-                box.waiting = 0
-            times, fresh = rows[time].tolist(), rows["__fresh"].tolist()
-            for i in range(0 if carried is None else 1, len(rows)):
-                if fresh[i]:
-                    if box.waiting is not None:
-                        kept.append(box.waiting)
-                    box.due = box.waiting = None
-                left = [box.clock(times[i]), box.put(i, times[i])]
-                kept += [out[0] for out in left if out]
-            held[0] = None if box.waiting is None else rows.iloc[[box.waiting]]
-            return rows.iloc[kept]
-
-        step.finish = lambda: held[0]
-        return step
-
-    return stream(cut, [*keys, "__cut"], order, make, cut.schema).drop("__cut", "__fresh")
+    """Rows that leave a one-row mailbox per key: ``gap`` apart, each the newest at its time (see ``Mailbox``)."""
+    return paced(df, keys, time, gap, newest=True, block=block)
 
 
 def rate_thin(df: DataFrame, fps: int, exact: bool = True) -> DataFrame:
