@@ -108,6 +108,11 @@ def capture_time(name: Column) -> Column:
     return F.when(F.length(digits) == 14, F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss")))
 
 
+def epoch_seconds(ms: Column) -> Column:
+    """Whole seconds since 1970 from milliseconds."""
+    return F.floor(ms / 1000).cast("long")
+
+
 def payload_matches(width: Column, height: Column, data: Column) -> Column:
     """A base64 picture holds exactly width x height x 1.5 bytes."""
     return F.length(F.unbase64(data)) == (width * height * 1.5).cast("int")

@@ -252,7 +252,7 @@ def normalise_pts(frames: DataFrame, keys: list[str]) -> DataFrame:
         .groupBy(*keys)
         .agg(F.min_by("source_pts_ms", "frame_id").alias("__origin"))
     )
-    joined = frames.join(broadcast_if_small(origin), keys, "left")
+    joined = frames.join(origin, keys, "left")
     return joined.withColumn("pts_ms", F.col("source_pts_ms") - F.col("__origin")).drop("__origin")
 
 

@@ -413,7 +413,7 @@ def seen_of(row) -> list[Seen]:
 
 
 def frame_rows(frames: DataFrame, detections: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per frame with its boxes as arrays, in ``det_ord`` order; frames without boxes stay."""
+    """One row per frame with its boxes as arrays, in ``det_ord`` order; frames without boxes stay, boxes without a frame go (``unframed``)."""
     on = [*keys, "frame_id"]
     boxes = F.array_sort(F.collect_list(F.struct("det_ord", "class_id", "label", "score", "x1", "y1", "x2", "y2")))
     gathered = detections.groupBy(*on).agg(boxes.alias("b"))
@@ -424,6 +424,11 @@ def frame_rows(frames: DataFrame, detections: DataFrame, keys: list[str]) -> Dat
     ).withColumn("n", F.greatest("n", F.lit(0)))
 
 
+def unframed(frames: DataFrame, detections: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Boxes whose frame is not among ``frames``; tracking has no time for them and leaves them out."""
+    return detections.join(frames.select(*(keys or ["channel_id"]), "frame_id"), [*(keys or ["channel_id"]), "frame_id"], "left_anti")
+
+
 def cut_parts(frames: DataFrame, detections: DataFrame, keys: list[str], config: TrackerConfig, block: int) -> DataFrame:
     """(keys, frame_id, part): parts start after updates that no track can survive.
 

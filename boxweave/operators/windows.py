@@ -170,7 +170,7 @@ def pr_curve(matches: DataFrame, gt_counts: DataFrame, by: list[str], image: str
     curve = ordered_scan(matches, by, blocks, order, [Step("cum_tp", "sum", hit), Step("cum_fp", "sum", 1 - hit)])
     seen = F.col("cum_tp") + F.col("cum_fp")
     precision = F.col("cum_tp") / (seen + 1e-6) if style == "detector" else F.col("cum_tp") / F.greatest(seen.cast("double"), F.lit(1e-9))
-    with_gt = curve.join(broadcast_if_small(gt_counts), by, "left")
+    with_gt = curve.join(gt_counts, by, "left")
     n_gt = F.coalesce(F.col("n_gt"), F.lit(0))
     return with_gt.withColumns({"n_gt": n_gt, "precision": precision, "recall": F.col("cum_tp") / F.greatest(n_gt, F.lit(1))})
 
@@ -212,7 +212,7 @@ def evenly_spaced(df: DataFrame, by: list[str], n: int, order: str, blocks: list
     blocks = blocks or [F.substring(order, 1, 8), F.substring(order, 1, 16)]
     placed = ordered_scan(df, by, blocks, [F.col(order)], [Step("__no", "count")]).withColumn("__i", F.col("__no") - 1)
     sizes = df.groupBy(*by).agg(F.count("*").alias("__size"))
-    sized = placed.join(broadcast_if_small(sizes), by)
+    sized = placed.join(sizes, by)
     i, size = F.col("__i"), F.col("__size")
     if n == 1:
         wanted = i == F.floor(size / 2)

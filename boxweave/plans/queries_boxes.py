@@ -392,6 +392,52 @@ def _(spark, sf):
     )
 
 
+def _blend(new: str, old: str) -> str:
+    return f"(0.25 * ({new}) + 0.75 * ({old}))"
+
+
+def _pair_filters_sql() -> str:
+    a, b = "a.", "b."
+    far = Q.hypot(f"{Q.cx(a)} - {Q.cx(b)}", f"{Q.cy(a)} - {Q.cy(b)}")
+    w, h = (f"greatest(1.0, a.{u}2 - a.{u}1)" for u in "xy")
+    areas = [f"(greatest(1.0, {p}x2 - {p}x1) * greatest(1.0, {p}y2 - {p}y1))" for p in (a, b)]
+    middle = {"x": _blend(Q.cx(b), Q.cx(a)), "y": _blend(Q.cy(b), Q.cy(a))}
+    half = {u: f"{_blend(f'b.{u}2 - b.{u}1', f'a.{u}2 - a.{u}1')} * 0.5" for u in "xy"}
+    back = {u: f"CASE WHEN {far} <= 20 THEN 0.0 ELSE ({c(a)} - {c(b)}) * (1 - 20 / {far}) END" for u, c in (("x", Q.cx), ("y", Q.cy))}
+    parts = [
+        f"CASE WHEN a.class_id = b.class_id THEN {Q.ios(a, b)} >= 0.7 AND {Q.center_inside(a, b)} ELSE {Q.iou_tracker(a, b)} >= 0.85 OR ({Q.ios(a, b)} >= 0.5 AND {Q.center_inside(a, b)}) END AS duplicate",
+        f"{far} < 60 AND abs(b.x2 - b.x1 - {w}) / {w} < 0.3 AND abs(b.y2 - b.y1 - {h}) / {h} < 0.3 AS resting",
+        Q.r6(f"least({', '.join(areas)}) / greatest({', '.join(areas)})", "similar"),
+        *[Q.r6(f"{middle[u]} {sign} {half[u]}", f"ema_{u}{n}") for u in "xy" for n, sign in ((1, "-"), (2, "+"))],
+        *[Q.r6(f"b.{u}{n} + {back[u]}", f"held_{u}{n}") for u in "xy" for n in (1, 2)],
+    ]
+    return "SELECT a.frame_id, a.det_ord AS a_ord, b.det_ord AS b_ord, " + ", ".join(parts) + f" FROM detections a JOIN detections b ON a.frame_id = b.frame_id AND a.det_ord < b.det_ord AND {Q.inter(a, b)} > 0"
+
+
+@query("box_filter_steps", W(_pair_filters_sql(), "detections"))
+def _(spark, sf):
+    """The rules and single steps that trackers are made of, on all overlapping pairs."""
+    pairs = J.overlap_pairs(view(spark, sf, "detections"), ["channel_id", "frame_id"])
+    a, b = G.box("a_"), G.box("b_")
+    ema, held = G.ema_box(a, b, 0.25), G.clamp_center_correction(a, b, 20.0)
+    corners = [r6(getattr(box, f"{u}{n}"), f"{name}_{u}{n}") for name, box in (("ema", ema), ("held", held)) for u in "xy" for n in (1, 2)]
+    return pairs.select(
+        "frame_id", F.col("a_det_ord").alias("a_ord"), F.col("b_det_ord").alias("b_ord"), G.is_duplicate_box(a, b).alias("duplicate"),
+        G.in_deadzone(a, b, 60.0, 0.3).alias("resting"), r6(G.size_similarity(a, b), "similar"), *corners,
+    )
+
+
+@query("number_helpers", W(f"""SELECT frame_id, det_ord, ROUND(t * t * (3 - 2 * t), 6) + 0.0 AS eased, {Q.r6('ln((x2 - x1) / (y2 - y1))', 'log_step')}, CAST(x2 AS BIGINT) + (16 - CAST(x2 AS BIGINT) % 16) % 16 AS aligned,
+    CASE WHEN v < 0 THEN -1 ELSE 1 END * floor(abs(v) + 0.5) AS rounded, replace(label, ' ', '_') AS slug, ts_ms // 1000 AS epoch_s
+  FROM (SELECT *, least(1.0, greatest(0.0, score * 2 - 0.4)) AS t, (x1 - y1) / 4 AS v FROM detections)""", "detections"))
+def _(spark, sf):
+    d = view(spark, sf, "detections")
+    return d.select(
+        "frame_id", "det_ord", r6(S.smoothstep(F.col("score") * 2 - 0.4), "eased"), r6(S.log_step(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), "log_step"),
+        S.align_up(F.col("x2"), 16).alias("aligned"), S.round_half_away((F.col("x1") - F.col("y1")) / 4).alias("rounded"), S.class_slug(F.col("label")).alias("slug"), S.epoch_seconds(F.col("ts_ms")).alias("epoch_s"),
+    )
+
+
 def _rival(a, b):
     return f"({Q.iou_tracker(a, b)} >= 0.85 OR ({Q.ios(a, b)} >= 0.5 AND {Q.center_inside(a, b)}))"
 

@@ -402,6 +402,12 @@ def _(spark, sf):
     return out.where("kind = 'shown'").select("channel_id", "frame_id", "label", "score", *BOX)
 
 
+@query("unframed", W("SELECT frame_id, det_ord FROM detections d JOIN frames f USING (frame_id) WHERE width % 2 = 1 OR height % 2 = 1", "detections", "frames"))
+def _(spark, sf):
+    even = view(spark, sf, "frames").where("width % 2 = 0 AND height % 2 = 0")
+    return T.unframed(even, view(spark, sf, "detections")).select("frame_id", "det_ord")
+
+
 @query("track_snapshots")
 def _(spark, sf):
     return T.snapshots(T.track(view(spark, sf, "frames"), view(spark, sf, "detections")))
