@@ -24,6 +24,8 @@ from boxweave.llm.pretokens import Encoder, byte_letters, special_tokens, token_
 
 POSITION = 32
 NONE = 1 << 62
+#: Words remembered by a worker; fewer than where each new one is costlier.
+REMEMBERED = 120_000
 #: Pre-tokens of up to so many bytes are merged side by side, so many at a time.
 SHORT, ROWS = 64, 8192
 
@@ -150,7 +152,7 @@ class Merges:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """Encoder of the vocabulary file; one per worker process, so what it remembers serves all its tasks."""
-    return Encoder(Merges(path).encode, special_tokens(path))
+    return Encoder(Merges(path).encode, special_tokens(path), REMEMBERED)
 
 
 def decode(ids: list[int], path: str) -> str:
@@ -197,6 +199,7 @@ def _encoded(docs: DataFrame, tokenizer: str, id: str, text: str, finish, schema
             for at in range(0, batch.num_rows, rows_at_once):
                 part = batch.slice(at, rows_at_once)
                 yield finish(part.column(0), list(ids_of.all(t.as_py() for t in part.column(1))))
+        ids_of.rest()
 
     rows = picked(docs, id=id, text=text)
     return map_batches(rows, run, f"doc_id {rows.schema['id'].dataType.simpleString()}, {schema}")

@@ -1,15 +1,17 @@
 """Splitting text for byte-level BPE, with a bounded memory of what was encoded before.
 
-Byte-level BPE merges within pre-tokens only. Where words are separated by single spaces and
-line breaks, no pre-token reaches from one word into the next, so a text is cut at these with
-plain string methods and each distinct word, with its space, is encoded once while it is
-remembered. Any other white space sends the text through the pattern itself.
+Byte-level BPE merges within pre-tokens only, and a pre-token holds a space at its start only. So
+where words are separated by single spaces, no pre-token reaches from one into the next: a text is
+cut at these with plain string methods, and each distinct word, with the space before it, is
+encoded once while it is remembered. Any other white space around a space sends the text
+through the pattern itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import regex
 import tokenizers
@@ -19,9 +21,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 SPLIT = regex.compile(PATTERN)
 #: Words and pre-tokens remembered per generation; two generations are held.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Characters of text whose new words are encoded together.
-GROUP = 1_000_000
+GROUP = 100_000
 
 
 class Memory:
@@ -34,24 +36,34 @@ class Memory:
         self.compute, self.size, self.young, self.old = compute, size, {}, {}
 
     def look(self, keys: Iterable[str]) -> dict[str, bytes | None]:
-        """A dict that holds all of ``keys``; missing ones are computed together."""
+        """A small dict of just ``keys``, which stays in the processor's caches; missing ones are computed together."""
         if len(self.young) > self.size:
             self.young, self.old = {}, self.young
-        lacking = [k for k in keys if k not in self.young]
+        wanted = dict.fromkeys(keys)
+        lacking = list(filterfalse(self.young.__contains__, wanted))
         fresh = [k for k in lacking if k not in self.old]
         self.young.update((k, self.old[k]) for k in lacking if k in self.old)
         self.young.update(zip(fresh, self.compute(fresh)))
-        return self.young
+        return dict(zip(wanted, map(self.young.__getitem__, wanted)))
 
 
 def units(text: str) -> list[str]:
-    """``text`` cut before each space and around each line break."""
-    return text.replace("\n", " \n").replace(" ", "\0 ").replace("\0 \n", "\0\n\0").split("\0")
+    """``text`` cut at its spaces; the first unit, which has no space before it, is marked."""
+    return ("\0" + text).split(" ")
 
 
 def stands_alone(unit: str) -> bool:
-    """Whether a unit is encoded the same without its neighbours: a line break, or a word with at most one space before it."""
-    return unit == "\n" or len(unit.split()) == 1 and (unit == (w := unit.strip()) or unit == " " + w)
+    """Whether a unit with the space before it is encoded the same without its neighbours: no white space at its ends."""
+    return unit not in ("", "\0") and not unit.lstrip("\0")[0].isspace() and not unit[-1].isspace()
+
+
+def pieces(unit: str) -> list[str]:
+    """Pre-tokens of a unit that stands alone. Letters, and letters with a stop after them, need no pattern."""
+    if unit.isalpha():
+        return [" " + unit]
+    if unit[-1] in ".,;:!?" and unit[:-1].isalpha():
+        return [" " + unit[:-1], unit[-1]]
+    return SPLIT.findall(unit[1:] if unit[0] == "\0" else " " + unit)
 
 
 class Encoder:
@@ -80,10 +92,14 @@ class Encoder:
                 group, size = [], 0
         yield from self._group(group)
 
+    def rest(self) -> None:
+        """Called at the end of a task: an idle worker holds one generation only."""
+        self.piece.old = self.unit.old = {}
+
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         plain = [not ("\0" in t or any(s in t for s in self.specials)) for t in texts]
         cut = [units(t) if t and p else [] for t, p in zip(texts, plain)]
-        known = self.unit.look(set().union(*cut))
+        known = self.unit.look(chain.from_iterable(cut))
         for text, ok, words in zip(texts, plain, cut):
             try:
                 yield b"".join(map(known.__getitem__, words)) if ok else b"".join(self._between(text))
@@ -100,11 +116,11 @@ class Encoder:
 
     def _whole(self, text: str) -> bytes:
         parts = SPLIT.findall(text)
-        return b"".join(map(self.piece.look(set(parts)).__getitem__, parts))
+        return b"".join(map(self.piece.look(parts).__getitem__, parts))
 
     def _units(self, words: list[str]) -> list[bytes | None]:
-        parts = [SPLIT.findall(w) if stands_alone(w) else None for w in words]
-        known = self.piece.look({p for ps in parts if ps for p in ps})
+        parts = [pieces(w) if stands_alone(w) else None for w in words]
+        known = self.piece.look(chain.from_iterable(filter(None, parts)))
         return [None if ps is None else b"".join(map(known.__getitem__, ps)) for ps in parts]
 
 

@@ -86,6 +86,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: st
                     row, out, held = [], [], 0
             if out:
                 yield block()
+        ids_of.rest()
 
     rows = picked(docs, id=id, text=text)
     kind = rows.schema["id"].dataType.simpleString()

@@ -56,6 +56,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id
                 size += len(ids) // 4
         if parts:
             yield flush()
+        ids_of.rest()
 
     rows = picked(docs, id=id, text=text)
     kind = rows.schema["id"].dataType.simpleString()
@@ -71,10 +72,10 @@ def SEGMENTS(kind: pa.DataType) -> pa.Schema:
 
 
 def with_starts(segments: DataFrame) -> DataFrame:
-    """``start``: ids before each segment. Shards are as many as the writer's tasks, so their running sum is small."""
+    """``start``: ids before each segment. A shard is a task of the writer, so their totals are few enough to send to all tasks."""
     totals = segments.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
-    return segments.join(before, "shard").withColumn("start", F.col("before") + F.col("first"))
+    return segments.join(F.broadcast(before), "shard").withColumn("start", F.col("before") + F.col("first"))
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
