@@ -162,7 +162,8 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     gone = rows.join(kept, F.col("component_id").eqNullSafe(F.col("kept_of")) & F.col("id").eqNullSafe(F.col("kept_of")) & (rows["body"] == kept["body"]), "left_anti")
     gone = stored(gone.select("id", "body").distinct(), "gone")
     left = packed(docs, id=id, text=text).withColumn("body", F.xxhash64("text")).drop("text")
-    left = left.join(gone, left["id"].eqNullSafe(gone["id"]) & (left["body"] == gone["body"]), "left_anti")
+    # What goes grows with the rows, so it is never sent to all tasks: one plan at every size.
+    left = left.join(gone.hint("merge"), left["id"].eqNullSafe(gone["id"]) & (left["body"] == gone["body"]), "left_anti")
     twice = stored(own.where("n > 1").select("id"), "twice")
     if not twice.isEmpty():
         same = left["id"].eqNullSafe(twice["id"])
