@@ -34,8 +34,11 @@ def _directory(cells: DataFrame, above: int, depth: int, limit: int) -> DataFram
     """
     prefixes = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(above + 1), F.lit(depth))).alias("bits"))
     prefixes = prefixes.withColumn("prefix", F.expr(f"shiftright(cell, {depth} - bits)"))
-    fits = prefixes.groupBy("bits", "prefix").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") <= limit).select("bits", "prefix")
-    found = prefixes.select("cell", "bits", "prefix").join(fits, ["bits", "prefix"]).groupBy("cell").agg(F.min("bits").alias("bits"))
+    fits = stored(prefixes.groupBy("bits", "prefix").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") <= limit).select("bits", "prefix"), "fits")
+    # Prefixes shorter than any that fits need no partner, and they alone would gather very many cells.
+    shortest = fits.agg(F.min("bits")).first()[0]
+    near = prefixes.select("cell", "bits", "prefix").where(F.col("bits") >= (depth + 1 if shortest is None else shortest))
+    found = near.join(fits, ["bits", "prefix"]).groupBy("cell").agg(F.min("bits").alias("bits"))
     return cells.select("cell").join(found, "cell", "left")
 
 
