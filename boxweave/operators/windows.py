@@ -231,8 +231,33 @@ def first_n(df: DataFrame, by: list[str], n: int, order: str) -> DataFrame:
 
 
 def thin_by_gap(df: DataFrame, keys: list[str], time: str, gap: int, unit: int = 1, block: int = HOUR_MS) -> DataFrame:
-    """Greedy spacing: keep a row when at least ``gap`` (in whole ``unit``) passed since the last kept one."""
-    return paced(df, keys, time, gap * unit, newest=False, block=block)
+    """Greedy spacing: keep a row when at least ``gap`` (in whole ``unit``) passed since the last kept one.
+
+    After a pause of ``gap`` the next row is kept whatever came before, so keys are cut
+    there and the cuts run in parallel; inside a cut rows stream in time order.
+    """
+    order = [F.col(time)]
+    cut = chains(
+        df, keys, [time_block(time, block)], order, [time], lambda p, c: F.floor((c(time) - p(time)) / unit) >= gap, F.col(time),
+        {"__cut": "since", "__fresh": "starts"},
+    )
+    reach = gap * unit
+
+    def make():
+        due = [0]
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            kept, at = [], due[0]
+            for i, (t, fresh) in enumerate(zip(rows[time].tolist(), rows["__fresh"].tolist())):
+                if fresh or t >= at:
+                    kept.append(i)
+                    at = t + reach
+            due[0] = at
+            return rows.iloc[kept]
+
+        return step
+
+    return stream(cut, [*keys, "__cut"], order, make, cut.schema).drop("__cut", "__fresh")
 
 
 def throttle_ticks(df: DataFrame, interval_sec: int, exact: bool = True) -> DataFrame:
