@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxweave.llm import trie
+from boxweave.llm import similar, trie
 from boxweave.llm.common import map_batches, packed, picked, stored
 from boxweave.llm.components import components
 
@@ -125,11 +125,16 @@ def near_codes(codes: DataFrame, radius: int = 4, group: int = GROUP) -> DataFra
         rows = _below(stored(rows.join(crowded, ["path", "lead"], "left_semi").select("path", "code"), "dealt"), radius)
 
 
-def classed(docs: DataFrame, id: str, text: str, words: int, radius: int, group: int = GROUP, distinct: bool = False) -> DataFrame:
+def classed(docs: DataFrame, id: str, text: str, words: int, radius: int, group: int = GROUP) -> DataFrame:
     """``(id, body, code, component_id)`` of every row."""
-    rows = stored(fingerprints(docs, id, text, words, distinct), "fingerprints")
+    rows = stored(fingerprints(docs, id, text, words), "fingerprints")
     codes = stored(rows.groupBy("code").agg(F.min("id").alias("least")), "codes")
     roots = components(near_codes(codes.select("code"), radius, group)).select(F.col("a").alias("code"), F.col("b").alias("root"))
+    return _named(rows, codes, roots)
+
+
+def _named(rows: DataFrame, codes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the least id of their class; ``roots`` has the linked codes and the root of each."""
     named = stored(codes.join(roots, "code", "left").select("code", "least", F.coalesce("root", "code").alias("root")), "rooted")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stored(named.join(least, "root").select("code", "component_id"), "classes")
@@ -149,14 +154,22 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     return rows.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 1, radius: int = 5, group: int = GROUP, distinct: bool = True) -> DataFrame:
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, distinct: bool = True) -> DataFrame:
     """``docs`` with one row of each class of near copies: the one with the smallest id.
 
+    Two texts link at a Jaccard similarity of their shingles of ``similarity`` or more, all such pairs and
+    no others (see ``similar``); shingles count once each or, without ``distinct``, as often as they
+    occur. Texts without words link to each other only.
+
     Rows of a class that share that id are told apart by a hash of their text; of equal rows one
     stays. Of a class without ids, one row stays. What goes is named by id and text, so a
     row's other columns do not matter.
     """
-    rows = stored(classed(docs, id, text, words, radius, group, distinct).select("id", "body", "component_id"), "classed")
+    rows = stored(similar.prefixed(docs, id, text, words, distinct, similarity), "prefixed")
+    roots = similar.similar_classes(rows, docs, text, words, distinct, similarity).select(F.col("node").alias("code"), "root")
+    light = rows.select("id", "body", F.col("node").alias("code"))
+    codes = stored(light.groupBy("code").agg(F.min("id").alias("least")), "codes")
+    rows = stored(_named(light, codes, roots).select("id", "body", "component_id"), "classed")
     own = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "id").agg(F.min("body").alias("body"), F.count("*").alias("n"))
     kept = own.select(F.col("component_id").alias("kept_of"), "body")
     gone = rows.join(kept, F.col("component_id").eqNullSafe(F.col("kept_of")) & F.col("id").eqNullSafe(F.col("kept_of")) & (rows["body"] == kept["body"]), "left_anti")

@@ -105,3 +105,45 @@ def test_changed_words_are_near_and_others_are_not(spark):
     rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, prose(8, 300)), (4, prose(9, 300))]
     kept = representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == [1, 3, 4]
+
+
+def test_only_texts_of_similar_shingles_link(spark):
+    def changed(base, n):
+        return [f"new{i}" if i % (len(base) // n) == 10 and i // (len(base) // n) < n else w for i, w in enumerate(base)]
+
+    rng = random.Random(4)
+    base = [f"word{rng.randrange(10**6)}" for _ in range(450)]
+    moved = base[225:] + base[:225]  # all single words the same, 4 of 450 shingles others
+    mixed = [*base]
+    rng.shuffle(mixed)  # all single words the same, no shingle
+    rows = [(1, base), (2, changed(base, 9)), (3, changed(base, 12)), (4, mixed), (5, moved), (6, changed(base, 9) + ["end"] * 9), (7, base[:360]), (8, base[:350])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+    near = {i: {j for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in sets}
+    left, kept = set(sets), set()
+    while left:
+        todo = {min(left)}
+        kept |= todo
+        while todo:
+            left -= todo
+            todo = set().union(*(near[i] for i in todo)) & left
+    assert {3, 4} <= kept and {2, 5} & kept == set()
+    assert {r.doc_id for r in representatives(df).collect()} == kept
+
+
+def test_classes_equal_all_pairs(spark):
+    rng = random.Random(6)
+    texts = []
+    for family in range(12):
+        base = prose(family, rng.randrange(1, 200)).split()
+        for _ in range(8):
+            texts.append(" ".join(w if rng.random() > 0.02 else f"x{rng.randrange(50)}" for w in base) + " the same long line below all of them" * (family % 2))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    kept = representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == set(root) and len(kept) < len(texts)
