@@ -109,7 +109,8 @@ def windows(docs: DataFrame, parts: DataFrame, rule: Search, id: str = "doc_id",
 
     A window shares too few shingles with every item if too few of its shingles occur in the benchmark
     at all; such windows are left out, and no other. The rest belong each to the first of
-    their shingles that does occur, and are cut from the few hashes around it.
+    their shingles that does occur, and are cut from the few hashes around it. A document with fewer
+    shingles than an item is one window for it, where it has enough to be that similar.
     """
     sizes = [r[0] for r in parts.select("m").distinct().orderBy("m").collect()]
     longest = max(sizes, default=1)
@@ -125,11 +126,14 @@ def windows(docs: DataFrame, parts: DataFrame, rule: Search, id: str = "doc_id",
     hits = hits.withColumn("before", F.coalesce(F.lag("at").over(order), F.lit(-1)))
     hits = hits.withColumn("ahead", F.collect_list("at").over(order.rowsBetween(0, longest - 1)))
     needed = [F.struct(F.lit(m).alias("m"), F.lit(_needed(m, rule.similarity)).alias("need")) for m in sizes] or [F.struct(F.lit(1).alias("m"), F.lit(1).alias("need"))]
-    sized = hits.select("*", F.explode(F.array(*needed)).alias("size")).select("*", "size.m", "size.need").where("size(ahead) >= need")
+    sized = hits.select("*", F.explode(F.array(*needed)).alias("size")).select("*", "size.m", "size.need").withColumn("short", F.expr("n < m"))
+    fewer = F.ceil(F.lit(rule.similarity / (1 + rule.similarity)) * (F.col("n") + F.col("m")) - 1e-9)
+    sized = sized.withColumn("need", F.when(F.col("short"), fewer).otherwise(F.col("need"))).where("size(ahead) >= need AND (NOT short OR before = -1 AND base = 0)")
     lead = F.least(F.col("at") - F.col("before") - 1, F.col("m") - F.col("need"), F.col("at"))
-    begun = sized.select("*", F.explode(F.sequence(F.col("at") - lead, F.col("at"))).alias("start")).where("start + m <= n")
+    starts = F.when(F.col("short"), F.array(F.lit(0))).otherwise(F.sequence(F.col("at") - lead, F.col("at")).cast("array<int>"))
+    begun = sized.select("*", F.explode(starts).alias("start")).where("short OR start + m <= n")
     full = begun.where(F.size(F.filter("ahead", lambda a: a < F.col("start") + F.col("m"))) >= F.col("need"))
-    return full.select("key", "id", "start", "m", F.slice("around", F.col("start") - F.col("base") + 1, F.col("m")).alias("hashes"))
+    return full.select("key", "id", "start", "m", F.slice("around", F.col("start") - F.col("base") + 1, F.least("m", "n")).alias("hashes"))
 
 
 def _needed(m: int, similarity: float) -> int:
@@ -150,7 +154,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rule: Search = Search(), id:
     """Where documents hold benchmark items: ``(key, doc_id, item_id, similarity, distance, start, shingles)``.
 
     The best window of each document and item: greatest similarity, then least start (in shingles, counted
-    in words). Words are letters and digits in lower case. Texts of fewer than five words are one
+    in words). A document shorter than the item is compared as a whole. Words are letters and digits in lower case. Texts of fewer than five words are one
     shingle and match only the same words. Null and empty texts and items hold nothing; equal rows share a key
     and give one result; an empty table on either side gives none.
     """

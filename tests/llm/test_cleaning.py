@@ -144,3 +144,15 @@ def test_odd_rows_and_empty_tables(odd, none, spark):
     assert {(r.doc_id, r.item_id) for r in contaminated(odd, items).collect()} == {(1, 1), (5, 1), (6, 2), (13, 2)}
     assert contaminated(none, items).count() == 0
     assert contaminated(odd, items.limit(0)).count() == 0
+
+
+def test_documents_shorter_than_the_item(spark):
+    items = [(m, prose(200 + m, m)) for m in (40, 60)]
+    docs = []
+    for m, item in items:
+        words = item.split()
+        docs += [(m, " ".join(words[:-1])), (m + 1, " ".join(words[1:])), (m + 2, " ".join(words[: int(m * 0.7)]))]
+    words = items[1][1].split()
+    docs.append((99, " ".join(words[:30] + words[31:])))
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), Search(radius=24, blocks=5)).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == pytest.approx({(40, 40): 35 / 36, (41, 40): 35 / 36, (60, 60): 55 / 56, (61, 60): 55 / 56, (99, 60): 51 / 60})
