@@ -129,26 +129,39 @@ def term_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
 
 
+def _pools(value: Column) -> Column:
+    """A value, what it belongs to (mail domain, network, prefix of a number) and its kind."""
+    kind = F.substring_index(value, ":", 1)
+    part = F.when(kind == "email", F.concat(F.lit("email:@"), F.substring_index(value, "@", -1)))
+    part = part.when(kind == "ip", F.concat(F.substring_index(value, ".", 3), F.lit(".*")))
+    return F.array(value, part.otherwise(F.concat(F.left(value, F.length(kind) + 7), F.lit("*"))), kind)
+
+
 def disclosing(found: DataFrame, frequencies: DataFrame, rule: Disclosure) -> DataFrame:
     """``(key, term, share)``: terms that give a value away, in each row that holds the value.
 
     ``found`` are the rows of ``base_spans``. Counts are of rows; a row counts once for a
-    value and once for a term near it. Pairs are formed near a value only, and pre-aggregated
-    before they are dealt out.
+    value and once for a term near it. A value seen once has no estimate of its own, so those of its
+    pools (see ``_pools``) count as well; there, term and pool must meet in ``support`` different texts. The
+    greatest share counts. Pairs are formed near a value only, and pre-aggregated before they are dealt out.
     """
-    total_rows = found.count()
-    with_values = found.where("size(contexts) > 0").select("key", F.explode("contexts").alias("c")).select("key", "c.value", "c.terms")
-    values = found.where("size(contexts) > 0").select(F.explode(F.array_distinct(F.transform("contexts", lambda c: c.value))).alias("value")).groupBy("value").agg(F.count("*").alias("with_value"))
-    repeated = values.where(F.col("with_value") >= rule.support)
-    merged = F.array_distinct(F.flatten(F.transform(F.filter("contexts", lambda c: c.value == F.col("value")), lambda c: c.terms)))
-    each = found.where("size(contexts) > 0").select("key", "contexts", F.explode(F.array_distinct(F.transform("contexts", lambda c: c.value))).alias("value"))
-    pairs = each.select("value", F.explode(merged).alias("term")).groupBy("value", "term").agg(F.count("*").alias("both"))
-    pairs = pairs.where(F.col("both") >= rule.support).join(repeated, "value").join(frequencies, "term")
-    information = F.log(F.lit(float(max(1, total_rows))) / F.col("with_value"))
-    share = F.log(F.col("both") * F.lit(float(max(1, total_rows))) / (F.col("documents") * F.col("with_value"))) / F.nullif(information, F.lit(0.0))
-    telling = pairs.select("value", "term", share.alias("share")).where(F.col("share") >= rule.generalise)
-    exploded = with_values.select("key", "value", F.explode("terms").alias("term"))
-    return exploded.join(telling, ["value", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
+    total_rows = float(max(1, found.count()))
+    held = found.where("size(contexts) > 0").select("key", F.xxhash64("body").alias("copy"), F.explode("contexts").alias("c"))
+    near = held.select("key", "copy", F.explode(_pools(F.col("c.value"))).alias("pool"), "c.terms")
+    # one row of a pool and a row of the table, so that a term counts once
+    counted = found.where("size(contexts) > 0").select(F.xxhash64("body").alias("copy"), "contexts")
+    counted = counted.select("copy", "contexts", F.explode(F.array_distinct(F.flatten(F.transform("contexts", lambda c: _pools(c.value))))).alias("pool"))
+    merged = F.array_distinct(F.flatten(F.transform(F.filter("contexts", lambda c: F.array_contains(_pools(c.value), F.col("pool"))), lambda c: c.terms)))
+    counted = counted.select("copy", "pool", F.filter("contexts", lambda c: c.value == F.col("pool")).alias("own"), merged.alias("terms"))
+    sizes = counted.groupBy("pool").agg(F.count("*").alias("with_pool"))
+    pairs = counted.select("pool", "copy", (F.size("own") > 0).alias("exact"), F.explode("terms").alias("term")).groupBy("pool", "term", "exact", "copy").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("pool", "term", "exact").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
+    pairs = pairs.where(F.when(F.col("exact"), F.col("both")).otherwise(F.col("texts")) >= rule.support).join(sizes, "pool").join(frequencies, "term")
+    information = F.log(F.lit(total_rows) / F.col("with_pool"))
+    share = F.log(F.col("both") * F.lit(total_rows) / (F.col("documents") * F.col("with_pool"))) / F.nullif(information, F.lit(0.0))
+    telling = stored(pairs.select("pool", "term", share.alias("share")).where(F.col("share") >= rule.generalise), "telling")
+    exploded = near.select("key", "pool", F.explode("terms").alias("term")).distinct()
+    return exploded.join(telling, ["pool", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
 
 
 def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:

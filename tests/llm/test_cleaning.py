@@ -156,3 +156,13 @@ def test_documents_shorter_than_the_item(spark):
     docs.append((99, " ".join(words[:30] + words[31:])))
     found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), Search(radius=24, blocks=5)).collect()
     assert {(r.doc_id, r.item_id): r.similarity for r in found} == pytest.approx({(40, 40): 35 / 36, (41, 40): 35 / 36, (60, 60): 55 / 56, (61, 60): 55 / 56, (99, 60): 51 / 60})
+
+
+def test_values_seen_once_have_disclosing_terms(spark):
+    rows = [(i, f"the walrus writes to user{i}@zoo.org from 10.7.3.{i} " + prose(i, 20)) for i in range(4)] + [(i, f"the {prose(i, 30)}") for i in range(10, 60)]
+    rows += [(70, "pelican writes to x@pond.org"), (71, "pelican writes to x@pond.org " + prose(8, 9)), (72, "stork near 172.16.0.1"), (73, "stork near 172.16.0.1")]
+    told = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for i in range(4):
+        assert "walrus" in {text[i][int(a):int(b)] for k, a, b in (s.split(":") for s in told[i].spans.split(",")) if k == "term"}
+    assert all(told[i].n_term == 0 for i in range(10, 60))
