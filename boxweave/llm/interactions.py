@@ -164,6 +164,8 @@ def counted(stream: DataFrame, labels: DataFrame, groups: int, id: str = "doc_id
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # What a batch changed is written, not the whole state again.
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     out = folder or run_dir(spark, "interactions")
 
     def put(changes: DataFrame, number: int) -> None:
