@@ -157,15 +157,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, distinct: bool = True) -> DataFrame:
     """``docs`` with one row of each class of near copies: the one with the smallest id.
 
-    Two texts link at a Jaccard similarity of their shingles of ``similarity`` or more, all such pairs and
-    no others (see ``similar``); shingles count once each or, without ``distinct``, as often as they
+    Two texts link at a Jaccard similarity of their shingles of ``similarity`` or more, by an exact check of
+    candidates that miss less than one such pair in a billion (see ``similar``); shingles count once each or, without ``distinct``, as often as they
     occur. Texts without words link to each other only.
 
     Rows of a class that share that id are told apart by a hash of their text; of equal rows one
     stays. Of a class without ids, one row stays. What goes is named by id and text, so a
     row's other columns do not matter.
     """
-    rows = stored(similar.prefixed(docs, id, text, words, distinct, similarity), "prefixed")
+    rows = stored(similar.signed(docs, id, text, words, distinct, similarity), "signed")
     roots = similar.similar_classes(rows, docs, text, words, distinct, similarity).select(F.col("node").alias("code"), "root")
     light = rows.select("id", "body", F.col("node").alias("code"))
     codes = stored(light.groupBy("code").agg(F.min("id").alias("least")), "codes")
