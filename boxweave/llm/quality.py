@@ -105,19 +105,38 @@ class AttentionNet:
         return [g + decay * w / len(self.weights()) for g, w in zip(own, self.weights())]
 
 
-def train(bags: list[np.ndarray], labels: list[float], epochs: int = 30, seed: int = 0) -> AttentionNet:
-    """Network from bags of measured passages and their documents' labels."""
+def _bagged(bags: list[np.ndarray], chosen) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([bags[i] for i in chosen]).astype(np.float64), np.r_[0, np.cumsum([len(bags[i]) for i in chosen])[:-1]].astype(int)
+
+
+def train(bags: list[np.ndarray], labels: list[float], seed: int = 0, patience: int = 12, most_steps: int = 6000) -> AttentionNet:
+    """Network from bags of measured passages and their documents' labels.
+
+    Every tenth bag is held back (of 50 or more). Passes go on until the loss on these has not fallen for ``patience`` of
+    them, ``most_steps`` steps at most, and the weights of the best pass are returned.
+    """
     rng = np.random.default_rng(seed)
     everything = np.concatenate(bags) if bags else np.zeros((1, _measures()))
-    net, y = AttentionNet.fresh(everything.astype(np.float64), rng), np.array(labels, np.float64)
-    step, total, done, size = adam(net.weights(), 0.005), max(1, epochs * -(-len(bags) // 32)), 0, 32
-    for _ in range(epochs):
-        order = rng.permutation(len(bags))
-        for at in range(0, len(bags), size):
+    net, y, size = AttentionNet.fresh(everything.astype(np.float64), rng), np.array(labels, np.float64), 32
+    held = np.arange(9, len(bags), 10) if len(bags) >= 50 else np.zeros(0, int)
+    own = np.setdiff1d(np.arange(len(bags)), held)
+    checked = _bagged(bags, held) if len(held) else None
+    step, done, best, since, kept = adam(net.weights(), 0.005), 0, np.inf, 0, None
+    while len(own) and done < most_steps and since <= patience:
+        order = rng.permutation(own)
+        for at in range(0, len(order), size):
             part = order[at : at + size]
-            first = np.r_[0, np.cumsum([len(bags[i]) for i in part])[:-1]]
-            step(net.gradients(np.concatenate([bags[i] for i in part]).astype(np.float64), first, y[part]), 1 - done / total)
+            step(net.gradients(*_bagged(bags, part), y[part]), max(0.1, 1 - done / most_steps))
             done += 1
+        if checked is not None:
+            p = np.clip(net.forward(*checked)[0], 1e-9, 1 - 1e-9)
+            loss = -(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p)).mean()
+            if loss < best - 1e-4:
+                best, since, kept = loss, 0, [w.copy() for w in net.weights()]
+            else:
+                since += 1
+    for w, saved in zip(net.weights(), kept or []):
+        w[...] = saved
     return net
 
 

@@ -114,11 +114,10 @@ def by_hand(library, text, mark="\n"):
     return counts
 
 
-def test_sections_add_up(library, odd, none):
-    got = {}
-    for r in section_tokens(odd.dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL"), PATH).collect():
+def test_sections_add_up(spark, library, odd, none):
+    got, texts = {}, {i: t for i, t in odd_texts() if i is not None}
+    for r in section_tokens(spark.createDataFrame(list(texts.items()), odd.select("doc_id", "text").schema), PATH).collect():
         got.setdefault(r.doc_id, {})[r.section] = r
-    texts = {r.doc_id: r.text for r in odd.dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL").collect()}
     assert got.keys() == texts.keys()
     for doc, sections in got.items():
         text = texts[doc] or ""
