@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, filterfalse
 
+import numpy as np
 import regex
 import tokenizers
 
@@ -119,9 +120,10 @@ class Encoder:
         return b"".join(map(self.piece.look(parts).__getitem__, parts))
 
     def _units(self, words: list[str]) -> list[bytes | None]:
-        parts = [pieces(w) if stands_alone(w) else None for w in words]
-        known = self.piece.look(chain.from_iterable(filter(None, parts)))
-        return [None if ps is None else b"".join(map(known.__getitem__, ps)) for ps in parts]
+        simple = [" " + w if w.isalpha() else None for w in words]
+        parts = [None if p or not stands_alone(w) else pieces(w) for p, w in zip(simple, words)]
+        known = self.piece.look(chain(filter(None, simple), chain.from_iterable(filter(None, parts))))
+        return [known[p] if p else None if ps is None else b"".join(map(known.__getitem__, ps)) for p, ps in zip(simple, parts)]
 
 
 @lru_cache(maxsize=1)
@@ -158,10 +160,21 @@ def library_encoder(path: str) -> Encoder:
 
     One per worker process, so its memory serves all tasks the process runs.
     """
-    model, letters = library_tokenizer(path).model, byte_letters()
+    tokenizer, letters = library_tokenizer(path), byte_letters()
+    spaced = np.array([b[:1] == b" " for b in token_bytes(path)])
+
+    def one(piece: str) -> bytes:
+        spelled = piece.encode("utf-8").decode("latin-1").translate(letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in tokenizer.model.tokenize(spelled)])
 
     def encode_pieces(pieces: list[str]) -> list[bytes]:
-        spelled = (p.encode("utf-8").decode("latin-1").translate(letters) for p in pieces)
-        return [b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(s)]) for s in spelled]
+        """Pieces that are a space and letters go to the library in one text, in which each begins with its space."""
+        alike = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        if len(alike) < 2:
+            return [one(p) for p in pieces]
+        ids = np.array(tokenizer.encode_batch_fast(["".join(alike)], add_special_tokens=False)[0].ids, "<u4")
+        data, at = ids.tobytes(), np.flatnonzero(spaced[ids]) * 4
+        known = {p: data[a:b] for p, a, b in zip(alike, at.tolist(), [*at[1:].tolist(), len(data)])}
+        return [known[p] if p in known else one(p) for p in pieces]
 
     return Encoder(encode_pieces, special_tokens(path))
