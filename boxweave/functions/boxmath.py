@@ -5,7 +5,7 @@ A box is a sequence x1, y1, x2, y2. The Column forms are in ``geometry``.
 
 from __future__ import annotations
 
-from math import hypot
+from math import sqrt
 
 from boxweave.functions.geometry import CROSS_CLASS_CONTAINMENT, CROSS_CLASS_IOU, SAME_CLASS_CONTAINMENT
 
@@ -33,9 +33,19 @@ def center(b) -> tuple[float, float]:
     return (b[0] + b[2]) * 0.5, (b[1] + b[3]) * 0.5
 
 
+def length(x: float, y: float) -> float:
+    """Root of the sum of squares, each step rounded once, so that any engine gets the same bits."""
+    return sqrt(x * x + y * y)
+
+
 def distance(a, b) -> float:
     (ax, ay), (bx, by) = center(a), center(b)
-    return hypot(ax - bx, ay - by)
+    return length(ax - bx, ay - by)
+
+
+def touch(a, b) -> bool:
+    """The boxes share more than an edge."""
+    return a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]
 
 
 def size(b) -> tuple[float, float]:

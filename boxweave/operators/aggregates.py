@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,29 +12,70 @@ from boxweave.functions import scalars as S
 from boxweave.operators import windows as Wn
 from boxweave.operators.filters import band_motion, valid_motion
 from boxweave.operators.scan import Step, ordered_scan, value_block
+from boxweave.session import broadcast_if_small, checkpointed
 
 # Fixed value: latency samples kept for averages and percentiles.
 RING = 512
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], method: str = "linear") -> DataFrame:
+#: Rank error of the sketch that brackets a percentile, as a share of the group (one in so many).
+ACCURACY = 2000
+_LOWEST, _HIGHEST = -1.7976931348623157e308, 1.7976931348623157e308
+
+
+def _bracketed(df: DataFrame, keys: list[str], value: str, qs: list[float], plain: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Per group its size and, for each percentile, two values it lies between; and the counts of values, coarse outside of these.
+
+    A mergeable sketch gives values that are off by one in ``ACCURACY`` of the ranks at most, so three times that to either side is
+    enough; groups of a few thousand values are counted whole. What lies outside of all brackets is counted
+    as one cell for each gap between them. The input is read twice.
+    """
+    margin = 3 / ACCURACY
+    probes = sorted({min(1.0, max(0.0, p)) for q in qs for p in (q - margin, q + margin)})
+    number = F.col(value).cast("double")
+    sketch = df.groupBy(*keys).agg(
+        F.count(value).alias("__total"), F.percentile_approx(number, probes, ACCURACY).alias("__p"), *[c.alias(n) for n, c in plain.items()]
+    )
+    small = F.col("__total") <= 2 * ACCURACY
+
+    def bound(p: float, end: float) -> Column:
+        inside = 0.0 < p < 1.0
+        return F.when(small, F.lit(end)).otherwise(F.element_at("__p", probes.index(p) + 1)) if inside else F.lit(end)
+
+    brackets = F.array(*[F.struct(bound(q - margin, _LOWEST).alias("low"), bound(q + margin, _HIGHEST).alias("high")) for q in qs])
+    sketch = checkpointed(sketch.select(*keys, "__total", *plain, brackets.alias("__b")))
+    met = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    rows = df.where(F.col(value).isNotNull()).select(*keys, number.alias("__v")).alias("r")
+    joined = rows.join(broadcast_if_small(sketch.select(*keys, "__b")).alias("s"), reduce(and_, met)) if keys else rows.join(F.broadcast(sketch.select("__b")), F.lit(True))
+    inside = F.exists("__b", lambda b: (F.col("__v") >= b["low"]) & (F.col("__v") <= b["high"]))
+    gap = F.aggregate("__b", F.lit(_LOWEST), lambda top, b: F.when(b["high"] < F.col("__v"), F.greatest(top, b["high"])).otherwise(top))
+    cells = joined.select(*[F.col(f"r.{k}").alias(k) for k in keys], F.when(inside, F.col("__v")).otherwise(gap).alias("__cell"), F.when(inside, 0).otherwise(1).alias("__out"))
+    return sketch, cells.groupBy(*keys, "__cell", "__out").agg(F.count("*").alias("__n"))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float | tuple[float, str]], method: str = "linear", plain: dict[str, Column] | None = None) -> DataFrame:
     """Exact percentiles without holding a group: ``linear`` at (n-1)q, ``nearest`` rank ceil(nq).
 
-    Values are counted first (map-side), their cumulative counts come from a block-wise
-    scan, and only the values at the wanted ranks are kept.
+    A percentile may name its own method. ``plain`` are further aggregates of the same groups, made in the first of two
+    readings. Values are counted between the brackets of a sketch only (see ``_bracketed``), the counts summed up by a
+    block-wise scan; a rank outside of its bracket, which the sketch rules out, would be an error and no wrong value.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    scanned = ordered_scan(counted, keys, [value_block(value)], [F.col(value)], [Step("__cum", "sum", F.col("__n"))])
-    totals = counted.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    placed = scanned.join(totals, keys)
+    asked = {name: q if isinstance(q, tuple) else (q, method) for name, q in qs.items()}
+    sketch, counted = _bracketed(df, keys, value, sorted({q for q, _ in asked.values()}), plain or {})
+    # As a struct, a key is equal to itself where parts of it are null.
+    key = (F.struct(*keys) if keys else F.lit(0)).alias("__key")
+    counted = checkpointed(counted.select(key, "__cell", "__out", "__n"))
+    scanned = ordered_scan(counted, ["__key"], [value_block("__cell")], [F.col("__cell"), F.col("__out")], [Step("__cum", "sum", F.col("__n"))])
+    placed = sketch.select(key, "__total", *(plain or {})).join(scanned, "__key", "left" if plain else "inner")
     first, last, total = F.col("__cum") - F.col("__n"), F.col("__cum") - 1, F.col("__total")
+    value_here = F.when(F.col("__out") == 0, F.col("__cell")).otherwise(F.raise_error(F.lit("percentile outside of its bracket")).cast("double"))
 
     def at(index: Column) -> Column:
-        return F.max(F.when(index.between(first, last), F.col(value)))
+        return F.max(F.when(index.between(first, last), value_here))
 
     aggs, outs = [], []
-    for name, q in qs.items():
-        if method == "nearest":
+    for name, (q, how) in asked.items():
+        if how == "nearest":
             index = F.greatest(F.lit(0), F.ceil(F.round(total * q, 9)) - 1)
             aggs.append(at(index).alias(f"__{name}"))
             outs.append(F.col(f"__{name}").alias(name))
@@ -41,7 +85,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
             aggs += [at(low).alias(f"__lo_{name}"), at(high).alias(f"__hi_{name}"), F.max(position - low).alias(f"__f_{name}")]
             lo, hi, f = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), F.col(f"__f_{name}")
             outs.append((lo * (1 - f) + hi * f).alias(name))
-    return placed.groupBy(*keys).agg(*aggs).select(*keys, *outs)
+    grouped = placed.groupBy("__key").agg(*[F.first(n).alias(n) for n in plain or {}], *aggs)
+    return grouped.select(*[F.col(f"__key.{k}").alias(k) for k in keys], *(plain or {}), *outs)
 
 
 def summarize_objects(df: DataFrame, by: list[str]) -> DataFrame:
@@ -97,10 +142,8 @@ def nearest_rank(value: str, q: float) -> Column:
 
 def latency_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, median, nearest-rank P90, least and most."""
-    plain = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
-    median = exact_quantiles(df, by, value, {"median": 0.5})
-    p90 = exact_quantiles(df, by, value, {"p90": 0.9}, "nearest")
-    return plain.join(median, by).join(p90, by)
+    plain = {"mean": F.avg(value), "min": F.min(value), "max": F.max(value)}
+    return exact_quantiles(df, by, value, {"median": 0.5, "p90": (0.9, "nearest")}, plain=plain)
 
 
 def inference_stats(df: DataFrame, window_ms: int = 10_000) -> DataFrame:

@@ -235,10 +235,9 @@ def dedup_display(df: DataFrame, by: list[str], max_group: int = MAX_GROUP) -> D
                 return None
             return i if scores[j] > scores[i] else j
 
-        alive = pairwise_survivors(len(boxes), duel)
-        return {c: v[alive].tolist() for c, v in cols.items()}
+        return pairwise_survivors(len(boxes), duel), {}
 
-    return whole_groups(df, by, [F.col("det_ord")], work, df.schema).drop("strip")
+    return whole_groups(df, by, [F.col("det_ord")], [*BOX_COLUMNS, "class_id", "score"], work).drop("strip")
 
 
 # Fixed values of the two passes of ``merge_boundary``.
@@ -299,12 +298,10 @@ def merge_boundary(df: DataFrame, by: list[str]) -> DataFrame:
 
         whole = pairwise_survivors(range(len(boxes)), halves)
         final = pairwise_survivors(whole, overlaps)
-        out = {c: v[final].tolist() for c, v in cols.items()}
-        out.update({c: [boxes[i][k] for i in final] for k, c in enumerate(BOX_COLUMNS)})
-        out["score"] = [scores[i] for i in final]
-        return out
+        changed = {c: [boxes[i][k] for i in final] for k, c in enumerate(BOX_COLUMNS)}
+        return final, changed | {"score": [scores[i] for i in final]}
 
-    return whole_groups(df, by, [F.col("det_ord")], work, df.schema)
+    return whole_groups(df, by, [F.col("det_ord")], [*BOX_COLUMNS, "class_id", "score", "tile_x", "tile_y", "tile_w", "tile_h"], work)
 
 
 # ------------------------------------------------------------ matching

@@ -3,22 +3,27 @@
 Which row is kept next depends on nothing but the time ``due`` before which none may leave, and on
 whether one waits. A key is cut into blocks of time. Each block is played for every state it
 could be entered in (``due`` lies within one gap of its first row), all at once, which gives
-a table from entry to exit. The tables of a key, one row per block, are followed in order; then the
-blocks are played again, in parallel, each from the entry that was found.
+a table from entry to exit; these are composed (``compose``), and the blocks are played again, in
+parallel, each from its own entry. Only keys, time and a row number take part; the rows themselves
+stay in Spark and those that were kept are joined back.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxweave.operators.scan import time_block
-from boxweave.operators.sequential import stream, whole_groups
+from boxweave.operators.compose import entry_states
+from boxweave.operators.scan import Step, ordered_scan, time_block
+from boxweave.operators.sequential import group_tables, numbers
 from boxweave.session import checkpointed
 
 HOUR_MS = 3_600_000
+#: Entry times relative to the first row at which the outcome changes, and the exit of each.
+TABLE = "first bigint, entries array<bigint>, due array<bigint>, waits array<boolean>"
+STATE = "due bigint, waits boolean"
 
 
 def play(times: np.ndarray, due: np.ndarray, gap: int, newest: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -54,68 +59,59 @@ def play(times: np.ndarray, due: np.ndarray, gap: int, newest: bool) -> tuple[np
     return due, waits, steps
 
 
+def _entry(first: int, due, waits, gap: int):
+    """``due`` as a block meets it that begins at ``first``: a row that waited may have left before."""
+    return np.maximum(np.where(waits & (due < first), due + gap, due), first)
+
+
+def _through(table: dict, due: np.ndarray, waits: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(np.asarray(table["entries"], np.int64), _entry(table["first"], due, waits, gap) - table["first"])
+    at = np.minimum(at, len(table["entries"]) - 1)
+    return np.asarray(table["due"], np.int64)[at], np.asarray(table["waits"], bool)[at]
+
+
 def paced(df: DataFrame, keys: list[str], time: str, gap: int, newest: bool, block: int = HOUR_MS) -> DataFrame:
     """Rows at least ``gap`` apart: the first that comes when the time is over, or the newest that waits by then.
 
-    Times are whole numbers. A block's rows are bounded by the rate of a key; rows of equal time stay in
-    the order of their arrival in the block.
+    Times are whole numbers; rows without time or with a null key are left out. A block's rows are bounded by the
+    rate of a key. Rows of equal time stay in the order in which they are stored. All columns of the
+    rows that are kept come back as they were.
     """
     on = [*keys, "__block"]
-    blocked = checkpointed(df.withColumn("__block", time_block(time, block)))
-    types = ", ".join(f"{k} {blocked.schema[k].dataType.simpleString()}" for k in on)
-    order = [F.col(time)]
+    rows = checkpointed(df.withColumn("__row", F.monotonically_increasing_id()))
+    narrow = rows.dropna(subset=[*keys, time]).select(*keys, F.col(time).cast("long").alias("__time"), "__row", time_block(time, block).alias("__block"))
+    order = [F.col("__time"), F.col("__row")]
 
-    def table(cols):
-        times = cols[time].astype(np.int64)
-        entries = np.arange(gap + 1) if newest else np.r_[times[times <= times[0] + gap] - times[0], gap]
+    def table(batch: pa.RecordBatch) -> dict[str, list]:
+        times = numbers(batch, "__time")
+        entries = np.arange(gap + 1) if newest else np.unique(np.r_[times[times <= times[0] + gap] - times[0], gap])
         due, waits, _ = play(times, times[0] + entries, gap, newest)
-        own = {k: [cols[k][0]] for k in on}
-        return own | {"first": [int(times[0])], "entries": [entries.tolist()], "due": [due.tolist()], "waits": [waits.tolist()]}
-
-    schema = f"{types}, first bigint, entries array<bigint>, due array<bigint>, waits array<boolean>"
-    tables = whole_groups(blocked.select(*on, time), on, order, table, schema)
-
-    def make():
-        held: dict = {"key": None, "due": None, "waits": False, "row": None}
-
-        def close(ends_at) -> list[tuple]:
-            """The block before, now that it is known when the next row comes (None: never)."""
-            row, held["row"] = held["row"], None
-            if row is None:
-                return []
-            leaves = held["waits"] and (ends_at is None or held["due"] < ends_at)
-            return [(*row, leaves)]
-
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            places = zip(*(rows[k].tolist() for k in on))
-            for place, r in zip(places, rows[["first", "entries", "due", "waits"]].itertuples(index=False)):
-                key = place[:-1]
-                if key != held["key"]:
-                    out += close(None)
-                    held.update(key=key, due=None, waits=False)
-                out += close(r.first)
-                due = r.first if held["due"] is None else held["due"]
-                if held["waits"] and due < r.first:
-                    due += gap
-                entry = max(int(due), int(r.first)) - int(r.first)
-                i = min(int(np.searchsorted(r.entries, entry)), len(r.entries) - 1)
-                # A row that came is the one that waits, so only ``due`` counts from here.
-                held.update(due=int(r.due[i]), waits=bool(r.waits[i]), row=(*place, int(r.first) + entry))
-            return pd.DataFrame(out, columns=[*on, "__entry", "__leaves"])
-
-        step.finish = lambda: pd.DataFrame(close(None), columns=[*on, "__entry", "__leaves"])
-        return step
-
-    entered = stream(tables, keys, [F.col("__block")], make, f"{types}, __entry bigint, __leaves boolean")
-    joined = blocked.join(checkpointed(entered), on)
-
-    def replay(cols):
-        times = cols[time].astype(np.int64)
-        _, _, steps = play(times, cols["__entry"][:1], gap, newest)
+        return {"first": [int(times[0])], "entries": [entries.tolist()], "due": [due.tolist()], "waits": [waits.tolist()]}
+
+    def join(a: dict, b: dict) -> dict:
+        due, waits = _through(b, np.asarray(a["due"], np.int64), np.asarray(a["waits"], bool), gap)
+        return {"first": a["first"], "entries": a["entries"], "due": due.tolist(), "waits": waits.tolist()}
+
+    def enter(own: dict, state: dict) -> dict:
+        before = own["first"] if state["due"] is None else state["due"]
+        due, waits = _through(own, np.array([before]), np.array([bool(state["waits"])]), gap)
+        return {"due": int(due[0]), "waits": bool(waits[0])}
+
+    tables = checkpointed(group_tables(narrow, on, order, table, TABLE))
+    entered = entry_states(tables, keys, TABLE, STATE, join, enter)
+    firsts = ordered_scan(tables.select(*on, "first"), keys, [time_block("__block", 4096)], [F.col("__block")], [Step("__then", "lag", F.col("first"))], reverse=True)
+    ready = narrow.join(entered, on).join(firsts.select(*on, "__then"), on)
+
+    def replay(batch: pa.RecordBatch) -> dict[str, list]:
+        times, places = numbers(batch, "__time"), batch.column("__row")
+        before, waited, then = (batch.column(c)[0].as_py() for c in ("due", "waits", "__then"))
+        entry = times[:1] if before is None else _entry(int(times[0]), np.array([before]), np.array([bool(waited)]), gap)
+        due, waits, steps = play(times, entry, gap, newest)
         kept = [int(s[0]) for s in steps if s[0] >= 0]
-        if cols["__leaves"][0]:
+        # The row that waits leaves unless one comes before its time; then that one waits in its place.
+        if waits[0] and (then is None or due[0] < then):
             kept.append(len(times) - 1)
-        return {c: v[kept].tolist() for c, v in cols.items()}
+        return {"__row": places.take(pa.array(kept, pa.int64())).to_pylist()}
 
-    return whole_groups(joined, on, order, replay, joined.schema).select(*df.columns)
+    kept = group_tables(ready, on, order, replay, "__row bigint").select(F.col("__row").alias("__kept"))
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*df.columns)

@@ -16,7 +16,7 @@ from boxweave.functions import scalars as S
 from boxweave.operators.aggregates import exact_quantiles
 from boxweave.operators.joins import BOX_COLUMNS
 from boxweave.operators.scan import Step, ordered_scan, time_block
-from boxweave.operators.sequential import affine_scan, stream
+from boxweave.operators.sequential import affine_scan, stream_pandas
 from boxweave.operators.windows import frame_motion, smooth_motion
 from boxweave.session import checkpointed
 
@@ -136,7 +136,7 @@ def replay_size_rows(tracks: DataFrame, params: list[dict], smoothing: float = 0
 
         return step
 
-    return stream(ready, ["channel_id", "track_id", "cut"], [F.col("frame_id")], make, schema)
+    return stream_pandas(ready, ["channel_id", "track_id", "cut"], [F.col("frame_id")], make, schema)
 
 
 def _quantile_columns(df: DataFrame, metrics: dict[str, Column], wanted: list[tuple[str, str, float, float]]) -> DataFrame:
@@ -308,7 +308,7 @@ def replay_center_rows(tracks: DataFrame, params: list[dict], alpha_min: float =
 
         return step
 
-    rows = stream(ready, ["channel_id", "track_id", "cut"], [F.col("frame_id")], make, schema)
+    rows = stream_pandas(ready, ["channel_id", "track_id", "cut"], [F.col("frame_id")], make, schema)
     return rows.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("step_x", "step_y", "last_x", "last_y")})
 
 

@@ -2,8 +2,9 @@
 
 Spark partitions by key and sorts. ``stream`` sees one Arrow batch after another and
 keeps a small state between them, so a long key costs time but no memory.
-``whole_groups`` hands over a complete group and is for keys whose size is bounded by
-nature, such as the boxes of one frame.
+``whole_groups`` and ``group_tables`` hand over a complete group and are for keys whose size is bounded by
+nature, such as the boxes of one frame. Only the columns a step names become numbers in
+Python; all others pass as the Arrow arrays they came in, so their values, nulls included, stay what they are.
 """
 
 from __future__ import annotations
@@ -11,28 +12,36 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from boxweave.session import reach_workers
 
 
-def _runs(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
-    """Stretches of equal keys in a sorted batch: (key, start, stop)."""
-    if len(pdf) == 0:
-        return
-    changed = np.zeros(len(pdf), dtype=bool)
-    changed[0] = True
+def numbers(batch: pa.RecordBatch, name: str, fill: float = 0) -> np.ndarray:
+    """A column as numpy, nulls filled."""
+    column = batch.column(name)
+    return (pc.fill_null(column, fill) if column.null_count else column).to_numpy(zero_copy_only=False)
+
+
+def with_columns(batch: pa.RecordBatch, names: list[str], **more: np.ndarray | list) -> pa.RecordBatch:
+    """The named columns as they are, followed by new ones."""
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(v if isinstance(v, pa.Array) else pa.array(v) for v in more.values())], [*names, *more])
+
+
+def starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where the stretches of equal keys begin in a sorted batch; nulls are equal."""
+    changed = np.zeros(batch.num_rows, dtype=bool)
+    changed[:1] = True
     for k in keys:
-        v = pdf[k].to_numpy()
-        changed[1:] |= v[1:] != v[:-1]
-    starts = np.flatnonzero(changed)
-    stops = np.append(starts[1:], len(pdf))
-    columns = [pdf[k].to_numpy() for k in keys]
-    for a, b in zip(starts.tolist(), stops.tolist()):
-        yield tuple(c[a] for c in columns), a, b
+        now, before = batch.column(k)[1:], batch.column(k)[:-1]
+        differs = pc.or_(pc.fill_null(pc.not_equal(now, before), False), pc.xor(now.is_null(), before.is_null()))
+        changed[1:] |= differs.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(changed)
 
 
 def _sorted(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -44,60 +53,98 @@ def stream(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+    make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
     schema: str | StructType,
 ) -> DataFrame:
     """Whole sorted batches through a function made once per task, for vectorised steps.
 
-    The rows themselves must tell where a key starts. A step with a ``finish`` attribute is asked
-    for what it still holds after the last batch.
+    The rows themselves must tell where a key starts.
     """
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield step(batch)
+
+    return _sorted(df, keys, order).mapInArrow(run, schema)
+
+
+def stream_pandas(df: DataFrame, keys: list[str], order: list[Column], make: Callable, schema: str | StructType) -> DataFrame:
+    """``stream`` for steps that take pandas frames; for rows whose columns are all the step's own."""
+
+    def run(frames):
         step = make()
-        for pdf in batches:
+        for pdf in frames:
             if len(pdf):
                 yield step(pdf)
-        rest = getattr(step, "finish", lambda: None)()
-        if rest is not None:
-            yield rest
 
     return _sorted(df, keys, order).mapInPandas(run, schema)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Batches of whole groups with the places where groups begin, and the end."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0] if batch.num_rows else rest
+        begins = starts(batch, keys).tolist()
+        if not begins:
+            continue
+        if begins[-1]:
+            yield batch.slice(0, begins[-1]), begins
+        rest = batch.slice(begins[-1])
+    if rest is not None and rest.num_rows:
+        yield rest, [0, rest.num_rows]
+
+
 def whole_groups(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    work: Callable[[dict[str, np.ndarray]], dict[str, list]],
-    schema: str | StructType,
+    columns: list[str],
+    work: Callable[[dict[str, np.ndarray]], tuple[list[int], dict[str, list]]],
 ) -> DataFrame:
-    """``work(columns)`` for each complete group; columns arrive as numpy arrays."""
-
-    def emit(groups):
-        merged: dict[str, list] = {}
-        for g in groups:
-            for name, values in g.items():
-                merged.setdefault(name, []).extend(values)
-        return pd.DataFrame(merged)
-
-    def run(batches):
-        rest = None
-        for pdf in batches:
-            if rest is not None:
-                pdf = pd.concat([rest, pdf], ignore_index=True)
-            spans = list(_runs(pdf, keys))
-            if not spans:
-                continue
-            arrays = {c: pdf[c].to_numpy() for c in pdf.columns}
-            done = [work({c: v[a:b] for c, v in arrays.items()}) for _, a, b in spans[:-1]]
-            rest = pdf.iloc[spans[-1][1] :]
-            if done:
-                yield emit(done)
-        if rest is not None and len(rest):
-            yield emit([work({c: rest[c].to_numpy() for c in rest.columns})])
+    """Some rows of each complete group, in the schema of ``df``.
 
-    return _sorted(df, keys, order).mapInPandas(run, schema)
+    ``work(columns)`` gets the named columns of a group as numpy arrays; it returns the numbers of the rows
+    that stay and new values for some of these columns.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges in _groups(batches, keys):
+            arrays = {c: numbers(batch, c) for c in columns}
+            kept, changed = [], {}
+            for a, b in zip(edges, edges[1:]):
+                own, new = work({c: v[a:b] for c, v in arrays.items()})
+                kept += [a + i for i in own]
+                for c, v in new.items():
+                    changed.setdefault(c, []).extend(v)
+            out = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(changed[c], out.schema.field(c).type) if c in changed else out.column(c) for c in names], names)
+
+    return _sorted(df, keys, order).mapInArrow(run, df.schema)
+
+
+def group_tables(df: DataFrame, keys: list[str], order: list[Column], work: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
+    """New rows for each complete group: ``keys`` and the columns of ``schema``, which ``work(rows)`` returns as lists."""
+    own = to_arrow_schema(StructType.fromDDL(schema))
+    key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges in _groups(batches, keys):
+            made: dict[str, list] = {name: [] for name in own.names}
+            of = []
+            for a, b in zip(edges, edges[1:]):
+                new = work(batch.slice(a, b - a))
+                for name in made:
+                    made[name].extend(new[name])
+                of += [a] * len(new[own.names[0]])
+            named = batch.select(keys).take(pa.array(of, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*named.columns, *(pa.array(v, f.type) for v, f in zip(made.values(), own))], [*keys, *made])
+
+    return _sorted(df, keys, order).mapInArrow(run, f"{key_types}, {schema}")
 
 
 def affine_scan(a: np.ndarray, b: np.ndarray, carry: np.ndarray | float) -> np.ndarray:

@@ -10,18 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from math import hypot, log
+from math import log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxweave.functions import boxmath as M
 from boxweave.functions.geometry import CROSS_CLASS_CONTAINMENT, CROSS_CLASS_IOU, SAME_CLASS_CONTAINMENT
-from boxweave.operators.greedy import pairwise_survivors
 from boxweave.operators.scan import Step, ordered_scan, time_block
-from boxweave.operators.sequential import stream
+from boxweave.operators.sequential import starts, stream
 from boxweave.session import checkpointed
 
 # Fixed value: hits in a row before a track takes over another class.
@@ -62,7 +61,7 @@ class TrackerConfig:
     global_motion_min_tracks: int = 3
 
 
-@dataclass
+@dataclass(slots=True)
 class Seen:
     """One detection inside the tracker."""
 
@@ -72,7 +71,7 @@ class Seen:
     score: float
 
 
-@dataclass
+@dataclass(slots=True)
 class Track:
     id: int
     shown: Seen
@@ -92,7 +91,7 @@ class Track:
     size_alpha: float = 1.0
 
 
-@dataclass
+@dataclass(slots=True)
 class Update:
     """What one frame did."""
 
@@ -112,35 +111,34 @@ def _ease(v: float) -> float:
     return t * t * (3.0 - 2.0 * t)
 
 
-def _measures(tracks: np.ndarray, boxes: np.ndarray) -> dict[str, np.ndarray]:
-    """All track-detection pairs of one frame at once."""
-    t, d = tracks[:, None, :], boxes[None, :, :]
-    span = np.maximum(0.0, np.minimum(t[..., 2:], d[..., 2:]) - np.maximum(t[..., :2], d[..., :2]))
-    shared = span[..., 0] * span[..., 1]
+def _root(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(x * x + y * y)
+
 
-    def sides(b):
-        return b[..., 2:] - b[..., :2]
+def _sides(b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Corners, centre, area, width and height (one pixel at least) and diagonal of boxes."""
+    x1, y1, x2, y2 = b
+    w, h = x2 - x1, y2 - y1
+    full = np.maximum(0.0, w) * np.maximum(0.0, h)
+    w, h = np.maximum(1.0, w), np.maximum(1.0, h)
+    return x1, y1, x2, y2, (x1 + x2) * 0.5, (y1 + y2) * 0.5, full, w * h, _root(w, h)
 
-    def full(b):
-        s = np.maximum(0.0, sides(b))
-        return s[..., 0] * s[..., 1]
 
-    ta, da = np.broadcast_arrays(full(t), full(d))
+def _measures(tracks: np.ndarray, boxes: np.ndarray) -> dict[str, np.ndarray]:
+    """All track-detection pairs of one frame at once; boxes come as four rows of coordinates."""
+    ax1, ay1, ax2, ay2, acx, acy, ta, tp, tl = (v[:, None] for v in _sides(tracks))
+    bx1, by1, bx2, by2, bcx, bcy, da, dp, dl = _sides(boxes)
+    shared = np.maximum(0.0, np.minimum(ax2, bx2) - np.maximum(ax1, bx1)) * np.maximum(0.0, np.minimum(ay2, by2) - np.maximum(ay1, by1))
     small = np.minimum(ta, da)
-    inside = np.divide(shared, small, out=np.zeros_like(shared), where=small > 0)
-    tc, dc = (t[..., :2] + t[..., 2:]) * 0.5, (d[..., :2] + d[..., 2:]) * 0.5
-    holds_d = np.all((dc >= t[..., :2]) & (dc <= t[..., 2:]), axis=-1)
-    holds_t = np.all((tc >= d[..., :2]) & (tc <= d[..., 2:]), axis=-1)
-    tw, dw = np.maximum(1.0, sides(t)), np.maximum(1.0, sides(d))
-    tp, dp = tw[..., 0] * tw[..., 1], dw[..., 0] * dw[..., 1]
-    gap = tc - dc
+    holds_d = (bcx >= ax1) & (bcx <= ax2) & (bcy >= ay1) & (bcy <= ay2)
+    holds_t = (acx >= bx1) & (acx <= bx2) & (acy >= by1) & (acy <= by2)
     return {
         "iou": shared / np.maximum(1.0, ta + da - shared),
-        "inside": inside,
+        "inside": np.where(small > 0, shared / np.where(small > 0, small, 1.0), 0.0),
         "centred": np.where(ta <= da, holds_t, holds_d),
-        "distance": np.hypot(gap[..., 0], gap[..., 1]),
+        "distance": _root(acx - bcx, acy - bcy),
         "similar": np.minimum(tp, dp) / np.maximum(tp, dp),
-        "longest": np.maximum(np.hypot(tw[..., 0], tw[..., 1]), np.hypot(dw[..., 0], dw[..., 1])),
+        "longest": np.maximum(tl, dl),
     }
 
 
@@ -149,7 +147,7 @@ class Tracker:
 
     def __init__(self, config: TrackerConfig, frame_width: float, frame_height: float):
         self.config = config
-        self.reach = max(48.0, hypot(frame_width, frame_height) * config.center_distance_ratio)
+        self.reach = max(48.0, M.length(frame_width, frame_height) * config.center_distance_ratio)
         self.tracks: list[Track] = []
         self.next_id = 1
         self.common: tuple[float, float] | None = None
@@ -162,7 +160,7 @@ class Tracker:
         if not self.tracks or not seen:
             return []
         c = self.config
-        m = _measures(np.array([t.shown.box for t in self.tracks]), np.array([s.box for s in seen]))
+        m = _measures(np.array([t.shown.box for t in self.tracks]).T, np.array([s.box for s in seen]).T)
         same = np.array([t.shown.class_id for t in self.tracks])[:, None] == np.array([s.class_id for s in seen])[None, :]
         near = (m["distance"] <= np.maximum(48.0, np.minimum(self.reach, 1.25 * m["longest"]))) & (m["similar"] >= 0.40)
         nested = (m["inside"] >= SAME_CLASS_CONTAINMENT) & m["centred"]
@@ -173,10 +171,11 @@ class Tracker:
             m["iou"] + m["similar"] * 0.10 + np.where(same, m["inside"] * 0.10, 0.05)
             - m["distance"] / self.reach * 0.05 + np.where(active, 0.05, 0.0)
         )
-        ti, di = np.nonzero(possible)
+        at = np.flatnonzero(possible)
+        flat, width = score.ravel()[at], len(seen)
         chosen, used_t, used_d = [], set(), set()
-        for k in np.argsort(-score[ti, di], kind="stable").tolist():
-            a, b = int(ti[k]), int(di[k])
+        for k in at[np.argsort(-flat, kind="stable")].tolist():
+            a, b = divmod(k, width)
             if a not in used_t and b not in used_d:
                 used_t.add(a)
                 used_d.add(b)
@@ -210,11 +209,11 @@ class Tracker:
         c = self.config
         (pw, ph), (mw, mh), (lw, lh) = M.size(prior), M.size(box), M.size(t.measured)
         (pcx, pcy), (mcx, mcy), (lcx, lcy) = M.center(prior), M.center(box), M.center(t.measured)
-        diagonal = max(32.0, hypot((lw + mw) * 0.5, (lh + mh) * 0.5))
+        diagonal = max(32.0, M.length((lw + mw) * 0.5, (lh + mh) * 0.5))
         dx, dy = mcx - lcx, mcy - lcy
-        moved = hypot(dx, dy)
+        moved = M.length(dx, dy)
         raw_center = moved / diagonal / dt
-        raw_size = hypot(log(mw / lw), log(mh / lh)) / dt
+        raw_size = M.length(log(mw / lw), log(mh / lh)) / dt
         k = _limit(c.motion_smoothing_alpha)
         t.center_motion = k * raw_center + (1 - k) * t.center_motion
         t.size_motion = k * raw_size + (1 - k) * t.size_motion
@@ -228,7 +227,7 @@ class Tracker:
             top = calm + (c.size_alpha_max - calm) * center_response
         t.size_alpha = _limit(c.size_alpha_min + (top - c.size_alpha_min) * size_response)
         least = max(0.0, c.reversal_min_motion_ratio) * diagonal
-        if c.reversal_damping and t.last_step and moved >= least and hypot(*t.last_step) >= least:
+        if c.reversal_damping and t.last_step and moved >= least and M.length(*t.last_step) >= least:
             if dx * t.last_step[0] + dy * t.last_step[1] < 0:
                 t.center_alpha = min(t.center_alpha, _limit(c.reversal_center_alpha_max))
         if moved >= least:
@@ -348,7 +347,8 @@ class Tracker:
         kept = self._without_twins(alive, pts)
         out.lost = len(self.tracks) - len(kept)
         self.tracks = kept
-        out.shown = self._drawn([(t.id, t.shown) for t in kept if self.displayable(t, pts)])
+        # No two of those that are left lie in one place, so what is shown needs no further choice.
+        out.shown = [(t.id, t.shown) for t in kept if self.displayable(t, pts)]
         return out
 
     def displayable(self, t: Track, pts: int) -> bool:
@@ -361,23 +361,16 @@ class Tracker:
         def worth(t: Track):
             return self.displayable(t, pts), t.last_pts, t.shown.score, t.hits
 
-        def duel(i, j):
-            a, b = tracks[i], tracks[j]
-            if not M.duplicates(a.shown.box, a.shown.class_id, b.shown.box, b.shown.class_id):
-                return None
-            return i if worth(b) > worth(a) else j
-
-        return [tracks[i] for i in pairwise_survivors(len(tracks), duel)]
-
-    @staticmethod
-    def _drawn(shown: list[tuple[int, Seen]]) -> list[tuple[int, Seen]]:
-        def duel(i, j):
-            a, b = shown[i][1], shown[j][1]
-            if not M.duplicates(a.box, a.class_id, b.box, b.class_id):
-                return None
-            return i if b.score > a.score else j
-
-        return [shown[i] for i in pairwise_survivors(len(shown), duel)]
+        out: set[int] = set()
+        for i, a in enumerate(tracks):
+            box, kind = a.shown.box, a.shown.class_id
+            for j in range(i + 1, len(tracks)):
+                b = tracks[j]
+                if i in out:
+                    break
+                if j not in out and M.touch(box, b.shown.box) and M.duplicates(box, kind, b.shown.box, b.shown.class_id):
+                    out.add(i if worth(b) > worth(a) else j)
+        return [t for i, t in enumerate(tracks) if i not in out]
 
 
 # ------------------------------------------------------------ batch
@@ -392,24 +385,36 @@ COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 _MOTION = ["deadzone", "reset", "was_active", "active"]
 
 
-def rows_of(frame_id: int, pts: int, u: Update) -> Iterable[tuple]:
+KINDS = ("frame", "shown", "motion")
+
+
+def rows_of(frame_id: int, pts: int, u: Update, kinds: tuple[str, ...] = KINDS) -> Iterable[tuple]:
     """One ``frame`` row with counters, a ``shown`` row per drawn box, a ``motion`` row per update of a track."""
     none4, none_tail = (None,) * 4, (None,) * 9
-    yield (frame_id, pts, "frame", None, None, None, None, *none4, *none4, *none_tail, len(u.shown), u.matched, u.created, u.lost)
-    for track_id, s in u.shown:
+    if "frame" in kinds:
+        yield (frame_id, pts, "frame", None, None, None, None, *none4, *none4, *none_tail, len(u.shown), u.matched, u.created, u.lost)
+    for track_id, s in u.shown if "shown" in kinds else ():
         yield (frame_id, pts, "shown", track_id, s.class_id, s.label, s.score, *s.box, *none4, *none_tail, *none4)
-    for track_id, s, box, dt, dead, reset, was, now, ca, sa, dx, dy in u.motion:
+    for track_id, s, box, dt, dead, reset, was, now, ca, sa, dx, dy in u.motion if "motion" in kinds else ():
         yield (frame_id, pts, "motion", track_id, s.class_id, s.label, s.score, *box, *s.box, dt, dead, reset, was, now, ca, sa, dx, dy, *none4)
 
 
-def seen_of(row) -> list[Seen]:
-    """Detections of a frame row with array columns."""
-    if row.n == 0:
-        return []
-    return [
-        Seen([float(a), float(b), float(c), float(d)], int(k), str(name), float(s))
-        for a, b, c, d, k, name, s in zip(row.x1s, row.y1s, row.x2s, row.y2s, row.classes, row.labels, row.scores)
-    ]
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+OUTPUT_TYPES = [_ARROW[c.split()[1]] for c in OUTPUT.split(", ")]
+
+
+def seen_in(batch: pa.RecordBatch) -> list[list[Seen]]:
+    """Detections of each frame row, from its array columns."""
+
+    def flat(name: str) -> list:
+        return batch.column(name).flatten().to_pylist()
+
+    each = [Seen(list(map(float, box)), k, name, s) for *box, k, name, s in zip(*(flat(c) for c in ("x1s", "y1s", "x2s", "y2s", "classes", "labels", "scores")))]
+    out, at = [], 0
+    for n in batch.column("n").to_pylist():
+        out.append(each[at : at + n])
+        at += n
+    return out
 
 
 def frame_rows(frames: DataFrame, detections: DataFrame, keys: list[str]) -> DataFrame:
@@ -450,13 +455,13 @@ def cut_parts(frames: DataFrame, detections: DataFrame, keys: list[str], config:
 
 
 def track(frames: DataFrame, detections: DataFrame, config: TrackerConfig = TrackerConfig(), width: float = 640.0, height: float = 480.0,
-          keys: list[str] | None = None, block: int = 100_000) -> DataFrame:
-    """Track all channels; see ``rows_of`` for the kinds of rows.
+          keys: list[str] | None = None, block: int = 100_000, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Track all channels; see ``rows_of`` for the kinds of rows, of which only those named are made.
 
     ``frames`` are the updates, also those without boxes. Add ``epoch`` to ``keys`` when
     media time restarts on reconnect.
     """
-    keys = keys or ["channel_id"]
+    keys, made = keys or ["channel_id"], tuple({*kinds, "frame"})
     on = [*keys, "frame_id"]
     if config.mode == "raw":
         parts = frame_rows(frames, detections, keys).withColumn("part", F.col("frame_id"))
@@ -467,45 +472,52 @@ def track(frames: DataFrame, detections: DataFrame, config: TrackerConfig = Trac
     def make():
         current: dict = {"key": None, "tracker": None}
 
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for row in rows.itertuples(index=False):
-                key = tuple(getattr(row, h) for h in heads)
-                if key != current["key"]:
-                    current.update(key=key, tracker=Tracker(config, width, height))
-                update = current["tracker"].update(int(row.pts_ms), seen_of(row))
-                out.extend((*key, *r) for r in rows_of(row.frame_id, row.pts_ms, update))
-            return pd.DataFrame(out, columns=[*heads, *COLUMNS], dtype=object)
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            begins, rows, of = set(starts(batch, heads).tolist()), [], []
+            frame_ids, times = batch.column("frame_id").to_pylist(), batch.column("pts_ms").to_pylist()
+            for i, (frame_id, pts, seen) in enumerate(zip(frame_ids, times, seen_in(batch))):
+                if i in begins:
+                    key = tuple(batch.column(h)[i].as_py() for h in heads)
+                    if key != current["key"]:
+                        current.update(key=key, tracker=Tracker(config, width, height))
+                update = current["tracker"].update(pts, seen)
+                before = len(rows)
+                rows.extend(rows_of(frame_id, pts, update, made))
+                of.extend([i] * (len(rows) - before))
+            named = batch.select(heads).take(pa.array(of, pa.int64()))
+            columns = zip(*rows) if rows else [()] * len(COLUMNS)
+            return pa.RecordBatch.from_arrays([*named.columns, *(pa.array(c, t) for c, t in zip(columns, OUTPUT_TYPES))], [*heads, *COLUMNS])
 
         return step
 
     key_types = ", ".join(f"{k} {parts.schema[k].dataType.simpleString()}" for k in keys)
     tracked = stream(parts, heads, [F.col("frame_id")], make, f"{key_types}, part long, {OUTPUT}")
-    if config.mode == "raw":
-        return tracked.drop("part")
+    wanted = F.col("kind").isin(*kinds)
+    if config.mode == "raw" or set(kinds) == {"frame"}:
+        return tracked.where(wanted).drop("part")
     # Numbers given inside a part continue after those of the parts before it. The result
     # is written once to the shared folder, as several tables are taken from it.
     tracked = checkpointed(tracked)
-    made = tracked.where(F.col("kind") == "frame").groupBy(*keys, "part").agg(F.sum("created").alias("__made"))
-    numbered = ordered_scan(made, keys, [time_block("part", block)], [F.col("part")], [Step("__cum", "sum", F.col("__made"))])
+    begun = tracked.where(F.col("kind") == "frame").groupBy(*keys, "part").agg(F.sum("created").alias("__made"))
+    numbered = ordered_scan(begun, keys, [time_block("part", block)], [F.col("part")], [Step("__cum", "sum", F.col("__made"))])
     offsets = numbered.select(*keys, "part", (F.col("__cum") - F.col("__made")).alias("__offset"))
-    joined = tracked.join(offsets, [*keys, "part"])
+    joined = tracked.where(wanted).join(offsets, [*keys, "part"])
     return joined.withColumn("track_id", F.col("track_id") + F.col("__offset")).drop("part", "__offset")
 
 
-def snapshots(tracked: DataFrame) -> DataFrame:
+def snapshots(tracked: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Frame rows: what was shown, matched, created and lost at each update."""
-    return tracked.where(F.col("kind") == "frame").select("channel_id", "frame_id", "pts_ms", "n_boxes", "matched", "created", "lost")
+    return tracked.where(F.col("kind") == "frame").select(*(keys or ["channel_id"]), "frame_id", "pts_ms", "n_boxes", "matched", "created", "lost")
 
 
 def shown_boxes(tracked: DataFrame) -> DataFrame:
     return tracked.where(F.col("kind") == "shown").select("channel_id", "frame_id", "pts_ms", "track_id", "class_id", "label", "score", "x1", "y1", "x2", "y2")
 
 
-def motion_tracks(tracked: DataFrame) -> DataFrame:
+def motion_tracks(tracked: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per-track samples for the diagnostics, the metrics and the replays."""
     smooth = [F.col(c).alias(f"smooth_{c}") for c in ("x1", "y1", "x2", "y2")]
     return tracked.where(F.col("kind") == "motion").select(
-        "channel_id", "frame_id", "pts_ms", "track_id", "class_id", "dt_ms", "raw_x1", "raw_y1", "raw_x2", "raw_y2", *smooth,
+        *(keys or ["channel_id"]), "frame_id", "pts_ms", "track_id", "class_id", "dt_ms", "raw_x1", "raw_y1", "raw_x2", "raw_y2", *smooth,
         "deadzone", "reset", "was_active", "active", "center_alpha", "size_alpha", "raw_dx", "raw_dy",
     )

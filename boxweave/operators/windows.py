@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from boxweave.functions import geometry as G
+from boxweave.operators.compose import entry_states
 from boxweave.operators.joins import BOX_COLUMNS
 from boxweave.operators.pacing import paced
 from boxweave.operators.scan import Step, chains, ordered_scan, time_block
-from boxweave.operators.sequential import affine_scan, stream
+from boxweave.operators.sequential import affine_scan, group_tables, numbers, starts, stream, with_columns
 from boxweave.session import broadcast_if_small, checkpointed
 
 HOUR_MS = 3_600_000
@@ -231,33 +234,8 @@ def first_n(df: DataFrame, by: list[str], n: int, order: str) -> DataFrame:
 
 
 def thin_by_gap(df: DataFrame, keys: list[str], time: str, gap: int, unit: int = 1, block: int = HOUR_MS) -> DataFrame:
-    """Greedy spacing: keep a row when at least ``gap`` (in whole ``unit``) passed since the last kept one.
-
-    After a pause of ``gap`` the next row is kept whatever came before, so keys are cut
-    there and the cuts run in parallel; inside a cut rows stream in time order.
-    """
-    order = [F.col(time)]
-    cut = chains(
-        df, keys, [time_block(time, block)], order, [time], lambda p, c: F.floor((c(time) - p(time)) / unit) >= gap, F.col(time),
-        {"__cut": "since", "__fresh": "starts"},
-    )
-    reach = gap * unit
-
-    def make():
-        due = [0]
-
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
-            kept, at = [], due[0]
-            for i, (t, fresh) in enumerate(zip(rows[time].tolist(), rows["__fresh"].tolist())):
-                if fresh or t >= at:
-                    kept.append(i)
-                    at = t + reach
-            due[0] = at
-            return rows.iloc[kept]
-
-        return step
-
-    return stream(cut, [*keys, "__cut"], order, make, cut.schema).drop("__cut", "__fresh")
+    """Greedy spacing: keep a row when at least ``gap`` (in whole ``unit``) passed since the last kept one."""
+    return paced(df, keys, time, gap * unit, newest=False, block=block)
 
 
 def throttle_ticks(df: DataFrame, interval_sec: int, exact: bool = True) -> DataFrame:
@@ -323,43 +301,94 @@ def equivalent_lag(samples: DataFrame) -> DataFrame:
     return lagged.where(F.col("__along") > 0).withColumn("lag_ms", F.col("__along") / step * F.col("dt_ms")).drop("__along")
 
 
+#: A block of frames as a map: where the time before it is under ``breaks[i]`` it ends at ``exits[i]`` (the first such i),
+#: above all breaks it moves on by ``steps``; ``alone`` is its end with no frame before.
+REPAIR_TABLE = "breaks array<bigint>, exits array<bigint>, steps bigint, alone bigint"
+
+
+def _repaired(values: list[int | None], last: int | None, step_ms: int) -> list[int]:
+    """The rule: a value above the last one stands, all others follow it by one step; the first counts as 0 if it is missing."""
+    out = []
+    for value in values:
+        last = (value or 0) if last is None else value if value is not None and value > last else last + step_ms
+        out.append(last)
+    return out
+
+
+def _repair_map(values: list[int | None], step_ms: int) -> dict:
+    """Frame i is the first to stand if it is above the time before and i steps more; the frame after it likewise."""
+    n, marks = len(values), [None if v is None else v - i * step_ms for i, v in enumerate(values)]
+    ends, ahead = [0] * n, []  # ahead: places to the right, their marks falling from the right end to the left
+    for i in range(n - 1, -1, -1):
+        if marks[i] is None:
+            continue
+        # The nearest place above the bar lies last among those above it.
+        above = bisect_left(ahead, -(marks[i] - step_ms), key=lambda j: -marks[j])
+        ends[i] = ends[ahead[above - 1]] if above else values[i] + (n - 1 - i) * step_ms
+        while ahead and marks[ahead[-1]] <= marks[i]:
+            ahead.pop()
+        ahead.append(i)
+    breaks, exits = [], []
+    for i in ahead:  # the marks that exceed all before them, from the greatest
+        if not exits or exits[-1] != ends[i]:
+            breaks.append(marks[i])
+            exits.append(ends[i])
+    return {"breaks": breaks[::-1], "exits": exits[::-1], "steps": n * step_ms, "alone": _repaired(values, None, step_ms)[-1]}
+
+
+def _repair_exit(table: dict, last: int) -> int:
+    i = bisect_right(table["breaks"], last)
+    return table["exits"][i] if i < len(table["breaks"]) else last + table["steps"]
+
+
+def _repair_joined(a: dict, b: dict) -> dict:
+    top = a["breaks"][-1] if a["breaks"] else None
+    late = [(m - a["steps"], e) for m, e in zip(b["breaks"], b["exits"]) if top is None or m - a["steps"] > top]
+    pairs = [*zip(a["breaks"], (_repair_exit(b, e) for e in a["exits"])), *late]
+    kept = [p for p, following in zip(pairs, [*pairs[1:], (None, None)]) if p[1] != following[1]]
+    return {"breaks": [m for m, _ in kept], "exits": [e for _, e in kept], "steps": a["steps"] + b["steps"], "alone": _repair_exit(b, a["alone"])}
+
+
 def repair_pts(frames: DataFrame, step_ms: int, keys: list[str], block: int = 100_000) -> DataFrame:
     """Media time made strictly growing: missing or not above the last one means last plus step.
 
-    A row above everything the repair could have reached so far restarts the chain, so
-    keys are cut at such rows; only the stretches between need a walk in order.
+    What a block of frames does depends on the time before it alone, and by a map of few steps: as soon as a frame
+    stands on its own, all that came before is forgotten. Blocks are composed (``compose``) and then repaired in parallel, also
+    where one frame far ahead makes all that follow count on from it.
     """
-    order, blocks = [F.col("frame_id")], [time_block("frame_id", block)]
-    placed = checkpointed(ordered_scan(frames, keys, blocks, order, [Step("__n", "count")]))
-    # Upper bound of the repaired time before row n: max over rows j of raw_j + (n-1-j)*step.
-    reach = F.coalesce(F.col("pts_ms"), F.lit(0)) - F.col("__n") * step_ms
-    bounded = ordered_scan(placed, keys, blocks, order, [Step("__max", "max", reach, before=True)])
-    fresh = F.col("__max").isNull() | (F.col("pts_ms") > F.col("__max") + (F.col("__n") - 1) * step_ms)
-    cut = ordered_scan(bounded, keys, blocks, order, [Step("__cut", "last", F.when(fresh, F.col("__n")))])
-    cut = cut.select(*frames.columns, "__n", "__cut")
-    schema = StructType(list(frames.schema.fields)).add("repaired_pts_ms", "long")
+    on = [*keys, "__block"]
+    rows = checkpointed(frames.withColumn("__block", time_block("frame_id", block)))
+    order = [F.col("frame_id")]
+
+    def table(batch: pa.RecordBatch) -> dict[str, list]:
+        return {k: [v] for k, v in _repair_map(batch.column("pts_ms").to_pylist(), step_ms).items()}
+
+    def enter(own: dict, state: dict) -> dict:
+        return {"last": own["alone"] if state["last"] is None else _repair_exit(own, state["last"])}
+
+    tables = group_tables(rows.select(*on, "frame_id", F.col("pts_ms").cast("long").alias("pts_ms")), on, order, table, REPAIR_TABLE)
+    entered = entry_states(tables, keys, REPAIR_TABLE, "last bigint", _repair_joined, enter).withColumnRenamed("last", "__last")
+    schema = StructType([*frames.schema.fields]).add("repaired_pts_ms", "long")
 
     def make():
-        state = [0]
-
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
-            raw, known = rows["pts_ms"].fillna(0).astype("int64").tolist(), rows["pts_ms"].notna().tolist()
-            out, last = [], state[0]
-            for value, ok, n, start in zip(raw, known, rows["__n"].tolist(), rows["__cut"].tolist()):
-                if n == start:
-                    last = value
-                else:
-                    last = value if ok and value > last else last + step_ms
-                out.append(last)
-            state[0] = last
-            result = rows[frames_columns].assign(repaired_pts_ms=out)
-            result["pts_ms"] = result["pts_ms"].astype("Int64")
-            return result
+        held: dict = {"key": None, "last": None}
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            values, entries, out = batch.column("__pts").to_pylist(), batch.column("__last"), []
+            edges = [*starts(batch, on).tolist(), len(values)]
+            for a, b in zip(edges, edges[1:]):
+                key = tuple(batch.column(k)[a].as_py() for k in on)
+                if key != held["key"]:
+                    held.update(key=key, last=entries[a].as_py())
+                out += _repaired(values[a:b], held["last"], step_ms)
+                held["last"] = out[-1]
+            return with_columns(batch, names, repaired_pts_ms=pa.array(out, pa.int64()))
 
         return step
 
-    frames_columns = frames.columns
-    return stream(cut, [*keys, "__cut"], order, make, schema)
+    names = frames.columns
+    ready = rows.join(entered, on).withColumn("__pts", F.col("pts_ms").cast("long"))
+    return stream(ready, on, order, make, schema)
 
 
 def frame_motion(tracks: DataFrame, min_tracks: int = 3, rule: str = "replay", block: int = 100_000) -> DataFrame:
@@ -406,14 +435,14 @@ def smooth_motion(motion: DataFrame, alpha: float = 0.25, reset_after_ms: int |
     def make():
         carry = {"dx": 0.0, "dy": 0.0}
 
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
-            fresh = rows["__fresh"].to_numpy(bool)
+        def step(rows: pa.RecordBatch) -> pa.RecordBatch:
+            fresh = numbers(rows, "__fresh").astype(bool)
             keep, gain = np.where(fresh, 0.0, 1.0 - alpha), np.where(fresh, 1.0, alpha)
-            out = rows[columns].copy()
+            smooth = {}
             for axis in ("dx", "dy"):
-                out[f"smooth_{axis}"] = affine_scan(keep, gain * rows[axis].to_numpy(), carry[axis])
-                carry[axis] = float(out[f"smooth_{axis}"].iloc[-1])
-            return out
+                smooth[f"smooth_{axis}"] = affine_scan(keep, gain * numbers(rows, axis), carry[axis])
+                carry[axis] = float(smooth[f"smooth_{axis}"][-1])
+            return with_columns(rows, columns, **smooth)
 
         return step
 

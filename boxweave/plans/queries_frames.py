@@ -12,6 +12,7 @@ from boxweave.operators import joins as J
 from boxweave.operators import tracking as T
 from boxweave.operators import windows as Wn
 from boxweave.plans import sql as Q
+from boxweave.plans import track_sql
 from boxweave.plans.queries_boxes import (
     BOX, BOX_SQL, CLEARANCE, FRAME_H, FRAME_TILED, FRAME_W, GT_PAIRS, JOINT_SQL, ROI_HIT, ROI_PIXELS, _gt_pred,
 )
@@ -408,11 +409,39 @@ def _(spark, sf):
     return T.unframed(even, view(spark, sf, "detections")).select("frame_id", "det_ord")
 
 
-@query("track_snapshots")
+LIVE = T.TrackerConfig()
+ALL_OPTIONS = T.TrackerConfig(confirm_hits=1, reversal_damping=True, global_motion=True)
+CONNECTED = ["channel_id", "connection"]
+
+
+def connected(df):
+    """``df`` with the connection its frames came over; the tracker starts anew with each."""
+    return df.withColumn("connection", F.floor(F.col("frame_id") / track_sql.CONNECTION).cast("long"))
+
+
+@query("track_snapshots", W(track_sql.snapshots(LIVE), "frames", "detections", recursive=True))
+def _(spark, sf):
+    frames, boxes = connected(view(spark, sf, "frames")), connected(view(spark, sf, "detections"))
+    return T.snapshots(T.track(frames, boxes, LIVE, keys=CONNECTED, kinds=("frame",)), CONNECTED)
+
+
+@query("track_snapshots_options", W(track_sql.snapshots(ALL_OPTIONS), "frames", "detections", recursive=True))
+def _(spark, sf):
+    frames, boxes = connected(view(spark, sf, "frames")), connected(view(spark, sf, "detections"))
+    return T.snapshots(T.track(frames, boxes, ALL_OPTIONS, keys=CONNECTED, kinds=("frame",)), CONNECTED)
+
+
+def _motion(spark, sf, config):
+    frames, boxes = connected(view(spark, sf, "frames")), connected(view(spark, sf, "detections"))
+    out = T.motion_tracks(T.track(frames, boxes, config, keys=CONNECTED, kinds=("motion",)), CONNECTED)
+    return out.withColumns({c: r6(c) for c in (*(f"smooth_{b}" for b in BOX), "center_alpha", "size_alpha")})
+
+
+@query("track_motion", W(track_sql.motion(ALL_OPTIONS), "frames", "detections", recursive=True))
 def _(spark, sf):
-    return T.snapshots(T.track(view(spark, sf, "frames"), view(spark, sf, "detections")))
+    return _motion(spark, sf, ALL_OPTIONS)
 
 
-@query("track_motion")
+@query("track_motion_live", W(track_sql.motion(LIVE), "frames", "detections", recursive=True))
 def _(spark, sf):
-    return T.motion_tracks(T.track(view(spark, sf, "frames"), view(spark, sf, "detections"), T.TrackerConfig(confirm_hits=1, reversal_damping=True, global_motion=True)))
+    return _motion(spark, sf, LIVE)

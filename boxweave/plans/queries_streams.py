@@ -12,7 +12,8 @@ from boxweave.operators import filters as P
 from boxweave.operators import tracking as T
 from boxweave.plans.queries_boxes import FRAME_H, FRAME_W, ROI_HIT, ROI_PIXELS
 from boxweave.plans.queries_data import STATS_SQL
-from boxweave.plans.queries_frames import DWELL_SQL, mailbox
+from boxweave.plans import track_sql
+from boxweave.plans.queries_frames import CONNECTED, DWELL_SQL, LIVE, connected, mailbox
 from boxweave.plans.registry import query, r6
 from boxweave.plans.views import stream_view, view
 from boxweave.plans.views import with_views as W
@@ -67,10 +68,11 @@ def _(spark, sf):
     return out.select("channel_id", "frame_id", fill("snapshot_frame_id"), fill("n_boxes"), fill("pts_delta_ms"))
 
 
-@query("track_stream")
+@query("track_stream", W(track_sql.snapshots(LIVE), "frames", "detections", recursive=True))
 def _(spark, sf):
-    """Per-frame counts of the streamed tracker; a test holds it equal to the batch one."""
+    """Per-frame counts of the streamed tracker."""
     boxes = stream_view(spark, sf, "detections")
     beats = stream_view(spark, sf, "frames").select("channel_id", "frame_id", "pts_ms", "ts_ms")
-    out = S.run_available(S.track_stream(boxes.unionByName(beats, allowMissingColumns=True), delay=NOW), "track")
-    return T.snapshots(out)
+    rows = connected(boxes.unionByName(beats, allowMissingColumns=True))
+    out = S.run_available(S.track_stream(rows, LIVE, delay=NOW, keys=CONNECTED), "track")
+    return T.snapshots(out, CONNECTED)

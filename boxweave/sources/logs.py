@@ -29,10 +29,10 @@ def _tokens(text: Column) -> Column:
 
 def _last_values(tokens: Column) -> Column:
     """Map of the tokens; of a repeated key the last value counts."""
-    back = F.reverse(tokens)
-    keys = F.transform(back, lambda t: t.k)
-    first = F.filter(back, lambda t, i: F.array_position(keys, t.k) == i + 1)
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(back)).otherwise(F.map_from_entries(first))
+    placed = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.k.alias("k"), (-i).alias("i"), t.v.alias("v"))))
+    # In order of key and falling place, the first of each key is its last value.
+    heads = F.filter(F.zip_with(placed, F.slice(F.concat(F.slice(placed, 1, 1), placed), 1, F.size(placed)), lambda t, before: F.struct(t.k.alias("k"), t.v.alias("v"), ((t.k != before.k) | (t.i == before.i)).alias("head"))), lambda t: t["head"])
+    return F.map_from_entries(F.transform(heads, lambda t: F.struct(t.k, t.v)))
 
 
 def _value(key: str) -> Column:

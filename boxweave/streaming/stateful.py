@@ -142,11 +142,12 @@ def report_stream(df: DataFrame, interval_sec: int = 0, delay: str = "10 seconds
 
 
 def track_stream(df: DataFrame, config: T.TrackerConfig = T.TrackerConfig(), width: float = 640.0, height: float = 480.0,
-                 delay: str = "10 seconds") -> DataFrame:
-    """The tracker over a stream of detections keyed by channel.
+                 delay: str = "10 seconds", keys: list[str] | None = None) -> DataFrame:
+    """The tracker over a stream of detections keyed by channel, and by connection where ``keys`` say so.
 
     A frame without boxes comes as one row with a null ``class_id``. Same step as in batch.
     """
+    keys = keys or ["channel_id"]
 
     def feed(memory, rows):
         tracker = memory or T.Tracker(config, width, height)
@@ -159,10 +160,11 @@ def track_stream(df: DataFrame, config: T.TrackerConfig = T.TrackerConfig(), wid
             ]
             out.extend(T.rows_of(int(frame_id), int(pts), tracker.update(int(pts), seen)))
         result = pd.DataFrame(out, columns=T.COLUMNS, dtype=object)
-        result.insert(0, "channel_id", rows["channel_id"].iloc[0])
+        for i, k in enumerate(keys):
+            result.insert(i, k, rows[k].iloc[0])
         return tracker, result
 
-    return _in_order(df, ["channel_id"], "ts_ms", ["ts_ms", "frame_id", "det_ord"], feed, f"channel_id string, {T.OUTPUT}", delay)
+    return _in_order(df, keys, "ts_ms", ["ts_ms", "frame_id", "det_ord"], feed, f"{_types(df, keys)}, {T.OUTPUT}", delay)
 
 
 def dwell_stream(df: DataFrame, dwell_sec: float, iou_min: float = 0.20, delay: str = "10 seconds", expire_ms: int | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators against plain loops on random small input, hot groups, streams against batch."""
 
+import datetime
+import math
 import random
 
 import pytest
@@ -8,12 +10,14 @@ from pyspark.sql import functions as F
 
 from boxweave.functions import boxmath as M
 from boxweave.operators import aggregates as A
+from boxweave.operators import compose
 from boxweave.operators import filters as P
 from boxweave.operators import greedy as R
 from boxweave.operators import joins as J
 from boxweave.operators import replay as X
 from boxweave.operators import tracking as T
 from boxweave.operators import windows as Wn
+from boxweave.operators.pacing import paced
 from boxweave.operators.scan import Step, ordered_scan, time_block
 from boxweave.operators.sequential import affine_scan
 from boxweave.streaming import stateful as S
@@ -174,6 +178,116 @@ def test_throttle_and_repair_equal_loops(spark):
     assert {r.frame_id: r.repaired_pts_ms for r in fixed.collect()} == repaired
 
 
+def mailbox_loop(times, gap):
+    """Rows kept by a mailbox of one row: the newest waits and leaves ``gap`` after the last one left."""
+    out, due, waiting = [], None, None
+    for i, t in enumerate(times):
+        while waiting is not None and due < t:
+            out.append(waiting)
+            waiting, due = None, due + gap
+        if due is None or (waiting is None and t >= due):
+            out.append(i)
+            due = t + gap
+        else:
+            waiting = i
+    return out + ([waiting] if waiting is not None else [])
+
+
+def gap_loop(times, gap):
+    out, last = [], None
+    for i, t in enumerate(times):
+        if last is None or t - last >= gap:
+            out.append(i)
+            last = t
+    return out
+
+
+@pytest.mark.parametrize("newest, loop", [(True, mailbox_loop), (False, gap_loop)])
+def test_one_channel_in_many_blocks_is_paced_like_a_loop(spark, monkeypatch, newest, loop):
+    """A channel that never pauses, blocks of a few rows, tables joined two at a time over several levels."""
+    monkeypatch.setattr(compose.entry_states, "__defaults__", (2,))
+    rng = random.Random(11)
+    rows, t = [], 10**6
+    for i in range(700):
+        t += rng.choice([0, 1, 5, 9, 14, 30])
+        rows.append(("hot", t, i))
+    rows += [("cold", 50, 1000), ("cold", 2_000_000, 1001), (None, 5, 1002), ("cold", None, 1003)]
+    df = spark.createDataFrame(rows, "k string, t long, n long")
+    want = {i for i in loop([t for k, t, _ in rows if k == "hot"], 40)} | {1000, 1001}
+    got = {r.n for r in paced(df.orderBy("k", "t", "n").coalesce(1), ["k"], "t", 40, newest, block=100).collect()}
+    times = {n: t for _, t, n in rows}
+    assert sorted((times[n] or 0) for n in got) == sorted(times[n] for n in want)
+    assert {n for n in got if n >= 1000} == {1000, 1001}
+
+
+WIDE = "channel_id string, frame_id long, ts_ms long, pts_ms long, big long, flag boolean, tags array<string>, at timestamp"
+
+
+def test_ordered_steps_leave_other_values_as_they_are(spark):
+    """64-bit numbers beside nulls, booleans, arrays and times come back bit by bit."""
+    when = datetime.datetime(2024, 5, 6, 7, 8, 9, 123456)
+    rows = [("c", i, 100 * i, 100 * i, None if i % 3 == 0 else 2**60 + i, None if i % 4 == 0 else i % 2 == 0, None if i % 5 == 0 else [f"t{i}", None], None if i % 7 == 0 else when) for i in range(60)]
+    df = spark.createDataFrame(rows, WIDE)
+    whole = {r.frame_id: r for r in df.collect()}
+    for kept in (Wn.rate_thin(df, 3), Wn.throttle_ticks(df, 1), Wn.repair_pts(df, 33, ["channel_id"], block=7).drop("repaired_pts_ms")):
+        got = kept.collect()
+        assert got and all(r == whole[r.frame_id] for r in got)
+    boxed = df.withColumns({"det_ord": F.col("frame_id"), "class_id": F.lit(1), "score": F.lit(0.5), "x1": F.col("frame_id") * 30.0, "y1": F.lit(0.0), "x2": F.col("frame_id") * 30.0 + 20, "y2": F.lit(9.0),
+                            "tile_x": F.lit(0), "tile_y": F.lit(0), "tile_w": F.lit(9000), "tile_h": F.lit(900), "frame": F.lit(1)})
+    for kept in (R.dedup_display(boxed, ["frame"]), R.merge_boundary(boxed, ["frame"])):
+        assert {r.frame_id: (r.big, r.flag, r.tags, r["at"]) for r in kept.collect()} == {f: (r.big, r.flag, r.tags, r["at"]) for f, r in whole.items()}
+    moved = df.withColumns({"dx": F.lit(1.0), "dy": F.lit(2.0)})
+    assert {r.frame_id: r.big for r in Wn.smooth_motion(moved).collect()} == {f: r.big for f, r in whole.items()}
+
+
+@pytest.mark.parametrize("block", [1, 13, 10_000])
+def test_repair_after_a_spike_counts_on(spark, block):
+    """One frame far ahead: all that follow are steps after it, over many blocks."""
+    values = [None, 10, 20, 5_000, *range(30, 330, 10), None, 9_000, 100]
+    df = spark.createDataFrame([("c", i, v) for i, v in enumerate(values)], "channel_id string, frame_id long, pts_ms long")
+    want, last = [], None
+    for v in values:
+        last = (v or 0) if last is None else v if v is not None and v > last else last + 7
+        want.append(last)
+    got = sorted((r.frame_id, r.repaired_pts_ms, r.pts_ms) for r in Wn.repair_pts(df, 7, ["channel_id"], block=block).collect())
+    assert [g[1] for g in got] == want and [g[2] for g in got] == values
+
+
+def test_repair_maps_compose():
+    rng = random.Random(1)
+    for _ in range(300):
+        step, values = rng.choice([1, 3, 10]), [rng.choice([None, rng.randrange(-20, 60)]) for _ in range(rng.randrange(2, 12))]
+        cut = rng.randrange(1, len(values))
+        whole, joined = Wn._repair_map(values, step), Wn._repair_joined(Wn._repair_map(values[:cut], step), Wn._repair_map(values[cut:], step))
+        for last in range(-60, 90):
+            want = Wn._repaired(values, last, step)[-1]
+            assert Wn._repair_exit(whole, last) == Wn._repair_exit(joined, last) == want
+        assert whole["alone"] == joined["alone"] == Wn._repaired(values, None, step)[-1]
+
+
+def test_percentiles_of_crowded_values(spark):
+    """Most values in a narrow band, many ties, infinite tails of the range, several groups and both definitions in one run."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 10 == 0, "few").when(F.col("id") % 10 < 9, "many").alias("k"),
+        F.when(F.col("id") % 97 == 0, -1e300).when(F.col("id") % 89 == 0, 1e300).when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 501 == 0, F.lit(None)).otherwise(7.0 + (F.col("id") * 7919 % 20011) * 1e-9).alias("v"),
+    )
+    qs = {"p0": 0.0, "p01": 0.01, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    nearest = {f"n{k[1:]}": (q, "nearest") for k, q in qs.items()}
+    got = {r.k: r for r in A.exact_quantiles(df, ["k"], "v", {**qs, **nearest}, plain={"most": F.max("v")}).collect()}
+    values = {}
+    for r in df.where("v IS NOT NULL").collect():
+        values.setdefault(r.k, []).append(r.v)
+    assert got.keys() == values.keys() == {"few", "many", None}
+    for k, own in values.items():
+        own.sort()
+        for name, q in qs.items():
+            at = (len(own) - 1) * q
+            lo, hi = own[math.floor(at)], own[math.ceil(at)]
+            assert got[k][name] == pytest.approx(lo * (1 - at % 1) + hi * (at % 1), rel=1e-12)
+            assert got[k][f"n{name[1:]}"] == own[max(0, math.ceil(round(len(own) * q, 9)) - 1)]
+        assert got[k].most == own[-1]
+
+
 def test_hot_key_percentile(spark):
     df = spark.range(20000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("k"), (F.col("id") * 7919 % 20011 - 9000).cast("double").alias("v"))
     got = {r.k: r for r in A.exact_quantiles(df, ["k"], "v", {"p50": 0.5, "p99": 0.99}).collect()}
