@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from boxweave.functions.staged import staged
 from boxweave.operators.filters import tile_of
 from boxweave.operators.scan import Step, ordered_scan, time_block
 from boxweave.operators.spatial import rect_pairs
-from boxweave.session import broadcast_if_small
+from boxweave.session import broadcast_if_small, reach_workers
 
 BOX_COLUMNS = ["x1", "y1", "x2", "y2"]
 
@@ -248,16 +250,45 @@ def sweep(samples: DataFrame, params: list[dict]) -> DataFrame:
 def best_frame_match(target: DataFrame, reference: DataFrame, keys: list[str], window: int, step: int = 1) -> DataFrame:
     """Reference frame with the least pixel error within ``window`` frame numbers; the first of equals.
 
-    Each target asks for the 2·window/step+1 frame numbers it may match, by equality.
+    A target is compared with the frame numbers ``window`` before it, ``step`` further and so on. Frames meet in blocks of eight windows:
+    a target goes to its block, a reference frame to its own and, near an edge, to the neighbour as well, so no picture is
+    sent more than twice. Frames without pixels and pairs of different size do not match; nor do rows with a null key.
     """
-    offsets = F.sequence(F.lit(-window), F.lit(window), F.lit(step))
-    asked = target.select(
-        *keys, F.col("frame_no").alias("target_no"), F.col("pixels").alias("t_pixels"), F.explode(offsets).alias("offset")
-    ).withColumn("frame_no", F.col("target_no") + F.col("offset"))
-    pairs = asked.join(reference.select(*keys, "frame_no", F.col("pixels").alias("r_pixels")), [*keys, "frame_no"])
-    scored = pairs.select(*keys, "target_no", "frame_no", mse(F.col("t_pixels"), F.col("r_pixels")).alias("mse"))
-    best = scored.groupBy(*keys, "target_no").agg(F.min(F.struct("mse", "frame_no")).alias("b"))
-    return best.select(*keys, "target_no", F.col("b.frame_no").alias("match_no"), F.col("b.mse").alias("mse"))
+    size = max(1, 8 * window)
+    kinds = ", ".join(f"{k} {target.schema[k].dataType.simpleString()}" for k in keys)
+    pixels = F.transform("pixels", lambda v: v.cast("double")).alias("pixels")
+    seen = [F.col(c).isNotNull() for c in ("pixels", "frame_no")]
+    left = target.where(seen[0] & seen[1]).select(*keys, F.floor(F.col("frame_no") / size).alias("block"), F.col("frame_no").cast("long").alias("no"), pixels)
+    edges = [F.floor((F.col("frame_no") + d) / size) for d in (-window, window)]
+    right = reference.where(seen[0] & seen[1]).select(*keys, F.explode(F.sequence(*edges)).alias("block"), F.col("frame_no").cast("long").alias("no"), pixels)
+    reach_workers(target.sparkSession)
+
+    def pictures(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = [np.asarray(p, float) for p in table["pixels"].to_pylist()]
+        out = np.zeros((len(rows), max(map(len, rows), default=0)))
+        for i, r in enumerate(rows):
+            out[i, : len(r)] = r
+        return table["no"].to_numpy(), np.array([len(r) for r in rows]), out
+
+    def matched(key, ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        no, lengths, a = pictures(ours)
+        other, other_lengths, b = pictures(theirs.sort_by("no"))
+        width = max(a.shape[1], b.shape[1])
+        a, b = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
+        best, match = np.full(len(no), np.inf), np.zeros(len(no), np.int64)
+        for offset in range(-window, window + 1, step) if len(no) and len(other) else ():
+            first, last = np.searchsorted(other, no + offset), np.searchsorted(other, no + offset, "right")
+            for again in range(int((last - first).max(initial=0))):  # repeated frame numbers
+                here = np.flatnonzero((first + again < last) & (lengths == other_lengths[np.minimum(first + again, len(other) - 1)]))
+                error = ((a[here] - b[first[here] + again]) ** 2).sum(axis=1) / np.maximum(1, lengths[here])
+                less = error < best[here]
+                best[here[less]], match[here[less]] = error[less], no[here[less]] + offset
+        found = np.flatnonzero(np.isfinite(best))
+        named = {k: pa.array([key[i].as_py()] * len(found), ours.schema.field(k).type) for i, k in enumerate(keys)}
+        return pa.table({**named, "target_no": no[found], "match_no": match[found], "mse": best[found]})
+
+    on = [*keys, "block"]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(matched, f"{kinds}, target_no long, match_no long, mse double")
 
 
 def mse(a: Column, b: Column) -> Column:

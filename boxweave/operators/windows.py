@@ -205,17 +205,29 @@ def mark_duplicates(df: DataFrame, hash_col: str = "sha256", order: list[str] |
     return joined.select(*df.columns, F.when(repeated, F.col(f"first.{name}")).alias("duplicate_of"))
 
 
-def evenly_spaced(df: DataFrame, by: list[str], n: int, order: str, blocks: list[Column] | None = None) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``df`` with ``__i``, the place of each row in its group (from 0) in ``order``, and ``__size``, the group's rows.
+
+    Rows are dealt by ranges of group and order, whose bounds Spark takes from a sample, so neither a large group nor a
+    prefix that all names share ends in one task; what lies before a range comes from the ranges' counts.
+    """
+    at, key = F.col("__at"), F.struct(*by).alias("__key")
+    dealt = df.repartitionByRange(*by, order).sortWithinPartitions(*by, order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = checkpointed(dealt).select("*", key, F.shiftright(at, 33).alias("__part"))
+    spans = dealt.groupBy("__key", "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    group = Window.partitionBy("__key")
+    before = F.sum("__n").over(group.orderBy("__part")) - F.col("__n")
+    placed = spans.select("__key", "__part", (before - F.col("__first")).alias("__shift"), F.sum("__n").over(group).alias("__size"))
+    return dealt.join(placed, ["__key", "__part"]).select(*df.columns, (at + F.col("__shift")).alias("__i"), "__size")
+
+
+def evenly_spaced(df: DataFrame, by: list[str], n: int, order: str) -> DataFrame:
     """``n`` rows of each group at even distances in name order; all if there are fewer.
 
-    With one row wanted it is the middle one. A group is cut by prefixes of the name.
+    With one row wanted it is the middle one.
     """
     if n <= 0:
         raise ValueError("sample count must be positive")
-    blocks = blocks or [F.substring(order, 1, 8), F.substring(order, 1, 16)]
-    placed = ordered_scan(df, by, blocks, [F.col(order)], [Step("__no", "count")]).withColumn("__i", F.col("__no") - 1)
-    sizes = df.groupBy(*by).agg(F.count("*").alias("__size"))
-    sized = placed.join(sizes, by)
     i, size = F.col("__i"), F.col("__size")
     if n == 1:
         wanted = i == F.floor(size / 2)
@@ -224,7 +236,7 @@ def evenly_spaced(df: DataFrame, by: list[str], n: int, order: str, blocks: list
         # smallest k that reaches i lands exactly on it.
         k = F.ceil(i * (n - 1) / (size - 1))
         wanted = F.floor(k * (size - 1) / (n - 1)) == i
-    return sized.where((size <= n) | wanted).drop("__no", "__i", "__size")
+    return numbered(df, by, order).where((size <= n) | wanted).drop("__i", "__size")
 
 
 def first_n(df: DataFrame, by: list[str], n: int, order: str) -> DataFrame:

@@ -35,10 +35,11 @@ def _(spark, sf):
     return Rd.read_gt_map(spark, _by_file(maps, spark, "gt"))
 
 
-COCO_CLASSES = {11: (0, LABELS[0]), 14: (3, LABELS[3])}
+SOME_CLASSES = {11: (0, LABELS[0]), 14: (3, LABELS[3])}
+COCO_CLASSES = {11 + i: (i, name) for i, name in enumerate(LABELS)}
 
 
-def _coco(spark, sf):
+def _coco(spark, sf, classes=COCO_CLASSES):
     """COCO files of all frames; the pictures wanted are those of 1280 by 720."""
     frames = view(spark, sf, "frames")
     image = F.struct(F.col("frame_id").alias("id"), F.concat("frame_id", F.lit(".jpg")).alias("file_name"), "width", "height")
@@ -49,14 +50,22 @@ def _coco(spark, sf):
     notes = view(spark, sf, "detections").groupBy(part).agg(F.collect_list(note).alias("annotations"))
     docs = images.join(notes, "part", "left").select("part", F.to_json(F.struct("images", "annotations")).alias("value"))
     wanted = frames.where("width = 1280 AND height = 720").select(F.concat(F.lit("/pictures/"), F.lpad(F.col("frame_id").cast("string"), 12, "0"), F.lit(".jpg")).alias("image_path"))
-    return Rd.read_coco(spark, _by_file(docs, spark, "coco"), wanted, COCO_CLASSES)
+    return Rd.read_coco(spark, _by_file(docs, spark, "coco"), wanted, classes)
 
 
-@query("read_coco", W("SELECT lpad(d.frame_id::VARCHAR, 12, '0') || '.jpg' AS image, d.class_id, d.label, ROUND(x1, 6) AS x1, ROUND(y1, 6) AS y1, ROUND(x2, 6) AS x2, ROUND(y2, 6) AS y2 FROM detections d JOIN frames f USING (frame_id) WHERE width = 1280 AND height = 720 AND class_id IN (0, 3)", "detections", "frames"))
+COCO_SQL = "SELECT lpad(d.frame_id::VARCHAR, 12, '0') || '.jpg' AS image, d.class_id, d.label, ROUND(x1, 6) AS x1, ROUND(y1, 6) AS y1, ROUND(x2, 6) AS x2, ROUND(y2, 6) AS y2 FROM detections d JOIN frames f USING (frame_id) WHERE width = 1280 AND height = 720"
+
+
+@query("read_coco", W(COCO_SQL, "detections", "frames"))
 def _(spark, sf):
     return _coco(spark, sf)[0].select("image", "class_id", "label", *[r6(c) for c in CORNERS])
 
 
+@query("read_coco_some_classes", W(f"{COCO_SQL} AND class_id IN (0, 3)", "detections", "frames"))
+def _(spark, sf):
+    return _coco(spark, sf, SOME_CLASSES)[0].select("image", "class_id", "label", *[r6(c) for c in CORNERS])
+
+
 @query("read_coco_images", W("SELECT lpad(frame_id::VARCHAR, 12, '0') || '.jpg' AS image, CAST(width AS INT) AS width, CAST(height AS INT) AS height FROM frames WHERE width = 1280 AND height = 720", "frames"))
 def _(spark, sf):
     return _coco(spark, sf)[1].select("image", "width", "height")

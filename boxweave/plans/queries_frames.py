@@ -286,6 +286,27 @@ def _(spark, sf):
     return out.select("channel_id", r6("map"), "classes")
 
 
+DATASET_AP_SQL = f"""{PR_SQL.replace("(cum_tp + cum_fp + 1e-6)", "greatest(cum_tp + cum_fp, 1e-9)")}, ap AS (
+    SELECT class_id, max(n_gt) AS gt_count, count(*) AS pred_count, sum(CASE WHEN tp THEN envelope ELSE 0 END) / max(n_gt) AS ap, max(cum_tp) / greatest(count(*), 1e-9) AS precision, max(cum_tp) / max(n_gt) AS recall FROM en GROUP BY class_id
+    UNION ALL SELECT 6, 0, 0, 0.0, 0.0, 0.0)"""
+
+
+def _dataset_ap(spark, sf):
+    gt, m = _matched(spark, sf)
+    return E.average_precision(m, gt, ["class_id"], classes=list(range(7)), style="dataset")
+
+
+@query("average_precision_dataset", W(f"+{DATASET_AP_SQL} SELECT class_id, gt_count, pred_count, ROUND(ap, 6) AS ap, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall FROM ap", "ground_truth", "predictions", recursive=True))
+def _(spark, sf):
+    return _dataset_ap(spark, sf).select("class_id", "gt_count", "pred_count", r6("ap"), r6("precision"), r6("recall"))
+
+
+@query("mean_average_precision_zero", W(f"+{DATASET_AP_SQL} SELECT ROUND(avg(ap), 6) AS map, count(*) AS classes FROM ap", "ground_truth", "predictions", recursive=True))
+def _(spark, sf):
+    """A class without ground truth counts as 0."""
+    return E.mean_average_precision(_dataset_ap(spark, sf), missing_class="zero").select(r6("map"), "classes")
+
+
 @query("prediction_totals", W("SELECT count(*) AS images, (SELECT count(*) FROM predictions) AS predictions, count(*) FILTER (NOT EXISTS (SELECT 1 FROM predictions p WHERE p.frame_id = f.frame_id)) AS empty_images FROM frames f", "frames", "predictions"))
 def _(spark, sf):
     return E.prediction_totals(view(spark, sf, "frames").select("frame_id"), view(spark, sf, "predictions"))

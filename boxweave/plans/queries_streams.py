@@ -47,6 +47,16 @@ def _(spark, sf):
     return S.run_available(S.report_stream(stream_view(spark, sf, "reports"), 0, NOW), "reports").select("channel_id", "turn", "summary_key", "has_events")
 
 
+@query("report_stream_throttled", W("""+x AS MATERIALIZED (SELECT channel_id, turn, ts_ms, summary_key, has_events FROM reports),
+   r AS (SELECT channel_id, min(ts_ms) AS ts_ms FROM x GROUP BY 1
+     UNION ALL SELECT channel_id, later FROM (SELECT r.channel_id, (SELECT min(x.ts_ms) FROM x WHERE x.channel_id = r.channel_id AND x.ts_ms >= r.ts_ms + 3000) AS later FROM r) WHERE later IS NOT NULL),
+   l AS (SELECT x.*, lag(summary_key) OVER w AS before, row_number() OVER w AS n FROM x JOIN r USING (channel_id, ts_ms) WINDOW w AS (PARTITION BY channel_id ORDER BY ts_ms))
+   SELECT channel_id, turn, summary_key, has_events FROM l WHERE n = 1 OR before IS DISTINCT FROM summary_key OR has_events""", "reports", recursive=True))
+def _(spark, sf):
+    """Ticks at least three seconds apart, of these the changed ones."""
+    return S.run_available(S.report_stream(stream_view(spark, sf, "reports"), 3, NOW), "reports").select("channel_id", "turn", "summary_key", "has_events")
+
+
 @query("dwell_stream", W(f"+{ROI_PIXELS}, {ROI_HIT}, {DWELL_SQL} SELECT channel_id, region_ord, class_id, frame_id, det_ord, dwell AS dwell_sec FROM g WHERE dwell >= 0.5", "detections", "regions"))
 def _(spark, sf):
     boxes = P.roi_assign(stream_view(spark, sf, "detections"), view(spark, sf, "regions"), FRAME_W, FRAME_H)

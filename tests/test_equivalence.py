@@ -265,6 +265,39 @@ def test_repair_maps_compose():
         assert whole["alone"] == joined["alone"] == Wn._repaired(values, None, step)[-1]
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 500])
+def test_names_with_a_long_common_prefix_are_sampled_evenly(spark, n):
+    rng = random.Random(3)
+    names = {g: sorted(f"{'x' * 40}{rng.randrange(10**9):09d}" for _ in range(size)) for g, size in (("big", 400), ("small", 5), (None, 60))}
+    rows = [(g, name) for g, own in names.items() for name in own]
+    rng.shuffle(rows)
+    want = set()
+    for g, own in names.items():
+        picks = range(len(own)) if n >= len(own) else [len(own) // 2] if n == 1 else [i * (len(own) - 1) // (n - 1) for i in range(n)]
+        want |= {(g, own[i]) for i in picks}
+    got = Wn.evenly_spaced(spark.createDataFrame(rows, "g string, name string").repartition(5), ["g"], n, "name").collect()
+    assert len(got) == len(want) and {(r.g, r.name) for r in got} == want
+
+
+@pytest.mark.parametrize("window, step", [(0, 1), (4, 1), (6, 3)])
+def test_frames_match_like_a_loop(spark, window, step):
+    rng = random.Random(window)
+
+    def frames(n):
+        return [(v, i * 2 + rng.randrange(2), None if rng.random() < 0.05 else [rng.randrange(4) for _ in range(6)]) for v in ("a", "b") for i in range(n)]
+
+    ours, theirs = frames(80), frames(80) + [("a", 7, [0, 1, 2, 3, 0, 1]), ("a", 7, [3, 3, 3, 3, 3, 3]), ("b", 9, [1, 1])]
+    want = set()
+    for v, no, p in ours:
+        near = [(sum((x - y) ** 2 for x, y in zip(p, q)) / len(p), m) for w, m, q in theirs if p and q and w == v and len(p) == len(q) and m - no in range(-window, window + 1, step)]
+        if near:
+            error, match = min(near)
+            want.add((v, no, match, round(error, 9)))
+    schema = "video string, frame_no int, pixels array<int>"
+    got = J.best_frame_match(spark.createDataFrame(ours, schema), spark.createDataFrame(theirs, schema), ["video"], window, step).collect()
+    assert {(r.video, r.target_no, r.match_no, round(r.mse, 9)) for r in got} == want
+
+
 def test_percentiles_of_crowded_values(spark):
     """Most values in a narrow band, many ties, infinite tails of the range, several groups and both definitions in one run."""
     df = spark.range(30_000).select(
