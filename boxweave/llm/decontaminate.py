@@ -29,8 +29,8 @@ COUNTED = 13
 @dataclass(frozen=True)
 class Search:
     """``similarity``: least weighted similarity of a match. ``radius``: differing bits that are searched;
-    ``blocks``: parts of a fingerprint. ``longest``: words of an item searched as one; longer
-    items are searched in parts. ``broadcast_rows``: shingles or index rows up to which the benchmark's
+    ``blocks``: parts of a fingerprint. ``longest``: words of an item searched as one; of a longer item
+    parts of equal size are searched, each of which proposes a window for the whole item. ``broadcast_rows``: shingles or index rows up to which the benchmark's
     side is sent to all tasks; beyond, both sides are dealt out."""
 
     similarity: float = 0.8
@@ -39,6 +39,10 @@ class Search:
     longest: int = 512
     broadcast_rows: int = 200_000
 
+    def __post_init__(self) -> None:
+        if not 2 * SHINGLE <= self.longest <= 8191:
+            raise ValueError("items are searched by 10 to 8191 words")
+
 
 def shingles(words: Column) -> Column:
     """Hashes of all runs of five words; of the whole sequence where it is shorter; none without words."""
@@ -84,11 +88,14 @@ def _block(code: Column, shift: int, width: int) -> Column:
 
 
 def item_parts(items: DataFrame, rule: Search, id: str = "item_id", text: str = "text") -> DataFrame:
-    """``(part, item_id, m, code, hashes)``: items, or parts of long ones, with at least one word."""
+    """``(part, item_id, offset, of, m, code, hashes)``: items, or ``of`` parts of a long one that begin at word ``offset``, with at least one word."""
     rows = picked(items, id=id, text=text).select("id", words_of(F.col("text")).alias("words")).where("size(words) > 0")
-    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(rule.longest))
-    rows = staged(rows, {"hashes": F.transform(starts, lambda s: F.slice("words", s + 1, rule.longest))}).select("id", F.explode("hashes").alias("words"))
-    rows = staged(rows, {"hashes": shingles(F.col("words"))}).select(F.xxhash64("id", "hashes").alias("part"), F.col("id").alias("item_id"), F.size("hashes").alias("m"), "hashes")
+    rows = rows.withColumn("of", F.ceil(F.size("words") / rule.longest).cast("int"))
+    edge = lambda k: F.floor(k * F.size("words") / F.col("of")).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(edge(k).alias("offset"), F.slice("words", edge(k) + 1, edge(k + 1) - edge(k)).alias("words")))
+    rows = staged(rows, {"cut": cut}).select("id", "of", F.inline("cut"))
+    rows = staged(rows, {"hashes": shingles(F.col("words"))})
+    rows = rows.select(F.xxhash64("id", "offset", "hashes").alias("part"), F.col("id").alias("item_id"), "offset", "of", F.size("hashes").alias("m"), "hashes")
     return with_fingerprint(rows, "hashes", "code").dropDuplicates(["part"])
 
 
@@ -150,6 +157,22 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def _whole_items(found: DataFrame, docs: DataFrame, items: DataFrame, rule: Search, id: str, text: str) -> DataFrame:
+    """Long items by the windows that their found parts propose: ``(key, id, item_id, similarity, start, distance, m)``.
+
+    A part that begins at ``start`` of a document puts the item ``offset`` before that; there the item as a
+    whole is compared. An item that is similar enough has a part that is, so none is left out for its other parts.
+    """
+    asked = found.groupBy("key", "id", "item_id", F.greatest(F.col("start") - F.col("offset"), F.lit(0)).alias("start")).agg(F.min("distance").alias("distance"))
+    own = picked(items, id="item_id", text="text").select(F.col("id").alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > rule.longest)
+    own = own.select("item_id", shingles(F.col("words")).alias("theirs")).join(found.select("item_id").distinct(), "item_id", "left_semi")
+    keyed = picked(docs, id=id, text=text).select(row_key("id", "text").alias("key"), "text")
+    texts = keyed.join(found.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", shingles(words_of(F.col("text"))).alias("all"))
+    here = F.slice("all", F.col("start") + 1, F.size("theirs"))
+    judged = staged(asked.join(texts, "key").join(own, "item_id"), {"similarity": weighted_similarity(here, F.col("theirs"))}).where(F.col("similarity") >= rule.similarity)
+    return judged.select("key", "id", "item_id", "similarity", "start", "distance", F.size("theirs").alias("m"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, rule: Search = Search(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """Where documents hold benchmark items: ``(key, doc_id, item_id, similarity, distance, start, shingles)``.
 
@@ -168,8 +191,11 @@ def contaminated(docs: DataFrame, items: DataFrame, rule: Search = Search(), id:
     near = probed.join(index, ["m", "block", "bits"]).where(F.bit_count(apart) <= rule.radius)
     first = F.coalesce(*[F.when(F.bit_count(_block(apart, s, w)) <= rule.radius // rule.blocks, F.lit(b)) for b, (s, w) in enumerate(masks)])
     near = near.where(first == F.col("block")).select("key", "id", "start", "m", "hashes", "part", F.bit_count(apart).alias("distance"))
-    whole = broadcast_if_small(parts.select("part", "item_id", F.col("hashes").alias("theirs")), rule.broadcast_rows // 100)
+    whole = broadcast_if_small(parts.select("part", "item_id", "offset", "of", F.col("hashes").alias("theirs")), rule.broadcast_rows // 100)
     judged = staged(near.join(whole, "part"), {"similarity": weighted_similarity(F.col("hashes"), F.col("theirs"))}).where(F.col("similarity") >= rule.similarity)
+    if not parts.where("of > 1").isEmpty():
+        judged = stored(judged.select("key", "id", "item_id", "offset", "of", "similarity", "start", "distance", "m"), "found")
+        judged = judged.where("of = 1").drop("offset", "of").unionByName(_whole_items(judged.where("of > 1"), docs, items, rule, id, text))
     best = judged.groupBy("key", "id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "distance", "m")).alias("b"))
     return best.select("key", F.col("id").alias("doc_id"), "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.distance").cast("long").alias("distance"), F.col("b.start").cast("long").alias("start"), F.col("b.m").cast("long").alias("shingles"))
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -166,3 +167,29 @@ def test_values_seen_once_have_disclosing_terms(spark):
     for i in range(4):
         assert "walrus" in {text[i][int(a):int(b)] for k, a, b in (s.split(":") for s in told[i].spans.split(",")) if k == "term"}
     assert all(told[i].n_term == 0 for i in range(10, 60))
+
+
+def test_long_items_are_found_as_a_whole_only(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(517)]
+    light, heavy = [*words], [*words]
+    for i in range(20, 517, 60):
+        light[i] = "changed"
+    heavy[300:420] = [f"n{i}" for i in range(120)]  # one place, a quarter of the item: below the threshold
+    place = [*words]
+    place[300:340] = [f"n{i}" for i in range(40)]  # one place, little enough
+    around = prose(71, 80)
+    docs = [(1, f"{around} {' '.join(words[-5:])} {around}"), (2, f"{around} {' '.join(words)} {around}"), (3, f"{around} {' '.join(light)}"), (4, " ".join(heavy)), (5, " ".join(place)),
+            (6, " ".join(words[:259])), (7, " ".join(words[:500])), (8, prose(72, 600))]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, prose(73, 30))], "item_id long, text string")
+    got = {r.doc_id: r.similarity for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+
+    def bag(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    own = bag(" ".join(words))
+    want = {3: bag(" ".join(light)), 5: bag(" ".join(place)), 7: bag(" ".join(words[:500])), 2: own}
+    assert got == pytest.approx({d: len(own & b) / len(own | b) for d, b in want.items()})
+    with pytest.raises(ValueError):
+        Search(longest=9000)
