@@ -21,6 +21,7 @@ import tokenizers
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 SPLIT = regex.compile(PATTERN)
+STOPS = (".", ",", ";", ":", "!", "?")
 #: Words and pre-tokens remembered per generation; two generations are held.
 REMEMBERED = 400_000
 #: Characters of text whose new words are encoded together.
@@ -59,22 +60,20 @@ def stands_alone(unit: str) -> bool:
 
 
 def pieces(unit: str) -> list[str]:
-    """Pre-tokens of a unit that stands alone. Letters, and letters with a stop after them, need no pattern."""
-    if unit.isalpha():
-        return [" " + unit]
-    if unit[-1] in ".,;:!?" and unit[:-1].isalpha():
-        return [" " + unit[:-1], unit[-1]]
+    """Pre-tokens of a unit that stands alone."""
     return SPLIT.findall(unit[1:] if unit[0] == "\0" else " " + unit)
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
-    ``encode_pieces`` gives the ids of pre-tokens, many at a time. Special tokens of the vocabulary
-    that occur in a text become their id, as the library does by default.
+    ``encode_pieces`` gives the ids of pre-tokens, many at a time, ``encode_words`` those of words of letters with a space before
+    each. Special tokens of the vocabulary that occur in a text become their id, as the library does by default.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], specials: dict[str, int], size: int = REMEMBERED):
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], specials: dict[str, int], size: int = REMEMBERED,
+                 encode_words: Callable[[list[str]], list[bytes]] | None = None):
+        self.encode_words = encode_words or (lambda words: encode_pieces([" " + w for w in words]))
         self.specials = {k: v.to_bytes(4, "little") for k, v in specials.items()}
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True)) or r"(?!)")
         self.piece, self.unit = Memory(encode_pieces, size), Memory(self._units, size)
@@ -119,11 +118,24 @@ class Encoder:
         parts = SPLIT.findall(text)
         return b"".join(map(self.piece.look(parts).__getitem__, parts))
 
-    def _units(self, words: list[str]) -> list[bytes | None]:
-        simple = [" " + w if w.isalpha() else None for w in words]
-        parts = [None if p or not stands_alone(w) else pieces(w) for p, w in zip(simple, words)]
-        known = self.piece.look(chain(filter(None, simple), chain.from_iterable(filter(None, parts))))
-        return [known[p] if p else None if ps is None else b"".join(map(known.__getitem__, ps)) for p, ps in zip(simple, parts)]
+    def _units(self, units: list[str]) -> list[bytes | None]:
+        """Letters are a word, letters and a stop after them a word and the stop; other units go through the pattern."""
+        young, old = self.unit.young, self.unit.old
+        fresh, stems, odd = {}, {}, {}
+        for u in units:
+            if u.isalpha():
+                fresh[u] = None
+            elif u[-1:] in STOPS and u[:-1].isalpha():
+                stems[u] = u[:-1]
+            else:
+                odd[u] = pieces(u) if stands_alone(u) else ()
+        fresh.update((w, None) for w in stems.values() if w not in young and w not in old)
+        words = dict(zip(fresh, self.encode_words(list(fresh))))
+        young.update(words)
+        known = self.piece.look(chain(STOPS, chain.from_iterable(odd.values())))
+        words.update((u, (young.get(w) or old[w]) + known[u[-1]]) for u, w in stems.items())
+        words.update((u, b"".join(map(known.__getitem__, ps)) if ps else None) for u, ps in odd.items())
+        return [words[u] for u in units]
 
 
 @lru_cache(maxsize=1)
@@ -167,14 +179,12 @@ def library_encoder(path: str) -> Encoder:
         spelled = piece.encode("utf-8").decode("latin-1").translate(letters)
         return b"".join([t.id.to_bytes(4, "little") for t in tokenizer.model.tokenize(spelled)])
 
-    def encode_pieces(pieces: list[str]) -> list[bytes]:
-        """Pieces that are a space and letters go to the library in one text, in which each begins with its space."""
-        alike = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        if len(alike) < 2:
-            return [one(p) for p in pieces]
-        ids = np.array(tokenizer.encode_batch_fast(["".join(alike)], add_special_tokens=False)[0].ids, "<u4")
-        data, at = ids.tobytes(), np.flatnonzero(spaced[ids]) * 4
-        known = {p: data[a:b] for p, a, b in zip(alike, at.tolist(), [*at[1:].tolist(), len(data)])}
-        return [known[p] if p in known else one(p) for p in pieces]
-
-    return Encoder(encode_pieces, special_tokens(path))
+    def encode_words(words: list[str]) -> list[bytes]:
+        """All words in one text, in which each begins with its space."""
+        if not words:
+            return []
+        ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        data, at = ids.tobytes(), (np.flatnonzero(spaced[ids]) * 4).tolist()
+        return [data[a:b] for a, b in zip(at, [*at[1:], len(data)])]
+
+    return Encoder(lambda pieces: list(map(one, pieces)), special_tokens(path), encode_words=encode_words)
