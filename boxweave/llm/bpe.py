@@ -199,7 +199,7 @@ def _encoded(docs: DataFrame, tokenizer: str, id: str, text: str, finish, schema
             for at in range(0, batch.num_rows, rows_at_once):
                 part = batch.slice(at, rows_at_once)
                 yield finish(part.column(0), list(ids_of.all(t.as_py() for t in part.column(1))))
-        ids_of.rest()
+        ids_of.rest(forget=True)
 
     rows = picked(docs, id=id, text=text)
     return map_batches(rows, run, f"doc_id {rows.schema['id'].dataType.simpleString()}, {schema}")

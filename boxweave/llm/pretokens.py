@@ -92,9 +92,12 @@ class Encoder:
                 group, size = [], 0
         yield from self._group(group)
 
-    def rest(self) -> None:
-        """Called at the end of a task: an idle worker holds one generation only."""
-        self.piece.old = self.unit.old = {}
+    def rest(self, forget: bool = False) -> None:
+        """Called at the end of a task: an idle worker holds one generation only, or nothing."""
+        for memory in (self.piece, self.unit):
+            memory.old = {}
+            if forget:
+                memory.young = {}
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         plain = [not ("\0" in t or any(s in t for s in self.specials)) for t in texts]
