@@ -153,7 +153,9 @@ def counters(stream: DataFrame, labels: DataFrame, groups: int, id: str = "doc_i
     rows = flagged(masked(stream, id, text, part), labels)
     settled = F.pmod(F.xxhash64("id", "part", "mask", F.rand(11)), F.lit(groups))
     group = F.when(F.col("name").isNull(), settled).otherwise(F.pmod(F.xxhash64("name"), F.lit(groups))).cast("int")
-    return rows.withColumn("texts", group).groupBy("texts").applyInPandasWithState(least_ids, DELTAS, STATE, "update", "NoTimeout")
+    # A null would turn the other ids of a pandas column into floats; rows without id are settled, so theirs is not looked at.
+    rows = rows.withColumn("texts", group).withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
+    return rows.groupBy("texts").applyInPandasWithState(least_ids, DELTAS, STATE, "update", "NoTimeout")
 
 
 def counted(stream: DataFrame, labels: DataFrame, groups: int, id: str = "doc_id", text: str = "text", part: str = "lang", folder: str | None = None) -> DataFrame:

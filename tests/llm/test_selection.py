@@ -98,6 +98,15 @@ def test_smaller_ids_in_later_files_retract_what_was_counted(spark, scratch):
         assert as_dict(audit(counted(stream, labels, 5, folder=f"{scratch}/state"))) == audited(rows, by_id(LABELS))
 
 
+def test_large_ids_beside_null_ones_stay_exact(spark, scratch):
+    rows = [(2**60 + i, prose(i % 3, 20), "en") for i in (5, 3, 4, 1, 2)] + [(None, prose(i % 3, 20), "en") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{scratch}/docs")
+    stream = spark.readStream.schema("doc_id long, text string, lang string").parquet(f"{scratch}/docs")
+    labels = [(2**60 + 1, 1, 0), (2**60 + 2, 0, 1)]
+    got = as_dict(audit(counted(stream, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 1)))
+    assert got == audited(rows, by_id(labels))
+
+
 def test_audit_of_nothing(spark, scratch):
     spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{scratch}/docs")
     assert filter_interactions(spark, f"{scratch}/docs", spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
