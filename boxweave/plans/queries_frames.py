@@ -455,7 +455,7 @@ def _(spark, sf):
 def _motion(spark, sf, config):
     frames, boxes = connected(view(spark, sf, "frames")), connected(view(spark, sf, "detections"))
     out = T.motion_tracks(T.track(frames, boxes, config, keys=CONNECTED, kinds=("motion",)), CONNECTED)
-    return out.withColumns({c: r6(c) for c in (*(f"smooth_{b}" for b in BOX), "center_alpha", "size_alpha")})
+    return out.withColumns({c: r6(F.col(c) + track_sql.OFF_TIE) for c in (*(f"smooth_{b}" for b in BOX), "center_alpha", "size_alpha")})
 
 
 @query("track_motion", W(track_sql.motion(ALL_OPTIONS), "frames", "detections", recursive=True))

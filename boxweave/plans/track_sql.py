@@ -9,6 +9,9 @@ from boxweave.plans import sql as Q
 #: Frame numbers of one connection; media time and tracks begin anew with each.
 CONNECTION = 400
 
+#: Added before rounding: filtered boxes often end in a 5 at the seventh place, which engines round either way.
+OFF_TIE = 3.1e-8
+
 _BOX = ("x1", "y1", "x2", "y2")
 _KINDS = {
     "id": "BIGINT", **dict.fromkeys(_BOX, "DOUBLE"), "k": "INT", "score": "DOUBLE", "last": "BIGINT", **{f"m{c}": "DOUBLE" for c in _BOX}, "st": "VARCHAR",
@@ -224,5 +227,5 @@ def motion(config: TrackerConfig) -> str:
     rounded = [*(f"smooth_{n}" for n in _BOX), "center_alpha", "size_alpha"]
     names = {"track_id": "id", "class_id": "k", "dt_ms": "dt", **{f"raw_{n}": f"raw_{n}" for n in _BOX}, **{f"smooth_{n}": f"smooth_{n}" for n in _BOX}, "deadzone": "dead", "reset": "reset",
              "was_active": "was", "active": "active", "center_alpha": "ca", "size_alpha": "sa", "raw_dx": "dx", "raw_dy": "dy"}
-    columns = ", ".join(Q.r6(f"m.{v}", n) if n in rounded else f"m.{v} AS {n}" for n, v in names.items())
+    columns = ", ".join(Q.r6(f"m.{v} + {OFF_TIE}", n) if n in rounded else f"m.{v} AS {n}" for n, v in names.items())
     return f"+{tracker(config)} SELECT {_KEY}, frame_id, pts AS pts_ms, {columns} FROM (SELECT channel_id, frame_id, pts, unnest(motion) AS m FROM r)"
