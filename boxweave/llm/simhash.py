@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from boxweave.llm import similar, trie
 from boxweave.llm.common import map_batches, packed, picked, stored
 from boxweave.llm.components import components
+from boxweave.session import dealt
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -99,8 +100,8 @@ def _joined(rows: DataFrame, radius: int) -> DataFrame:
         if held.shape[1]:
             yield links(np.ascontiguousarray(held))
 
-    dealt = rows.repartition("path", "lead").sortWithinPartitions("path", "lead")
-    return map_batches(dealt, run, "a long, b long").distinct()
+    groups = dealt(rows, "path", "lead").sortWithinPartitions("path", "lead")
+    return map_batches(groups, run, "a long, b long").distinct()
 
 
 def near_codes(codes: DataFrame, radius: int = 4, group: int = GROUP) -> DataFrame:

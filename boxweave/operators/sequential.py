@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from boxweave.session import reach_workers
+from boxweave.session import dealt, reach_workers
 
 
 def numbers(batch: pa.RecordBatch, name: str, fill: float = 0) -> np.ndarray:
@@ -46,7 +46,7 @@ def starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
 
 def _sorted(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     reach_workers(df.sparkSession)
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*[F.col(k) for k in keys], *order)
+    return dealt(df, *keys).sortWithinPartitions(*[F.col(k) for k in keys], *order)
 
 
 def stream(

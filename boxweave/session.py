@@ -71,6 +71,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """All rows of a key in one task, for steps in Python that rely on it.
+
+    By a hash of the keys: Spark leaves out a repartition by the very columns that a join below has just dealt by, and
+    then turns that join into a broadcast that reads its rows where they lie, so a key would be in several tasks.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever the driver was started.
 
