@@ -300,8 +300,8 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = _SPARK[name]
 
     def source(t: str) -> DataFrame:
-        schema = table(spark, sf_dir, t).schema
-        return spark.readStream.schema(schema).option("pathGlobFilter", f"{t}.parquet").parquet(sf_dir)
+        # A pattern for one name, which may be a file or a folder of files; a plain path may be a folder only.
+        return spark.readStream.schema(table(spark, sf_dir, t).schema).parquet(f"{sf_dir}/[{t[0]}]{t[1:]}.parquet")
 
     return spark.sql(text, **{t: source(t) for t in set(re.findall(r"\{(\w+)\}", text))})
 
