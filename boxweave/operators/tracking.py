@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from math import log
+from math import isfinite, log, sqrt
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ from boxweave.session import checkpointed
 # Fixed value: hits in a row before a track takes over another class.
 SWITCH_HITS = 2
 GLOBAL_MOTION_STALE_MS = 250
+#: Track-detection pairs of a frame up to which plain floats are faster than arrays; both give the same bits.
+SMALL = 150
+_first = itemgetter(0)
 
 
 @dataclass(frozen=True)
@@ -142,6 +146,33 @@ def _measures(tracks: np.ndarray, boxes: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def _sided(box: list[float]) -> tuple[float, ...]:
+    """``_sides`` of one box."""
+    x1, y1, x2, y2 = box
+    w, h = x2 - x1, y2 - y1
+    full = w * h if w > 0.0 and h > 0.0 else 0.0
+    w, h = max(1.0, w), max(1.0, h)
+    return x1, y1, x2, y2, (x1 + x2) * 0.5, (y1 + y2) * 0.5, full, w * h, sqrt(w * w + h * h)
+
+
+def _middle(values: tuple[float, ...]) -> float:
+    """Median of at least one value."""
+    v, half = sorted(values), len(values) // 2
+    return v[half] if len(v) % 2 else (v[half - 1] + v[half]) / 2
+
+
+def _one_to_one(ranked: Iterable[tuple[int, int, float, float, bool]]) -> list[tuple[int, int, float, float, bool]]:
+    """Of the pairs, best first, those whose track and detection are both still free."""
+    chosen, used_t, used_d = [], set(), set()
+    for pair in ranked:
+        a, b = pair[0], pair[1]
+        if a not in used_t and b not in used_d:
+            used_t.add(a)
+            used_d.add(b)
+            chosen.append(pair)
+    return chosen
+
+
 class Tracker:
     """State of one channel (or of one exact part of it)."""
 
@@ -160,6 +191,10 @@ class Tracker:
         if not self.tracks or not seen:
             return []
         c = self.config
+        if len(self.tracks) * len(seen) <= SMALL:
+            found = self._few(seen)
+            if found is not None:
+                return _one_to_one(found)
         m = _measures(np.array([t.shown.box for t in self.tracks]).T, np.array([s.box for s in seen]).T)
         same = np.array([t.shown.class_id for t in self.tracks])[:, None] == np.array([s.class_id for s in seen])[None, :]
         near = (m["distance"] <= np.maximum(48.0, np.minimum(self.reach, 1.25 * m["longest"]))) & (m["similar"] >= 0.40)
@@ -173,14 +208,47 @@ class Tracker:
         )
         at = np.flatnonzero(possible)
         flat, width = score.ravel()[at], len(seen)
-        chosen, used_t, used_d = [], set(), set()
-        for k in at[np.argsort(-flat, kind="stable")].tolist():
-            a, b = divmod(k, width)
-            if a not in used_t and b not in used_d:
-                used_t.add(a)
-                used_d.add(b)
-                chosen.append((a, b, float(m["iou"][a, b]), float(m["distance"][a, b]), bool(rival[a, b])))
-        return chosen
+        ranked = (divmod(k, width) for k in at[np.argsort(-flat, kind="stable")].tolist())
+        return _one_to_one((a, b, float(m["iou"][a, b]), float(m["distance"][a, b]), bool(rival[a, b])) for a, b in ranked)
+
+    def _few(self, seen: list[Seen]) -> list[tuple[int, int, float, float, bool]] | None:
+        """The possible pairs of a small frame, best first, by the same steps on plain floats; None where a box is not finite."""
+        c, reach = self.config, self.reach
+        boxes, found = [_sided(s.box) for s in seen], []
+        for a, t in enumerate(self.tracks):
+            ax1, ay1, ax2, ay2, acx, acy, ta, tp, tl = track = _sided(t.shown.box)
+            if not isfinite(sum(track)):
+                return None
+            kind, bonus = t.shown.class_id, 0.05 if t.state == "active" else 0.0
+            for b, (bx1, by1, bx2, by2, bcx, bcy, da, dp, dl) in enumerate(boxes):
+                w = (ax2 if ax2 < bx2 else bx2) - (ax1 if ax1 > bx1 else bx1)
+                h = (ay2 if ay2 < by2 else by2) - (ay1 if ay1 > by1 else by1)
+                shared = w * h if w > 0.0 and h > 0.0 else 0.0
+                same = kind == seen[b].class_id
+                if shared == 0.0 and not same:
+                    continue
+                dx, dy = acx - bcx, acy - bcy
+                distance = sqrt(dx * dx + dy * dy)
+                similar = tp / dp if tp < dp else dp / tp
+                iou = shared / max(1.0, ta + da - shared)
+                small = ta if ta < da else da
+                inside = shared / small if small > 0 else 0.0
+                if ta <= da:
+                    centred = acx >= bx1 and acx <= bx2 and acy >= by1 and acy <= by2
+                else:
+                    centred = bcx >= ax1 and bcx <= ax2 and bcy >= ay1 and bcy <= ay2
+                if same:
+                    near = similar >= 0.40 and distance <= max(48.0, min(reach, 1.25 * (tl if tl > dl else dl)))
+                    if not (near or iou >= c.match_iou or (centred and inside >= SAME_CLASS_CONTAINMENT)):
+                        continue
+                elif not (iou >= CROSS_CLASS_IOU or (centred and inside >= CROSS_CLASS_CONTAINMENT)):
+                    continue
+                score = iou + similar * 0.10 + (inside * 0.10 if same else 0.05) - distance / reach * 0.05 + bonus
+                found.append((-score, a, b, iou, distance, not same))
+        if not all(isfinite(sum(box)) for box in boxes):
+            return None
+        found.sort(key=_first)
+        return [f[1:] for f in found]
 
     def common_motion(self, chosen, seen: list[Seen], pts: int) -> tuple[float, float] | None:
         """Smoothed median step of the active tracks, when enough of them moved on."""
@@ -195,7 +263,7 @@ class Tracker:
                 steps.append((nx - ox, ny - oy))
         if len(steps) < max(1, c.global_motion_min_tracks):
             return None
-        now = tuple(float(v) for v in np.median(np.array(steps), axis=0))
+        now = tuple(_middle(v) for v in zip(*steps))
         fresh = self.common is None or pts - self.common_pts > GLOBAL_MOTION_STALE_MS or pts <= self.common_pts
         a = _limit(c.global_motion_alpha)
         self.common = now if fresh else tuple(a * n + (1 - a) * o for n, o in zip(now, self.common))
@@ -362,15 +430,21 @@ class Tracker:
             return self.displayable(t, pts), t.last_pts, t.shown.score, t.hits
 
         out: set[int] = set()
+        boxes = [t.shown.box for t in tracks]
         for i, a in enumerate(tracks):
-            box, kind = a.shown.box, a.shown.class_id
+            if i in out:
+                continue
+            x1, y1, x2, y2 = box = boxes[i]
             for j in range(i + 1, len(tracks)):
-                b = tracks[j]
-                if i in out:
-                    break
-                if j not in out and M.touch(box, b.shown.box) and M.duplicates(box, kind, b.shown.box, b.shown.class_id):
-                    out.add(i if worth(b) > worth(a) else j)
-        return [t for i, t in enumerate(tracks) if i not in out]
+                other = boxes[j]
+                if x1 < other[2] and other[0] < x2 and y1 < other[3] and other[1] < y2 and j not in out:
+                    b = tracks[j]
+                    if M.duplicates(box, a.shown.class_id, other, b.shown.class_id):
+                        if worth(b) > worth(a):
+                            out.add(i)
+                            break
+                        out.add(j)
+        return [t for i, t in enumerate(tracks) if i not in out] if out else tracks
 
 
 # ------------------------------------------------------------ batch
