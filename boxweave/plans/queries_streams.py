@@ -84,5 +84,5 @@ def _(spark, sf):
     boxes = stream_view(spark, sf, "detections")
     beats = stream_view(spark, sf, "frames").select("channel_id", "frame_id", "pts_ms", "ts_ms")
     rows = connected(boxes.unionByName(beats, allowMissingColumns=True))
-    out = S.run_available(S.track_stream(rows, LIVE, delay=NOW, keys=CONNECTED), "track")
+    out = S.run_available(S.track_stream(rows, LIVE, delay=NOW, keys=CONNECTED, kinds=("frame",)), "track")
     return T.snapshots(out, CONNECTED)
