@@ -170,7 +170,17 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     roots = similar.similar_classes(rows, docs, text, words, distinct, similarity).select(F.col("node").alias("code"), "root")
     light = rows.select("id", "body", F.col("node").alias("code"))
     codes = stored(light.groupBy("code").agg(F.min("id").alias("least")), "codes")
-    rows = stored(_named(light, codes, roots).select("id", "body", "component_id"), "classed")
+    return _first_of_each(docs, id, text, _named(light, codes, roots))
+
+
+def fingerprint_representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, group: int = GROUP) -> DataFrame:
+    """``docs`` with one row of each class of ``near_duplicates``; which row stays is told in ``representatives``."""
+    return _first_of_each(docs, id, text, classed(docs, id, text, words, radius, group))
+
+
+def _first_of_each(docs: DataFrame, id: str, text: str, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows that are not the first of their class in ``rows`` (``id``, ``body``, ``component_id``)."""
+    rows = stored(rows.select("id", "body", "component_id"), "classed")
     own = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "id").agg(F.min("body").alias("body"), F.count("*").alias("n"))
     kept = own.select(F.col("component_id").alias("kept_of"), "body")
     gone = rows.join(kept, F.col("component_id").eqNullSafe(F.col("kept_of")) & F.col("id").eqNullSafe(F.col("kept_of")) & (rows["body"] == kept["body"]), "left_anti")
