@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxweave.llm.common import map_batches, picked, run_dir
-from boxweave.session import ROCKSDB, reach_workers
+from boxweave.session import keep_state, reach_workers
 
 FILTERS = "ABCDE"
 A, B, C, D, E = (1 << i for i in range(5))
@@ -165,7 +165,7 @@ def counted(stream: DataFrame, labels: DataFrame, groups: int, id: str = "doc_id
     left there, so a retried batch changes nothing. A ``folder`` that is passed again, with the same ``groups``, goes on where it stopped.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    keep_state(spark)
     # What a batch changed is written, not the whole state again.
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     out = folder or run_dir(spark, "interactions")

@@ -53,6 +53,12 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def keep_state(spark: SparkSession) -> None:
+    """State of streams in RocksDB; its files take the disk that they fill, as each of many small stores would reserve 4 MB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; survives executor loss."""
     spark = df.sparkSession
