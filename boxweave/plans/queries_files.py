@@ -16,6 +16,8 @@ from boxweave.streaming import stateful as S
 
 #: Frames described by one ground-truth or COCO file.
 PER_FILE = 2000
+#: Rows of a file of streamed detections, some 50 MB in the shuffle.
+PER_STREAMED_FILE = 1_000_000
 CORNERS = ["x1", "y1", "x2", "y2"]
 
 
@@ -124,10 +126,16 @@ def _(spark, sf):
     return Dc.validate_heads(tensors, 640, 480).select("model_id", F.coalesce("branch", F.lit(-1)).alias("branch"), "violation")
 
 
+def streamed_files(rows: int) -> int:
+    """Files that a table arrives in: three micro-batches, as many files more as its rows need."""
+    return 3 * max(1, -(-rows // (3 * PER_STREAMED_FILE)))
+
+
 @query("stream_detections", W("SELECT frame_id, det_ord, class_id, label, score, x1, y2 FROM detections", "detections"))
 def _(spark, sf):
-    """Several files, one micro-batch each."""
-    path = run_dir(spark, "arriving")
-    view(spark, sf, "detections").repartition(3, "frame_id").write.parquet(path)
-    boxes = Rd.stream_detections(spark, path, max_files=1)
+    """Several files in three micro-batches; each file is written by a task of its own."""
+    path, arriving = run_dir(spark, "arriving"), view(spark, sf, "detections")
+    files = streamed_files(arriving.count())
+    arriving.repartition(files, "frame_id").write.parquet(path)
+    boxes = Rd.stream_detections(spark, path, max_files=files // 3)
     return S.run_available(boxes, "detections").select("frame_id", "det_ord", "class_id", "label", "score", "x1", "y2")
