@@ -284,7 +284,8 @@ def select_reviewed(df: DataFrame, exclude_sessions: list[str] | None = None) ->
 def check_labels(df: DataFrame, n_classes: int = 6, strict_center: bool = True) -> DataFrame:
     """Parse label lines (``line``) and name the first broken rule in ``reason``; null if valid."""
     parts = F.split(F.trim(F.col("line")), r"\s+")
-    parsed = df.withColumn("__f", parts).withColumns(
+    parsed = staged(
+        staged(df, {"__f": parts}),
         {
             "n_fields": F.size("__f"),
             "class_id": F.get("__f", F.lit(0)).try_cast("int"),
@@ -292,7 +293,7 @@ def check_labels(df: DataFrame, n_classes: int = 6, strict_center: bool = True)
             "cy": F.get("__f", F.lit(2)).try_cast("double"),
             "w": F.get("__f", F.lit(3)).try_cast("double"),
             "h": F.get("__f", F.lit(4)).try_cast("double"),
-        }
+        },
     )
     numbers = F.col("class_id").isNull()
     for c in ("cx", "cy", "w", "h"):
@@ -310,7 +311,8 @@ def check_labels(df: DataFrame, n_classes: int = 6, strict_center: bool = True)
 
 def validate_labels(df: DataFrame, n_classes: int = 6) -> tuple[DataFrame, DataFrame]:
     """Valid label rows, and rejects with a reason. Blank lines are neither."""
-    checked = check_labels(df.where(F.trim("line") != ""), n_classes)
+    lines = staged(df, {"line": F.col("line")}).select(*df.columns)
+    checked = check_labels(lines.where(F.trim("line") != ""), n_classes)
     return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
 
 
