@@ -21,18 +21,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), "value")
 
 
-def _tokens(text: Column) -> Column:
-    """``key=value`` words of a text, in order."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: F.contains(w, F.lit("=")))
-    return F.transform(words, lambda w: F.struct(F.substring_index(w, "=", 1).alias("k"), F.substr(w, F.instr(w, "=") + 1).alias("v")))
-
-
-def _last_values(tokens: Column) -> Column:
-    """Map of the tokens; of a repeated key the last value counts."""
-    placed = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.k.alias("k"), (-i).alias("i"), t.v.alias("v"))))
-    # In order of key and falling place, the first of each key is its last value.
-    heads = F.filter(F.zip_with(placed, F.slice(F.concat(F.slice(placed, 1, 1), placed), 1, F.size(placed)), lambda t, before: F.struct(t.k.alias("k"), t.v.alias("v"), ((t.k != before.k) | (t.i == before.i)).alias("head"))), lambda t: t["head"])
-    return F.map_from_entries(F.transform(heads, lambda t: F.struct(t.k, t.v)))
+def _mapped(df: DataFrame, text: Column) -> DataFrame:
+    """``__m`` maps the keys of the ``key=value`` words of a text to their values; of a repeated key the last value counts."""
+    words = staged(df, {"__w": F.reverse(F.filter(F.split(text, r"\s+"), lambda w: F.contains(w, F.lit("="))))})
+    # A lambda computes what it refers to anew for every element, so the arrays it searches are columns.
+    pairs = staged(words, {"__k": F.transform("__w", lambda w: F.substring_index(w, "=", 1)), "__v": F.transform("__w", lambda w: F.substr(w, F.instr(w, "=") + 1))})
+    keys = staged(pairs.drop("__w"), {"__u": F.array_distinct("__k")})
+    latest = F.transform("__u", lambda k: F.get("__v", F.array_position("__k", k).cast("int") - 1))
+    return staged(keys, {"__m": F.map_from_arrays("__u", latest)}).drop("__k", "__v", "__u")
 
 
 def _value(key: str) -> Column:
@@ -43,8 +39,7 @@ def _value(key: str) -> Column:
 def _marked(lines: DataFrame, marker: str) -> DataFrame:
     """Lines with the marker; ``__m`` maps the keys after it to their values."""
     after = F.substr("value", F.instr("value", marker) + len(marker))
-    tokens = staged(lines.where(F.instr("value", marker) > 0), {"__t": _tokens(after)})
-    return staged(tokens, {"__m": _last_values(F.col("__t"))}).drop("__t")
+    return _mapped(lines.where(F.instr("value", marker) > 0), after)
 
 
 def _ids(text: Column) -> Column:
@@ -117,12 +112,11 @@ def parse_runtime_stats(lines: DataFrame) -> DataFrame:
     """
     parts = F.transform(F.split("value", r"\["), lambda p: F.struct(F.substring_index(p, "]", 1).alias("m"), F.substr(p, F.instr(p, "]") + 1).alias("t")))
     named = F.filter(parts, lambda p: p.m.isin(RUNTIME_MARKERS) & F.contains(p.t, F.lit("=")))
-    marked = staged(lines, {"__s": named})
-    names = F.transform("__s", lambda p: p.m)
-    first = F.filter("__s", lambda p, i: F.array_position(names, p.m) == i + 1)
+    marked = staged(staged(lines, {"__s": named}), {"__n": F.transform("__s", lambda p: p.m)})
+    first = F.filter("__s", lambda p, i: F.array_position("__n", p.m) == i + 1)
     kept = [c for c in lines.columns if c != "value"]
     sections = marked.select(*kept, F.explode(first).alias("__s"))
-    mapped = staged(sections, {"__m": _last_values(_tokens(F.col("__s.t")))})
+    mapped = _mapped(sections, F.col("__s.t"))
     pairs = mapped.select(*kept, F.col("__s.m").alias("source"), _value("channel").alias("channel_id"), F.explode(F.map_entries("__m")).alias("__p"))
-    number = F.regexp_extract("__p.value", r"^-?\d+(?:\.\d+)?", 0)
-    return pairs.where(number != "").select(*kept, "source", "channel_id", F.col("__p.key").alias("metric"), number.cast("double").alias("value"))
+    numbered = staged(pairs, {"__x": F.regexp_extract("__p.value", r"^-?\d+(?:\.\d+)?", 0)})
+    return numbered.where(F.col("__x") != "").select(*kept, "source", "channel_id", F.col("__p.key").alias("metric"), F.col("__x").cast("double").alias("value"))
