@@ -60,7 +60,7 @@ def _(spark, sf):
 @query("dwell_stream", W(f"+{ROI_PIXELS}, {ROI_HIT}, {DWELL_SQL} SELECT channel_id, region_ord, class_id, frame_id, det_ord, dwell AS dwell_sec FROM g WHERE dwell >= 0.5", "detections", "regions"))
 def _(spark, sf):
     boxes = P.roi_assign(stream_view(spark, sf, "detections"), view(spark, sf, "regions"), FRAME_W, FRAME_H)
-    out = S.run_available(S.dwell_stream(boxes.drop("region_id", "label"), 0.5, delay=NOW), "dwell")
+    out = S.run_available(S.dwell_stream(boxes.select("channel_id", "region_ord", "class_id", "frame_id", "det_ord", "ts_ms", *S.BOX), 0.5, delay=NOW), "dwell")
     return out.select("channel_id", "region_ord", "class_id", "frame_id", "det_ord", "dwell_sec")
 
 
