@@ -33,16 +33,21 @@ def rect_pairs(
     right_rect: list[Column],
     cell: float = 512.0,
     extra: Column | None = None,
+    hashed: bool = False,
 ) -> DataFrame:
     """Inner join of rectangles with equal ``keys`` that touch or overlap.
 
     Columns other than ``keys`` must differ between the sides. ``extra`` is a cheap
-    further condition evaluated inside the join.
+    further condition evaluated inside the join. ``hashed`` sorts both sides by a hash of
+    keys and cell first, which is faster where few keys hold the rows; key types must be equal.
     """
     a = _cells(left, left_rect, cell).withColumnsRenamed({"__cx1": "__ax", "__cy1": "__ay"})
     b = _cells(right, right_rect, cell).withColumnsRenamed({"__cx1": "__bx", "__cy1": "__by"})
     on = [*keys, "__cx", "__cy"]
+    if hashed:
+        a, b = (side.withColumn("__at", F.xxhash64(*on)) for side in (a, b))
+        on = ["__at", *on]
     joined = a.join(b, on, "inner")
     first_cell = (F.col("__cx") == F.greatest("__ax", "__bx")) & (F.col("__cy") == F.greatest("__ay", "__by"))
     joined = joined.where(first_cell if extra is None else first_cell & extra)
-    return joined.drop("__cx", "__cy", "__ax", "__ay", "__bx", "__by")
+    return joined.drop("__at", "__cx", "__cy", "__ax", "__ay", "__bx", "__by")

@@ -103,6 +103,31 @@ def test_pile_of_copies(spark):
         assert {r.det_ord for r in R.nms(df, 0.45, ["frame_id"], limit).collect()} == {1000, 1001, 1002}
 
 
+def test_crowded_frames_write_down_conflicts_not_boxes(spark, monkeypatch):
+    """Of 400 boxes side by side 40 meet another one: the rounds hold these pairs only, none of the other boxes."""
+    rows = [(0, i, 1, "c", 0.9, 700.0 * i, 0.0, 700.0 * i + 100, 100.0) for i in range(400)]
+    rows += [(0, 1000 + i, 1, "c", 0.5, 700.0 * i + 10, 0.0, 700.0 * i + 110, 100.0) for i in range(40)]
+    written, cut = [], R.checkpointed
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "checkpointed", counted)
+    df = spark.createDataFrame(rows, f"frame_id long, det_ord long, {BOX}")
+    assert {r.det_ord for r in R.nms(df, 0.45, ["frame_id"], 100).collect()} == set(range(400))
+    assert max(written) == 40 and sum(written) <= 100
+
+
+@pytest.mark.parametrize("max_group", [R.MAX_GROUP, 4])
+def test_exclusive_choice_in_long_chains(spark, max_group):
+    """Each box beats the next one only: every second one stays, whatever the number of rounds."""
+    rows = [(0, i, 1, "c", 0.9 - i / 100, 10.0 * i, 0.0, 10.0 * i + 30, 10.0, 0, 0, 5000, 5000, "tile") for i in range(12)]
+    df = spark.createDataFrame(rows, f"frame_id long, det_ord long, {BOX}, tile_x int, tile_y int, tile_w int, tile_h int, origin string")
+    assert {r.det_ord for r in R.select_exclusive(df, ["frame_id"], max_group).collect()} == set(range(0, 12, 2))
+
+
 TILED = f"frame_id long, det_ord long, {BOX}, tile_x int, tile_y int, tile_w int, tile_h int, origin string"
 
 
